@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismspark.session import read_table
 
-from . import mixing, packing, quality, token_counts
+from . import html_text, mixing, packing, quality, secrets, token_counts, warc
 from .common import cut, prepare
 
 
@@ -31,6 +31,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -39,12 +44,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_text.main_texts(read_table(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.default_forest())
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality": op6_quality,
+        "op7_warc": op7_warc,
         "op8_mixing": op8_mixing,
+        "op9_main_text": op9_main_text,
+        "op10_secrets": op10_secrets,
     }
 
 
