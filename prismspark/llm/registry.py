@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismspark.session import read_table
 
-from . import html_text, mixing, packing, quality, secrets, token_counts, warc
+from . import html_text, media, mixing, near_duplicates, neighbours, packing, quality, secrets, token_counts, warc
 from .common import cut, prepare
 
 
@@ -17,6 +17,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = media.store_and_read(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path
@@ -57,6 +73,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_neighbours": op2_neighbours,
+        "op3_media": op3_media,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality": op6_quality,
         "op7_warc": op7_warc,
