@@ -56,12 +56,14 @@ def contracted(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) of every linked node.
 
-    Each round contracts the links of every task, then hangs each node's larger neighbours below its smallest one
+    The links of every task are contracted first; then each round hangs each node's larger neighbours below its smallest one
     (large star) and its smaller neighbours, too (small star); the written table ends the lineage of each round.
     """
     pairs = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v")
-    now = cut(contracted(pairs).distinct(), "links")
-    while True:
+    # So few links that one task holds them are done in one contraction; more are contracted by as many tasks.
+    pieces = -(-pairs.count() // LOCAL_LINKS)
+    now = cut(contracted(pairs.coalesce(max(1, pieces))), "links")
+    while pieces > 1:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Done when no node hangs below two and no root hangs below another.
         twice = now.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")

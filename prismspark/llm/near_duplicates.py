@@ -153,9 +153,10 @@ def mixed_regions(rows: DataFrame) -> DataFrame:
     return done
 
 
-def crossing(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def crossing(rows: DataFrame, classes: DataFrame, percent: int, most: int | None) -> DataFrame:
     """a, b, agreement, and the component of b: pairs of a region that lie in different components and agree in enough
-    values. Regions are dealt over pairs of slices; within the most frequent component nothing is compared."""
+    values; of a class and another component only the `most` best, if given. Regions are dealt over pairs of slices;
+    within the most frequent component nothing is compared."""
     slices = F.ceil(F.col("n") / F.lit(SLICE_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
     dealt = rows.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
@@ -178,7 +179,13 @@ def crossing(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if len(y):
                 agreement = (sig[y] == sig[x]).mean(1)
                 keep = agreement >= AGREE
-                out += [(int(node[x]), int(n), float(g), int(c)) for n, g, c in zip(node[y[keep]], agreement[keep], component[y[keep]], strict=True)]
+                y, agreement = y[keep], agreement[keep]
+                if most and len(y) > most:
+                    order = np.lexsort((-agreement, component[y]))
+                    starts = np.flatnonzero(np.concatenate(([True], np.diff(component[y][order]) != 0)))
+                    place = np.arange(len(y)) - np.repeat(starts, np.diff(np.append(starts, len(y))))
+                    y, agreement = y[order[place < most]], agreement[order[place < most]]
+                out += [(int(node[x]), int(n), float(g), int(c)) for n, g, c in zip(node[y], agreement, component[y], strict=True)]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "agreement": pa.array(columns[2], pa.float64()), "component": pa.array(columns[3], pa.int64())})
 
@@ -232,22 +239,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = cut(orders(classes), "orders")
     tested = cut(neighbours(rows, percent), "pairs")
     links = cut(confirmed(tested, docs, percent, key=key, text=text), "confirmed")
-    most = 4
-    while True:
+    # Of each class first the best partners in each other component are tested, then, where still apart, all others.
+    for most in (4, None):
         parts = cut(components(links), "components")
-        placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = cut(placed, "placed")
-        pairs = crossing(mixed_regions(placed), classes, percent)
-        # Of each class the best partners in each other component, then more of them, until none is left.
-        pairs = pairs.groupBy("a", "b").agg(F.max("agreement").alias("agreement"), F.first("component").alias("component"))
-        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "a", "agreement", "component").join(tested.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), ["u", "v"], "left_anti")
-        pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("a", "component").orderBy(F.col("agreement").desc(), "u", "v"))).filter(F.col("place") <= most)
-        pairs = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
+        placed = cut(rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        pairs = crossing(mixed_regions(placed), classes, percent, most).groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.first("a").alias("a"), F.max("agreement").alias("agreement"), F.first("component").alias("component"))
+        pairs = pairs.join(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_anti")
+        if most:
+            best = Window.partitionBy("a", "component").orderBy(F.col("agreement").desc(), "u", "v")
+            pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
+        pairs = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), "pairs")
         drop(placed)
         if pairs.isEmpty():
             break
-        fresh = confirmed(pairs, docs, percent, key=key, text=text)
-        links, tested, most = cut(links.unionByName(fresh), "confirmed"), cut(tested.unionByName(pairs), "pairs"), most * 16
+        links, tested = cut(links.unionByName(confirmed(pairs, docs, percent, key=key, text=text)), "confirmed"), tested.unionByName(pairs)
+        parts = None
+    parts = cut(components(links), "components") if parts is None else parts
     named = cut(classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "named")
     linked = join_hot(members.select("node", "n_shingles", "digest"), named, "digest").select("node", "n_shingles", "component_id")
     alone = found.filter("node is null or n_shingles = 0").select("node", "n_shingles", F.col("node").alias("component_id"))
