@@ -2,7 +2,8 @@
 
 Tokenising is a narrow map that leaves one short row per piece. Pieces are dealt evenly over groups of bounded
 size by a hash of their row number, whatever their document or source; each group is packed by the sum-of-squares
-rule: a piece goes where the sum over residual gaps of (open bins with that gap) squared becomes smallest.
+rule: longest first, a piece goes into the open bin with which the sum over residual gaps of (open bins with that
+gap) squared becomes smallest; a new bin is opened only when no open one has room.
 
 Edge cases: null and empty texts are one piece holding only the end id; equal rows are packed as often as they
 occur; a text of any length is cut into pieces of the sequence size of which only the first may be shorter;
@@ -122,7 +123,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
             change[0] = 0.5 - count[s]
             change[count[s:size] == 0] = np.inf
             best = int(change.argmin())
-            fits = change[best] < count[size - s] + 0.5
+            fits = np.isfinite(change[best])
         else:
             best, fits = 0, False
         if fits:

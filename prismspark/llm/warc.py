@@ -205,7 +205,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives under path."""
     found = cut(candidates(spark, path), "warc-candidates")
     chain = cut(verified(found), "warc-chain")
-    kept = found.join(chain, ["file", "block", "place"]).filter("kept and kind in ('response', 'revisit')")
+    kept = found.join(chain.hint("shuffle_merge"), ["file", "block", "place"]).filter("kept and kind in ('response', 'revisit')")
     final = F.col("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to")
     done = kept.filter("whole").select(*final)
     open_rows = kept.filter("not whole").select("file", F.col("number").alias("owner"))
