@@ -3,8 +3,9 @@
 A document is the set of its distinct shingles of five words. Documents with equal sets are one class; classes get
 MinHash signatures that are sorted in several orders (trees). In each order, neighbours with a common prefix of at
 least REGION values are candidates. Links are confirmed on full sets. Then the regions (classes that share a prefix)
-in which classes of different components remain are searched for further candidates between components only, so that
-a large group of near copies costs no pairs of its own; a region that is too large is split by a longer prefix.
+in which classes of different components remain are searched between components only: sets of usual size are compared
+whole in the region's task, which returns no more links than join its components, so that a large group of near copies
+costs no pairs of its own; larger sets give candidates. A region that is too large is split by a longer prefix.
 
 Edge cases: texts without words or null have no shingles and are linked with nothing; texts of fewer than five words
 are one shingle, the whole sequence; rows that share a doc_id are one node; rows without doc_id take no part and are
@@ -31,6 +32,8 @@ TREES, DEPTH, REGION, WORDS = 12, 8, 3, 5
 AGREE = 0.70
 #: Classes in a region before it is split by a longer prefix, and classes compared at a time.
 REGION_ROWS, SLICE_ROWS = 50_000, 2000
+#: Shingles up to which a set is tested where its region is; of larger sets that many hashes are a sample.
+KNOWN = 1024
 #: Ids up to which the documents to confirm are picked by broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 KNOWN_WORDS = 400_000
@@ -153,43 +156,94 @@ def mixed_regions(rows: DataFrame) -> DataFrame:
     return done
 
 
-def crossing(rows: DataFrame, classes: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """a, b, agreement, and the component of b: pairs of a region that lie in different components and agree in enough
-    values; of a class and another component only the `most` best, if given. Regions are dealt over pairs of slices;
-    within the most frequent component nothing is compared."""
+def sketched(classes: DataFrame, nodes: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, signature, items of the classes among nodes: items are the KNOWN smallest hashes of the set, which is all
+    of a set of at most KNOWN shingles."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            digests, held = [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                items = shingles(raw or b"")
+                digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+                held.append(items[:KNOWN].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(held, pa.binary())], ["node", "digest", "items"])
+
+        return each
+
+    picked = docs.select(F.col(key).cast("long").alias("node"), text).join(small_or_not(nodes, BROADCAST_IDS), "node", "left_semi")
+    found = map_rows(picked, make, "node long, digest binary, items binary")
+    return found.join(classes.select("node", "digest", "signature"), ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "signature", "items")
+
+
+def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """a, b, agreement, the component of b, sure: links and candidates of a region between different components.
+
+    Pairs whose sets are known whole are tested here (sure); of their links a task returns those that join components it
+    had not joined yet, so fewer than it has components. Pairs with a larger set are candidates (not sure) where their
+    samples agree within four deviations; of a class and another component only the `most` best are returned, if given.
+    Regions are dealt over pairs of slices; within the most frequent component nothing is compared."""
     slices = F.ceil(F.col("n") / F.lit(SLICE_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
     dealt = rows.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
     dealt = dealt.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).select("tree", "region", "i", "j", "slice", "node", "n_shingles", "component")
-    dealt = dealt.join(classes.select("node", "signature"), "node")
+    dealt = dealt.join(sketches, "node")
 
     def make_pairs(table: pa.Table) -> pa.Table:
         node, size, component, part = (table[c].to_numpy() for c in ("node", "n_shingles", "component", "slice"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), ">u2").reshape(len(node), -1)
+        items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        lengths = np.array([len(x) for x in items])
+        last = np.where(size <= KNOWN, np.iinfo(np.uint64).max, np.array([x[-1] for x in items], np.uint64))
+        flat = np.concatenate(items)
+        names, ids = np.unique(flat, return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        marks = np.zeros(len(names), bool)
         values, counts = np.unique(component, return_counts=True)
+        joined = component.copy()  # components with the links found in this task
         out = []
         for x in np.flatnonzero(component != values[counts.argmax()]).tolist():
-            y = (component != component[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
+            y = (joined != joined[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
             # Both of the rarer components: once only. Slices i < j: pairs across them only.
             y &= (component == values[counts.argmax()]) | (node > node[x])
             if i != j:
                 y &= part != part[x]
             y = np.flatnonzero(y)
             if len(y):
-                agreement = (sig[y] == sig[x]).mean(1)
-                keep = agreement >= AGREE
-                y, agreement = y[keep], agreement[keep]
-                if most and len(y) > most:
-                    order = np.lexsort((-agreement, component[y]))
-                    starts = np.flatnonzero(np.concatenate(([True], np.diff(component[y][order]) != 0)))
-                    place = np.arange(len(y)) - np.repeat(starts, np.diff(np.append(starts, len(y))))
-                    y, agreement = y[order[place < most]], agreement[order[place < most]]
-                out += [(int(node[x]), int(n), float(g), int(c)) for n, g, c in zip(node[y], agreement, component[y], strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "agreement": pa.array(columns[2], pa.float64()), "component": pa.array(columns[3], pa.int64())})
-
-    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(make_pairs, "a long, b long, agreement double, component long")
+                y = y[(sig[y] == sig[x]).mean(1) >= AGREE]
+            if not len(y):
+                continue
+            # Up to the smaller of both last items the samples are whole: of full sets everything is compared.
+            mine = ids[starts[x] : starts[x + 1]]
+            marks[mine] = True
+            place = np.concatenate(([0], np.cumsum(lengths[y])[:-1]))
+            at = np.repeat(starts[y] - place, lengths[y]) + np.arange(lengths[y].sum())
+            both = np.add.reduceat(marks[ids[at]], place, dtype=np.int64)
+            marks[mine] = False
+            here = np.searchsorted(items[x], last[y], "right")
+            there = lengths[y] if last[x] == np.iinfo(np.uint64).max else np.add.reduceat(flat[at] <= last[x], place, dtype=np.int64)
+            either = here + there - both
+            whole = (size[x] <= KNOWN) & (size[y] <= KNOWN)
+            for k in y[whole & (100 * both >= percent * either)].tolist():
+                if joined[k] != joined[x]:
+                    out.append((int(node[x]), int(node[k]), 1.0, int(component[k]), True))
+                    joined[joined == joined[k]] = joined[x]
+            share = percent / 100
+            agreement = both / either
+            unsure = ~whole & (agreement >= share - 4 * np.sqrt(share * (1 - share) / either))
+            y, agreement = y[unsure], agreement[unsure]
+            if most and len(y) > most:
+                order = np.lexsort((-agreement, component[y]))
+                first = np.flatnonzero(np.concatenate(([True], np.diff(component[y][order]) != 0)))
+                rank = np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))
+                y, agreement = y[order[rank < most]], agreement[order[rank < most]]
+            out += [(int(node[x]), int(n), float(g), int(c), False) for n, g, c in zip(node[y], agreement, component[y], strict=True)]
+        columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+        kinds = {"a": pa.int64(), "b": pa.int64(), "agreement": pa.float64(), "component": pa.int64(), "sure": pa.bool_()}
+        return pa.table({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
+
+    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(make_pairs, "a long, b long, agreement double, component long, sure boolean")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,20 +293,28 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = cut(orders(classes), "orders")
     tested = cut(neighbours(rows, percent), "pairs")
     links = cut(confirmed(tested, docs, percent, key=key, text=text), "confirmed")
-    # Of each class first the best partners in each other component are tested, then, where still apart, all others.
+    # The first round tests all pairs of sets known whole, and of each larger class the best partners in each other
+    # component; the second round all partners that are still apart, where a larger class takes part.
+    sketches = None
     for most in (4, None):
         parts = cut(components(links), "components")
         placed = cut(rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        pairs = crossing(mixed_regions(placed), classes, percent, most).groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.first("a").alias("a"), F.max("agreement").alias("agreement"), F.first("component").alias("component"))
+        mixed = cut(mixed_regions(placed if most else placed.filter(F.col("n_shingles") * 100 >= percent * KNOWN)), "mixed")
+        if sketches is None:
+            sketches = cut(sketched(classes, mixed.select("node").distinct(), docs, key=key, text=text), "sketches")
+        crossed = cut(crossing(mixed, sketches, percent, most), "crossed")
+        drop(placed)
+        sure = crossed.filter("sure").select("a", "b").distinct()
+        pairs = crossed.filter("not sure").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.first("a").alias("a"), F.max("agreement").alias("agreement"), F.first("component").alias("component"))
         pairs = pairs.join(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_anti")
         if most:
             best = Window.partitionBy("a", "component").orderBy(F.col("agreement").desc(), "u", "v")
             pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
         pairs = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), "pairs")
-        drop(placed)
-        if pairs.isEmpty():
+        if pairs.isEmpty() and sure.isEmpty():
             break
-        links, tested = cut(links.unionByName(confirmed(pairs, docs, percent, key=key, text=text)), "confirmed"), tested.unionByName(pairs)
+        links = cut(links.unionByName(sure).unionByName(confirmed(pairs, docs, percent, key=key, text=text)), "confirmed")
+        tested = tested.unionByName(pairs)
         parts = None
     parts = cut(components(links), "components") if parts is None else parts
     named = cut(classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "named")
