@@ -72,6 +72,25 @@ def test_near_duplicates(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), roots.get(i, i), roots.get(i, i) == i)
 
 
+def test_near_duplicates_around_the_known_size(spark):
+    """Sets just below and above KNOWN shingles and far above it, with copies on both sides of 85 %."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for words in (300, near_duplicates.KNOWN, 3000):
+        base = [f"w{rng.integers(5000)}" for _ in range(words)]
+        for changes in rng.integers(1, words // 25, 25):
+            copy = base[: words - int(rng.integers(0, 12))]
+            for at in rng.integers(0, len(copy), changes):
+                copy[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs(spark, texts)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    roots = {n: r for r, n in components.forest(pairs)}
+    assert any(len(s) > near_duplicates.KNOWN for s in sets) and len(roots) < len(texts) - 3
+    assert {i: got[i].component_id for i in got} == {i: roots.get(i, i) for i in range(len(texts))}
+
+
 def test_components_in_rounds(spark, monkeypatch):
     prepare(spark)
     monkeypatch.setattr(components, "LOCAL_LINKS", 10)
