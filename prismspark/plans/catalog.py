@@ -111,6 +111,9 @@ SELECT r.label, r.n_blocks, round(1.0D - count(h.k) / CAST(max(hi) - max(lo) + 1
     "bbox_iou": ("K16", "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100.0D AS y, 10.0D + l_tax * 100.0D AS w, 12.0D AS h FROM lineitem), p AS (SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, greatest(0.0D, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0.0D, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter, a.w * a.h + b.w * b.h AS both_ FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber) SELECT l_orderkey, i, j, round(inter / (both_ - inter), 6) AS iou FROM p"),
     "vector_distance": ("K17", f"WITH {PIX}, c AS (SELECT label, pos, avg(v) AS m FROM pix GROUP BY label, pos) SELECT vec_id, round(sqrt(sum(pow(v - m, 2))), 6) AS distance FROM pix JOIN c ON pix.label = c.label AND pix.pos = c.pos GROUP BY vec_id"),
     "coverage_summary": ("K18 K19", "WITH r AS (SELECT d.source AS fixture, count(*) AS required, count(l.doc_id) AS present, CAST(count_if(l.quality = 1) AS BIGINT) AS passed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source) SELECT fixture, required, present, passed, 100.0D * present / required AS present_pct, 100.0D * passed / required AS passed_pct, present = required AND passed = required AS complete FROM r"),
+    "skip_segments": ("H4", f"WITH {FRAMES}, matched AS (SELECT user_id, idx, lag(idx) OVER (PARTITION BY user_id ORDER BY idx) AS before FROM frames WHERE event_type <> 'click') SELECT user_id, before AS from_index, idx AS to_index, idx - before - 1 AS skipped FROM matched WHERE idx - before > 1"),
+    "histogram_chart": ("L1", f"WITH {PIX}, h AS (SELECT label, CAST(floor(q / 8) AS BIGINT) AS bin, count(*) AS n FROM pix GROUP BY label, CAST(floor(q / 8) AS BIGINT)) SELECT label, bin, n, round(n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE), 6) AS share FROM h"),
+    "transition_timeline": ("L2", f"WITH {FRAMES}, t AS (SELECT user_id, idx, us - min(us) OVER (PARTITION BY user_id) AS at_us, abs(value - before) AS mad FROM steps) SELECT user_id, idx, at_us, round(mad, 6) AS mad, round(mad / nullif(max(mad) OVER (PARTITION BY user_id), 0), 6) AS height FROM t WHERE mad IS NOT NULL"),
     "run_summary": ("L7", f"WITH {FUSION} SELECT count(*) AS files, CAST(sum(family_count) AS BIGINT) AS signals, CAST(count_if(level IN ('moderate', 'high')) AS BIGINT) AS needs_review, count(*) AS inconclusive FROM fusion"),
     "short_result": ("L5 L6", "SELECT doc_id, substring(text, 1, 650) AS excerpt, length(text) > 650 AS truncated FROM documents"),
     "manifest_split": ("A7 A8 A10", "SELECT doc_id, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS synthetic, CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM labels"),
