@@ -92,20 +92,24 @@ SELECT r.label, r.n_blocks, round(1.0D - count(h.k) / CAST(max(hi) - max(lo) + 1
     "largest_region": ("E4 I3", "WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS area, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity * l_extendedprice DESC, l_linenumber) AS place FROM lineitem) SELECT l_orderkey, l_linenumber, round(area, 2) AS area FROM r WHERE place = 1"),
     "component_ranking": ("I3", "WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem WHERE l_quantity >= 50) SELECT l_suppkey, l_orderkey, l_linenumber FROM r WHERE place <= 20"),
     "translation_clusters": ("I1 I2", f"WITH p AS (SELECT l_suppkey, CAST(@rint((l_quantity - 25.0D) / {T.BIN_PX}D, 0) AS BIGINT) AS bx, CAST(@rint(round((l_discount * 1000.0D - 50.0D) / {T.BIN_PX}D, 6), 0) AS BIGINT) AS by_, l_quantity AS dx, l_discount * 1000.0D AS dy, l_tax * 1000.0D AS hamming FROM lineitem), c AS (SELECT l_suppkey, bx, by_, count(*) AS n, avg(hamming) AS mean_hamming, avg(dx) AS mean_dx, avg(dy) AS mean_dy, sqrt(pow(stddev_pop(dx), 2) + pow(stddev_pop(dy), 2)) AS spread FROM p GROUP BY l_suppkey, bx, by_) SELECT l_suppkey, bx, by_, n, round(mean_hamming, 5) AS mean_hamming, round(mean_dx, 5) AS mean_dx, round(mean_dy, 5) AS mean_dy, round(spread, 5) AS spread, n >= {T.CLUSTER_N} AND round(mean_hamming, 9) <= {T.CLUSTER_HAMMING}D AND round(spread, 9) <= {T.CLUSTER_STD}D AS suspicious FROM c"),
-    "contract_outer": ("H7 H8", "WITH declared AS (SELECT doc_id, source AS fixture FROM documents WHERE doc_id % 2 = 0), produced AS (SELECT doc_id, quality FROM labels) SELECT coalesce(d.doc_id, p.doc_id) AS check_id, CASE WHEN d.doc_id IS NULL THEN 'undeclared' WHEN p.doc_id IS NULL THEN 'missing' WHEN p.quality = 1 THEN 'passed' ELSE 'failing' END AS state FROM declared d FULL OUTER JOIN produced p ON d.doc_id = p.doc_id"),
+    "contract_outer": ("H7 H8", "WITH declared AS (SELECT doc_id, source AS fixture FROM documents), produced AS (SELECT doc_id, quality FROM labels) SELECT coalesce(d.doc_id, p.doc_id) AS check_id, CASE WHEN d.doc_id IS NULL THEN 'undeclared' WHEN p.doc_id IS NULL THEN 'missing' WHEN p.quality = 1 THEN 'passed' ELSE 'failing' END AS state FROM declared d FULL OUTER JOIN produced p ON d.doc_id = p.doc_id"),
     "missing_files": ("H8 A7", "SELECT doc_id FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id AND d.lang = 'en')"),
     "citations_join": ("H10", "WITH refs(k, title) AS (VALUES ('sha2', 'Secure hash standard'), ('dct', 'Discrete cosine transform'), ('prnu', 'Sensor noise'), ('wilson', 'Probable inference')), uses(method, k) AS (VALUES ('hash_sha256', 'sha2'), ('jpeg_dct', 'dct'), ('prnu_screen', 'prnu'), ('metrics', 'wilson'), ('metrics', 'sha2')) SELECT DISTINCT refs.k AS ref, title FROM uses JOIN refs ON uses.k = refs.k"),
     "external_evidence": ("H11 A11 A12", "SELECT d.doc_id, l.quality AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 0 AND l.quality IS NOT NULL"),
     "binary_metrics": ("K7 K8 I10", f"WITH {VOTES}, s AS (SELECT {SUMS} FROM cells) SELECT {RATES} FROM s"),
     "subgroup_metrics": ("I4 I5 K13", f"WITH {VOTES}, s AS (SELECT source, lang, {SUMS} FROM cells GROUP BY GROUPING SETS ((source), (lang), ())) SELECT source, lang, {RATES} FROM s"),
-    "generator_vs_reals": ("I6", f"WITH {VOTES}, g AS (SELECT DISTINCT source AS generator FROM votes), s AS (SELECT generator, {SUMS} FROM g JOIN cells ON truth = 0 OR source = generator GROUP BY generator) SELECT generator, {RATES} FROM s"),
-    "leave_one_out": ("I7", "WITH g AS (SELECT DISTINCT source AS held FROM documents) SELECT held, CAST(count_if(source <> held AND l.doc_id % 5 < 4) AS BIGINT) AS train, CAST(count_if(source = held AND l.doc_id % 5 >= 3) AS BIGINT) AS test FROM g CROSS JOIN documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY held"),
+    "generator_vs_reals": ("I6", f"""WITH {VOTES}, g AS (SELECT source AS generator, count_if(truth = 0) AS reals, count_if(truth = 1) AS own, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(tn) AS tn FROM cells GROUP BY source),
+s AS (SELECT generator, CAST(own + sum(reals) OVER () AS BIGINT) AS n, CAST(tp AS BIGINT) AS tp, CAST(sum(fp) OVER () AS BIGINT) AS fp, CAST(sum(tn) OVER () AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn FROM g) SELECT generator, {RATES} FROM s"""),
+    "leave_one_out": ("I7", """WITH r AS (SELECT CASE WHEN quality = 1 THEN 'real' ELSE source END AS generator, quality, CASE l.doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+g AS (SELECT generator, count_if(split <> 'test') AS fitting, count_if(split <> 'train') AS held_out, count_if(quality = 1 AND split = 'test') AS real_test, count_if(quality = 1 AND split <> 'test') AS real_fit FROM r GROUP BY generator),
+s AS (SELECT generator AS held, CAST(sum(fitting) OVER () - fitting AS BIGINT) AS train, CAST(held_out + sum(real_test) OVER () AS BIGINT) AS test, sum(fitting - real_fit) OVER () - fitting AS fake_fit, sum(real_fit) OVER () AS real_fit, held_out, sum(real_test) OVER () AS real_test FROM g)
+SELECT held, train, test, fake_fit > 0 AND real_fit > 0 AND held_out > 0 AND real_test > 0 AS evaluable FROM s WHERE held NOT IN ('real', 'camera', 'unknown')"""),
     "wilson_intervals": ("K9 K10", f"WITH {VOTES}, s AS (SELECT source, count(*) AS n, CAST(sum(tp + tn) AS BIGINT) AS k FROM cells GROUP BY source) SELECT source, n, k, round(greatest(0.0D, (k / CAST(n AS DOUBLE) + {T.WILSON_Z * T.WILSON_Z / 2}D / n - {T.WILSON_Z}D * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + {T.WILSON_Z * T.WILSON_Z / 4}D / n / n)) / (1 + {T.WILSON_Z * T.WILSON_Z}D / n)), 9) AS low, round(least(1.0D, (k / CAST(n AS DOUBLE) + {T.WILSON_Z * T.WILSON_Z / 2}D / n + {T.WILSON_Z}D * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + {T.WILSON_Z * T.WILSON_Z / 4}D / n / n)) / (1 + {T.WILSON_Z * T.WILSON_Z}D / n)), 9) AS high FROM s"),
     "roc_auc": ("K7", f"WITH {VOTES}, t AS (SELECT score, count_if(truth = 1) AS p, count_if(truth = 0) AS n FROM votes GROUP BY score), c AS (SELECT *, CAST(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) - n / 2.0D AS below FROM t) SELECT round(sum(p * below) / CAST(sum(p) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 9) AS auc FROM c"),
     "average_precision": ("K7", f"WITH {VOTES}, t AS (SELECT score, count_if(truth = 1) AS p, count(*) AS n FROM votes GROUP BY score), c AS (SELECT *, CAST(sum(p) OVER w AS DOUBLE) AS tp, CAST(sum(n) OVER w AS DOUBLE) AS seen FROM t WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT round(sum(p * tp / seen) / CAST(sum(p) AS DOUBLE), 9) AS average_precision FROM c"),
     "brier": ("K7", f"WITH {VOTES} SELECT round(avg(pow(score - truth, 2)), 9) AS brier FROM votes"),
     "stratified_holdout": ("I12 I11", "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(concat(CAST(doc_id AS STRING), '-42')), doc_id) AS place FROM labels) SELECT doc_id, quality, CASE WHEN place <= 30 THEN 'development' WHEN place <= 45 THEN 'holdout' ELSE 'rest' END AS part, doc_id % 4 AS shard FROM r"),
-    "overlap_guard": ("I13", "SELECT count(*) AS overlap FROM (SELECT doc_id FROM labels WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels WHERE doc_id % 2 = 1) t"),
+    "overlap_guard": ("I13", "SELECT count(*) AS overlap FROM (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) t"),
     "flag_union": ("I8 E2 E3", "SELECT user_id, @join(@sorted(@list(event_type)), ',') AS flags FROM (SELECT DISTINCT user_id, event_type FROM events) t GROUP BY user_id"),
     "unique_names": ("I14", "SELECT event_id, CASE WHEN place = 1 THEN event_type ELSE concat(event_type, '_', CAST(place AS STRING)) END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events) t"),
     "bbox_iou": ("K16", "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100.0D AS y, 10.0D + l_tax * 100.0D AS w, 12.0D AS h FROM lineitem), p AS (SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, greatest(0.0D, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0.0D, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter, a.w * a.h + b.w * b.h AS both_ FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber) SELECT l_orderkey, i, j, round(inter / (both_ - inter), 6) AS iou FROM p"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from prismspark.functions.dialect import render
 from prismspark.session import read_table
 
+from .applied import APPLIED
 from .catalog import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,7 +29,7 @@ def catalog_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: partial(catalog_query, name) for name in QUERIES}
+    return {name: partial(catalog_query, name) for name in QUERIES} | {name: query for name, (_, query) in APPLIED.items()}
 
 
 def oracle_sql() -> dict[str, str]:

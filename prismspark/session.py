@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a session without one (tests) gets a local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prismspark-work")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that their Python workers can import it."""
     sc = spark.sparkContext
