@@ -45,24 +45,34 @@ def fields(group: str) -> list[str]:
 
 
 def measure(images: DataFrame, groups: list[str], key: str = "path") -> DataFrame:
-    """key, status and one double per measure, named group_measure, for each image and each group of GRAY and COLOUR."""
+    """key, status, error and one double per measure, named group_measure, for each image and each group of GRAY and COLOUR.
+
+    An image on which a kernel fails gets status `error` with its message, and null measures."""
     ship(images.sparkSession)
     names = {g: fields(g) for g in groups}
-    schema = f"{images.select(key).schema[key].simpleString().replace(':', ' ', 1)}, status STRING, " + ", ".join(f"{g}_{n} DOUBLE" for g in groups for n in names[g])
+    schema = f"{images.select(key).schema[key].simpleString().replace(':', ' ', 1)}, status STRING, error STRING, " + ", ".join(f"{g}_{n} DOUBLE" for g in groups for n in names[g])
+
+    def values(rgb: np.ndarray) -> list:
+        gray = pixels.luminance(rgb)
+        found = {g: GRAY[g](gray) if g in GRAY else COLOUR[g](rgb) for g in groups}
+        return [found[g].get(n) for g in groups for n in names[g]]
+
+    columns = [key, "status", "error"] + [f"{g}_{n}" for g in groups for n in names[g]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), BATCH):
                 rows = []
-                for k, h, w, c, data in batch.iloc[start : start + BATCH].itertuples(index=False):
-                    rgb = to_rgb(h, w, c, data)
-                    row = [k, "unreadable" if rgb is None else "success"]
-                    gray = None if rgb is None else pixels.luminance(rgb)
-                    for g in groups:
-                        found = {} if rgb is None else GRAY[g](gray) if g in GRAY else COLOUR[g](rgb)
-                        row += [found.get(n) for n in names[g]]
-                    rows.append(row)
-                yield pd.DataFrame(rows, columns=[key, "status"] + [f"{g}_{n}" for g in groups for n in names[g]])
+                for k, *image in batch.iloc[start : start + BATCH].itertuples(index=False):
+                    rgb, none = to_rgb(*image), [None] * (len(columns) - 3)
+                    if rgb is None:
+                        rows.append([k, "unreadable", None, *none])
+                        continue
+                    try:
+                        rows.append([k, "success", None, *values(rgb)])
+                    except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as failure:
+                        rows.append([k, "error", repr(failure), *none])
+                yield pd.DataFrame(rows, columns=columns)
 
     found = images.select(key, "height", "width", "channels", "pixels").mapInPandas(run, schema)
     # pandas marks a missing measure as NaN.

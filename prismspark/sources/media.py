@@ -129,13 +129,14 @@ def external_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def model_exports(texts: DataFrame, column: str = "content") -> DataFrame:
     """Model scores from JSON texts that hold a list or an object with a list `models`; entries of other kinds are skipped."""
-    entry = "STRUCT<name: STRING, score: DOUBLE, label: STRING, validated: BOOLEAN>"
-    listed = F.from_json(column, f"ARRAY<{entry}>")
-    wrapped = F.from_json(column, f"STRUCT<models: ARRAY<{entry}>>")["models"]
+    # Entries stay texts until their kind is known: one wrong entry must not null its list.
+    listed = F.from_json(column, "ARRAY<STRING>")
+    wrapped = F.from_json(column, "STRUCT<models: ARRAY<STRING>>")["models"]
     is_list = F.startswith(F.ltrim(column), F.lit("["))
-    each = texts.select(*[c for c in texts.columns if c != column], F.explode(F.when(is_list, listed).otherwise(wrapped)).alias("m"))
-    kept = each.filter("m.name IS NOT NULL OR m.score IS NOT NULL")
-    return kept.select(*[c for c in kept.columns if c != "m"], "m.name", "m.score", "m.label", F.coalesce("m.validated", F.lit(False)).alias("validated"))
+    others = [c for c in texts.columns if c != column]
+    each = texts.select(*others, F.explode(F.when(is_list, listed).otherwise(wrapped)).alias("entry")).filter(F.startswith("entry", F.lit("{")))
+    read = each.select(*others, F.from_json("entry", "STRUCT<name: STRING, score: DOUBLE, label: STRING, validated: BOOLEAN>").alias("m"))
+    return read.select(*others, "m.name", "m.score", "m.label", F.coalesce("m.validated", F.lit(False)).alias("validated"))
 
 
 def write_reports(rows: DataFrame, path: str) -> None:
