@@ -62,7 +62,8 @@ def validation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with shape features; quality 0 is class 1, the source is the generator."""
+    """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
+    written once, so that fits and scores do not read the texts again."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     text = F.coalesce("text", F.lit(""))
     size = F.length(text).cast("double")
@@ -73,7 +74,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_divide(F.regexp_count(text, F.lit(r"[^\w\s]")).cast("double"), size).alias("symbols"), (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_words"),
     )
     split = F.when(F.col("doc_id") % 5 == 0, "test").when(F.col("doc_id") % 5 == 1, "validation").otherwise("train")
-    return shaped.join(labels, "doc_id").withColumn("label", F.when(F.col("quality") == 0, 1).otherwise(0)).withColumn("split", split)
+    rows = shaped.join(labels, "doc_id").withColumn("label", F.when(F.col("quality") == 0, 1).otherwise(0)).withColumn("split", split)
+    folder = work_folder(spark, "candidates")
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def candidate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
