@@ -2,7 +2,8 @@
 
 Every page's containers are scored by the text they own, less what stands in links; each votes for its generalised
 tag-class path with its share of the page's score. Votes are summed per host in Spark, and pages are read again with
-their host's winning path; a page without it falls back to its own best container.
+their host's winning path; a page without it falls back to its own best container. Boilerplate is left out before:
+tags such as nav, hidden ones, and those with a whole class, id or role token of boilerplate, unless they hold the article.
 
 Edge cases: null and empty html give an empty text; a null url's pages share the empty host; ties between paths go
 to the smaller path; unclosed and misnested tags are closed by what follows; equal rows give equal texts; an empty
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,22 +32,66 @@ DROPPED = frozenset("head nav header footer aside form button select menu dialog
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("body div article section main td blockquote center".split())
 CLOSED_BY: dict[str, frozenset] = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-#: Words of class, id or role that mark what is not the article.
-BOILERPLATE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|side-?bar\w*|aside|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|comments?|disqus\w*|respond|repl(?:y|ies)|share|sharing|social\w*|related|recommend\w*|subscribe|subscription|newsletter|sign-?up|login|pager|pagination|widget\w*|toolbar|search\w*|form|complementary|navigation|contentinfo|teaser|tags?|skip-?link)(?=$|[\s_-])")
+#: Tags whose id counts as a mark; those of headings, paragraphs and inline tags are names of places.
+MARKED_BY_ID = frozenset("div section ul ol dl table td center".split())
+#: Whole tokens of class, id or role that mark what is not the article: parts between hyphens or underscores are words
+#: of boilerplate or, beside one, of place and form, so that no-sidebar, tag-news, post-header or related-work are none.
+_WORDS = r"ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed)?|promo(?:s|tions?)?|banners?|cookies?|cookie(?:bar|banner|consent)|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bars?|aside|nav(?:s|bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|comments?|disqus|respond|repl(?:y|ies)|share|sharing|socials?|related|recommend(?:ed|ations?)|subscribe|subscription|newsletter|sign-?up|login|pager|pagination|widgets?|toolbar|search(?:bar|box|form)?|form|complementary|contentinfo|teasers?|tags?|skip-?links?"
+_BESIDE = r"site|global|main|page|top|bottom|left|right|primary|secondary|list|box|block|area|container|wrapper|wrap|section|links?|bar|items?|slot|unit|inner|buttons?|icons?|posts|articles|stories|thread|\d+"
+BOILERPLATE = re.compile(rf"(?i)(?!page[_-]header$)(?:(?:{_BESIDE})[_-]+)*(?:{_WORDS})(?:[_-]+(?:{_BESIDE}|{_WORDS}))*|(?:post|article|entry|user|reader)[_-]comments?(?:[_-]\w+)?")
+COMMENTS = re.compile(r"(?i)comment|disqus|respond|repl")
 SPACE = re.compile(r"\s+")
 
 
+@dataclass(slots=True)
+class Mark:
+    """A tag marked as boilerplate: where it is, the mark around it, and the text outside links and articles it holds."""
+
+    place: int
+    outer: int = 0
+    container: bool = True
+    comments: bool = False
+    in_article: bool = False
+    in_main: bool = False
+    size: int = 0
+    articles: int = 0
+    mains: int = 0
+
+    def holds_article(self, page: Mark) -> bool:
+        """Whether it holds main, or all article elements there are and, if none or inside main, most of the text. Comments
+        are often longer than what they follow, and each may be an article element: of these only main counts."""
+        if self.mains or not self.container or self.comments or self.in_article or self.articles < page.articles:
+            return self.mains > 0
+        return 2 * self.size > page.size or (self.articles > 0 and not self.in_main)
+
+
+def boilerplate(name: str, attributes: dict[str, str], inside: set[str]) -> str:
+    """The token of class, id or role that marks a tag as boilerplate, or an empty text. In an article, a header is its own
+    and ids of sections name places."""
+    kinds = ["class", "role"] + ["id"] * (name in MARKED_BY_ID and not (name == "section" and inside))
+    for token in " ".join(attributes[k] for k in kinds if k in attributes).split():
+        if BOILERPLATE.fullmatch(token) and not (inside and token.lower() == "header"):
+            return token
+    return ""
+
+
 class Page:
     """Blocks of a page in order, each with the container that owns it, and the containers with their paths."""
 
     def __init__(self, source: str):
+        if spared := self.begin(source, frozenset()):
+            self.begin(source, spared)
+
+    def begin(self, source: str, spared: frozenset[int]) -> frozenset[int]:
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters in links
         self.paths: list[str] = ["html"]
         self.parents: list[int] = [-1]
-        self.read(source)
+        return self.read(source, spared)
 
-    def read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, container, dropped
+    def read(self, source: str, spared: frozenset[int]) -> frozenset[int]:
+        """Blocks without boilerplate; the places of tags that are marked as such but hold the article, for a second reading."""
+        stack: list[tuple[str, int, int]] = [("html", 0, 0)]  # tag, container, dropped: 0 no, -1 by tag or hidden, else its mark
+        marked: list[Mark] = [Mark(-1)]  # the first stands for the page
         words: list[str] = []
         links = linked = 0
         at, end = 0, len(source)
@@ -59,7 +105,10 @@ class Page:
 
         def add(text: str) -> None:
             nonlocal linked
-            if text and not stack[-1][2]:
+            dropped = stack[-1][2]
+            if text and dropped >= 0 and not links:
+                marked[dropped].size += len(text.strip())
+            if text and not dropped:
                 text = entities.unescape(text) if "&" in text else text
                 words.append(text)
                 if links:
@@ -112,9 +161,17 @@ class Page:
             if name == "html":
                 continue
             attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(found[3])} if found[3] else {}
-            marks = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).strip()
-            inside = any(t in ("article", "main") for t, *_ in stack)
-            dropped = stack[-1][2] or (name in DROPPED and not (name == "header" and inside)) or bool(marks and name not in ("body", "html", "article", "main") and BOILERPLATE.search(marks)) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+            inside = {t for t, *_ in stack} & {"article", "main"}
+            dropped = stack[-1][2]
+            if dropped >= 0:
+                if (name in DROPPED and not (name == "header" and inside)) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
+                    dropped = -1
+                elif name in ("article", "main"):
+                    marked[dropped].articles += name == "article"
+                    marked[dropped].mains += name == "main"
+                elif name not in ("body", "html") and found.start() not in spared and (hit := boilerplate(name, attributes, inside)):
+                    marked.append(Mark(found.start(), dropped, name in CONTAINERS or name == "table", bool(COMMENTS.search(hit)), "article" in inside, "main" in inside))
+                    dropped = len(marked) - 1
             container = stack[-1][1]
             if name in CONTAINERS and not dropped:
                 classes = sorted({re.sub(r"\d+", "N", c.lower()) for c in attributes.get("class", "").split()})
@@ -127,6 +184,10 @@ class Page:
                 continue
             stack.append((name, container, dropped))
         flush(stack[-1][1])
+        for mark in marked[:0:-1]:
+            for field in ("size", "articles", "mains"):
+                setattr(marked[mark.outer], field, getattr(marked[mark.outer], field) + getattr(mark, field))
+        return frozenset(m.place for m in marked[1:] if m.holds_article(marked[0]))
 
     def scores(self) -> dict[str, float]:
         """Text outside links owned by the containers of each path; an article or main element counts half more."""

@@ -189,6 +189,24 @@ def test_main_text(spark):
     assert (out[2].text, out[3].text, out[4].text) == ("", "", "only this") and out[1].n_chars == len(out[1].text) and len(out) == 5
 
 
+def best_text(body):
+    return html_text.Page(f"<html><body>{body}</body></html>").text(None)
+
+
+@pytest.mark.parametrize("mark", ["layout no-sidebar", "mw-content has-sidebar", "post tag-news", "post-header", "related-work", "form-validation", "search-results", "social-history", "sidebar", "page search"])
+def test_main_text_keeps_marked_articles(mark):
+    for inner in ("<article><h1>Title</h1><p>All of it.</p></article>", "<h1>Title</h1><p>All of it.</p>"):
+        assert best_text(f"<nav>menu</nav><div class='{mark}'>{inner}</div><div class='ad'>buy</div>") == "Title\nAll of it."
+    assert best_text(f"<article><h1>Title</h1><h2 id='{mark.split()[-1]}'>Part</h2><p id='comments'>All <a id='search'>of</a> it.</p><section id='related'>End.</section></article>") == "Title\nPart\nAll of it.\nEnd."
+
+
+def test_main_text_drops_boilerplate():
+    for mark in ("ad", "ads", "ad-slot", "sidebar", "site-footer", "main-nav", "social-share", "cookie-notice", "related-posts", "comments", "comment-list", "post-comments", "sidebar-right"):
+        assert best_text(f"<main><h1>Title</h1><p>All of it, a line.</p></main><div class='x {mark}'>other</div>") == "Title\nAll of it, a line."
+        assert best_text(f"<article><p>All of it.</p><div class='{mark}'><p>{'other ' * 9}</p></div></article>") == "All of it."
+    assert best_text(f"<article><p>All of it.</p></article><div id='comments'><article>{'reader ' * 9}</article></div>") == "All of it."
+
+
 def test_secrets(spark):
     prepare(spark)
     findings = secrets.labelled_findings(2000, seed=77)
