@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
-Every page's containers are scored by the text they own, less what stands in links; each votes for its generalised
-tag-class path with its share of the page's score. Votes are summed per host in Spark, and pages are read again with
+Every page's containers are scored by their text, less what stands in links; text of nested containers counts for the
+article or main element around them, or else for the common container of most of the text. Each scored container votes
+for its generalised tag-class path with its share of the page's score. Votes are summed per host in Spark, and pages are read again with
 their host's winning path; a page without it falls back to its own best container. Boilerplate is left out before:
 tags such as nav, hidden ones, and those with a whole class, id or role token of boilerplate, unless they hold the article.
 
@@ -86,6 +87,8 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters in links
         self.paths: list[str] = ["html"]
         self.parents: list[int] = [-1]
+        self.children: dict[int, list[int]] = {}
+        self.headed: list[int] = []  # containers that own a heading
         return self.read(source, spared)
 
     def read(self, source: str, spared: frozenset[int]) -> frozenset[int]:
@@ -177,7 +180,10 @@ class Page:
                 classes = sorted({re.sub(r"\d+", "N", c.lower()) for c in attributes.get("class", "").split()})
                 self.paths.append(f"{self.paths[container]}>{'.'.join([name, *classes])}")
                 self.parents.append(container)
+                self.children.setdefault(container, []).append(len(self.paths) - 1)
                 container = len(self.paths) - 1
+            if name in ("h1", "h2", "h3") and not dropped:
+                self.headed.append(container)
             if name == "a":
                 links += 1
             if found[3].rstrip().endswith("/") and name not in BLOCKS:
@@ -189,11 +195,54 @@ class Page:
                 setattr(marked[mark.outer], field, getattr(marked[mark.outer], field) + getattr(mark, field))
         return frozenset(m.place for m in marked[1:] if m.holds_article(marked[0]))
 
+    def targets(self) -> list[int]:
+        """The container that each container's text counts for: the outermost article around it; without one the outermost
+        main; else the common container of most text outside both, where that is around it; else itself."""
+        out, kinds = list(range(len(self.paths))), [p.rpartition(">")[2].partition(".")[0] for p in self.paths]
+        loose = [True] * len(out)
+        for i, parent in enumerate(self.parents):
+            above = out[parent] if parent >= 0 else i
+            if parent >= 0 and not loose[parent] and (kinds[above] == "article" or kinds[i] != "article"):
+                out[i], loose[i] = above, False
+            elif kinds[i] in ("article", "main"):
+                loose[i] = False
+        common = set(self.common(loose))
+        under = [-1] * len(out)
+        for i, parent in enumerate(self.parents):
+            under[i] = i if i in common else under[parent] if parent >= 0 else -1
+            if under[i] >= 0 and loose[i]:
+                out[i] = under[i]
+        return out
+
+    def common(self, loose: list[bool]) -> list[int]:
+        """From the page down to the children of one path that hold most of the text, as long as what is around them owns
+        no heading and next to no text."""
+        own, headed = [0] * len(self.paths), set(self.headed)
+        for text, container, linked in self.blocks:
+            own[container] += max(0, len(text) - 3 * linked) if loose[container] else 0
+        whole = own.copy()
+        for i in range(len(whole) - 1, 0, -1):
+            whole[self.parents[i]] += whole[i]
+        level = [0]
+        while True:
+            size = sum(whole[i] for i in level)
+            if headed.intersection(level) or 50 * sum(own[i] for i in level) >= size:
+                return level
+            groups: dict[str, list[int]] = {}
+            for i in level:
+                for child in self.children.get(i, ()):
+                    groups.setdefault(self.paths[child], []).append(child)
+            best = max(groups.values(), key=lambda g: sum(whole[i] for i in g), default=[])
+            if 4 * sum(whole[i] for i in best) < 3 * size:
+                return level
+            level = best
+
     def scores(self) -> dict[str, float]:
-        """Text outside links owned by the containers of each path; an article or main element counts half more."""
+        """Text outside links that counts for the containers of each path; an article or main element counts half more."""
         out: dict[str, float] = {}
+        targets = self.targets()
         for text, container, linked in self.blocks:
-            path = self.paths[container]
+            path = self.paths[targets[container]]
             weight = 1.5 if path.rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0
             out[path] = out.get(path, 0.0) + weight * max(0, len(text) - 3 * linked)
         return {p: s for p, s in out.items() if s > 0}

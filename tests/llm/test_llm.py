@@ -207,6 +207,23 @@ def test_main_text_drops_boilerplate():
     assert best_text(f"<article><p>All of it.</p></article><div id='comments'><article>{'reader ' * 9}</article></div>") == "All of it."
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div class='post'", "div"])
+def test_main_text_of_nested_containers(tag):
+    long = "long " * 60
+    for parts in (f"<section>{long}</section><section>{long}</section>", f"<section class='a'>{long}</section><div class='b'>{long}</div>", f"<p>End.</p><table><tr><td>{long}<td>{long}</table>", f"<blockquote>{long}</blockquote>"):
+        text = best_text(f"<div><div class='lead'>by the way</div><{tag}><h1>Title</h1><p>Intro.</p>{parts}</{tag.split()[0]}></div>").split("\n")
+        assert text[:2] == ["Title", "Intro."] and text.count(long.strip()) == parts.count(long) and ("<p>" not in parts or text[2] == "End.")
+    assert best_text(f"<{tag}><h1>Title</h1><div class='ad'>buy</div><section>{long}</section></{tag.split()[0]}>") == "Title\n" + long.strip()
+
+
+def test_main_text_of_nested_containers_by_host(spark):
+    prepare(spark)
+    long = "long " * 60
+    rows = [(i, "http://h.org/a", f"<body><p>site</p><article><h1>Title</h1><p>Intro.</p><section class='s'>{long}</section></article></body>") for i in range(3)]
+    out = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {"Title\nIntro.\n" + long.strip()}
+
+
 def test_secrets(spark):
     prepare(spark)
     findings = secrets.labelled_findings(2000, seed=77)
