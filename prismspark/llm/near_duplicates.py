@@ -5,7 +5,8 @@ MinHash signatures that are sorted in several orders (trees). In each order, nei
 least REGION values are candidates. Links are confirmed on full sets. Then the regions (classes that share a prefix)
 in which classes of different components remain are searched between components only: sets of usual size are compared
 whole in the region's task, which returns no more links than join its components, so that a large group of near copies
-costs no pairs of its own; larger sets give candidates. A region that is too large is split by a longer prefix.
+costs no pairs of its own; larger sets give candidates. A region is whole at every size: its classes outside its most
+frequent component are held against all of it, slice by slice.
 
 Edge cases: texts without words or null have no shingles and are linked with nothing; texts of fewer than five words
 are one shingle, the whole sequence; rows that share a doc_id are one node; rows without doc_id take no part and are
@@ -30,8 +31,8 @@ from .components import components
 TREES, DEPTH, REGION, WORDS = 12, 8, 3, 5
 #: Signature agreement from which a pair is confirmed: four deviations under 0.85.
 AGREE = 0.70
-#: Classes in a region before it is split by a longer prefix, and classes compared at a time.
-REGION_ROWS, SLICE_ROWS = 50_000, 2000
+#: Classes of a region compared at a time.
+SLICE_ROWS = 2000
 #: Shingles up to which a set is tested where its region is; of larger sets that many hashes are a sample.
 KNOWN = 1024
 #: Ids up to which the documents to confirm are picked by broadcast (8 bytes each).
@@ -142,18 +143,12 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed_regions(rows: DataFrame) -> DataFrame:
-    """rows (with component) of regions that hold several components, with the depth and number of their region."""
-    done, pending = None, rows
-    for depth in range(REGION, DEPTH + 1):
-        found = pending.groupBy("tree", prefix(depth).alias("region")).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("tree", "region", "n")
-        found = cut(found, "regions")
-        fits = found if depth == DEPTH else found.filter(F.col("n") <= REGION_ROWS)
-        part = pending.withColumn("region", prefix(depth)).join(small_or_not(fits, 100_000), ["tree", "region"])
-        done = part if done is None else done.unionByName(part)
-        if depth == DEPTH or found.filter(F.col("n") > REGION_ROWS).isEmpty():
-            return done
-        pending = pending.withColumn("region", prefix(depth)).join(found.filter(F.col("n") > REGION_ROWS).select("tree", "region"), ["tree", "region"], "left_semi").drop("region")
-    return done
+    """rows (with component) of regions that hold several components, with the region, its number of rows, its most
+    frequent component (top) and the number of rows outside that (rare)."""
+    counts = rows.groupBy("tree", prefix(REGION).alias("region"), "component").agg(F.count("*").alias("own"))
+    found = counts.groupBy("tree", "region").agg(F.sum("own").alias("n"), F.max(F.struct("own", "component")).alias("most")).filter("most.own < n")
+    found = cut(found.select("tree", "region", "n", F.col("most.component").alias("top"), F.expr("n - most.own").alias("rare")), "regions")
+    return rows.withColumn("region", prefix(REGION)).join(small_or_not(found, 100_000), ["tree", "region"])
 
 
 def sketched(classes: DataFrame, nodes: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,16 +177,21 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | Non
     Pairs whose sets are known whole are tested here (sure); of their links a task returns those that join components it
     had not joined yet, so fewer than it has components. Pairs with a larger set are candidates (not sure) where their
     samples agree within four deviations; of a class and another component only the `most` best are returned, if given.
-    Regions are dealt over pairs of slices; within the most frequent component nothing is compared."""
-    slices = F.ceil(F.col("n") / F.lit(SLICE_ROWS)).cast("int")
-    own = F.pmod(F.xxhash64("node"), slices).cast("int")
-    dealt = rows.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-    dealt = dealt.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).select("tree", "region", "i", "j", "slice", "node", "n_shingles", "component")
+    Within the most frequent component of a region nothing is compared. Rows outside it (rare) are dealt over pairs of
+    their slices and over pairs with the slices of that component, which are numbered after theirs; a row of that
+    component is copied only as often as there are rare slices. A region of one slice is one task."""
+    rares = F.ceil(F.col("rare") / F.lit(SLICE_ROWS)).cast("int")
+    tops = F.when(F.col("n") > SLICE_ROWS, F.ceil((F.col("n") - F.col("rare")) / F.lit(SLICE_ROWS))).otherwise(0).cast("int")
+    rare = F.col("component") != F.col("top")
+    own = F.when(rare, F.pmod(F.xxhash64("node"), rares)).when(F.col("n") > SLICE_ROWS, rares + F.pmod(F.xxhash64("node"), tops)).otherwise(0).cast("int")
+    others = F.sequence(F.lit(0), F.when(rare, rares + tops).otherwise(rares) - 1)
+    dealt = rows.withColumn("slice", own).withColumn("other", F.explode(others))
+    dealt = dealt.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).select("tree", "region", "i", "j", "slice", "node", "n_shingles", "component", "top")
     dealt = dealt.join(sketches, "node")
 
     def make_pairs(table: pa.Table) -> pa.Table:
         node, size, component, part = (table[c].to_numpy() for c in ("node", "n_shingles", "component", "slice"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, top = (table[c][0].as_py() for c in ("i", "j", "top"))
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), ">u2").reshape(len(node), -1)
         items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
         lengths = np.array([len(x) for x in items])
@@ -200,13 +200,12 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | Non
         names, ids = np.unique(flat, return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(lengths)))
         marks = np.zeros(len(names), bool)
-        values, counts = np.unique(component, return_counts=True)
         joined = component.copy()  # components with the links found in this task
         out = []
-        for x in np.flatnonzero(component != values[counts.argmax()]).tolist():
+        for x in np.flatnonzero(component != top).tolist():
             y = (joined != joined[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
-            # Both of the rarer components: once only. Slices i < j: pairs across them only.
-            y &= (component == values[counts.argmax()]) | (node > node[x])
+            # Both outside the most frequent component: once only. Slices i < j: pairs across them only.
+            y &= (component == top) | (node > node[x])
             if i != j:
                 y &= part != part[x]
             y = np.flatnonzero(y)

@@ -91,6 +91,26 @@ def test_near_duplicates_around_the_known_size(spark):
     assert {i: got[i].component_id for i in got} == {i: roots.get(i, i) for i in range(len(texts))}
 
 
+def test_large_regions_are_whole(spark, monkeypatch):
+    """Classes that share REGION values and part at the next one stay in one region, and all its pairs are compared."""
+    prepare(spark)
+    monkeypatch.setattr(near_duplicates, "REGION_ROWS", 5, raising=False)
+    monkeypatch.setattr(near_duplicates, "SLICE_ROWS", 5)
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 1 << 63, 180, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([core[: 180 - k % 7], rng.integers(0, 1 << 63, int(rng.integers(1, 22)), dtype=np.uint64)])) for k in range(40)]
+    parts = [0 if k % 3 else 100 + k for k in range(40)]
+    rows = [(0, b"\0" * 6 + bytes([k]) * 10, k, len(x), parts[k]) for k, x in enumerate(sets)]
+    mixed = cut(near_duplicates.mixed_regions(spark.createDataFrame(rows, "tree int, path binary, node long, n_shingles long, component long")), "mixed-test")
+    assert mixed.count() == 40
+    sketches = spark.createDataFrame([(k, near_duplicates.signature(x), x.tobytes()) for k, x in enumerate(sets)], "node long, signature binary, items binary")
+    found = near_duplicates.crossing(mixed, sketches, 85, None).collect()
+    links = [(r.a, r.b) for r in found] + [(a, b) for a in range(40) for b in range(a) if parts[a] == parts[b]]
+    true = [(a, b) for a in range(40) for b in range(a) if parts[a] == parts[b] or near_duplicates.similar(sets[a], sets[b], 85)]
+    assert all(r.sure and near_duplicates.similar(sets[r.a], sets[r.b], 85) for r in found)
+    assert sorted(components.forest(links)) == sorted(components.forest(true)) and len(true) > 300
+
+
 def test_components_in_rounds(spark, monkeypatch):
     prepare(spark)
     monkeypatch.setattr(components, "LOCAL_LINKS", 10)
