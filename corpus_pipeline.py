@@ -14,6 +14,8 @@ from prismspark.llm.common import cut, prepare, small_or_not
 from prismspark.session import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity of near-duplicates in the pipeline; the query op4 has its own.
+SIMILAR_PERCENT = 80
 #: Ids up to which the documents to drop are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -30,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates stays; rows without doc_id stay."""
     prepare(spark)
     docs = docs.select(*COLUMNS)
-    found = cut(near_duplicates.near_duplicates(docs).select("doc_id", "kept"), "kept")
+    found = cut(near_duplicates.near_duplicates(docs, percent=SIMILAR_PERCENT).select("doc_id", "kept"), "kept")
     gone = small_or_not(found.filter("not kept").select("doc_id").distinct(), BROADCAST_IDS)
     stay = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     # A doc_id that several rows carry is one document: of its rows one stays.

@@ -15,7 +15,9 @@ kept; other columns are not read; an empty table gives an empty table. Texts of
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from .common import cut, drop, join_hot, map_rows, mix64, small_or_not
 from .components import components
 
-#: At 85 % similarity a pair shares a region with a chance of 0.61 in each of 12 orders: about 1 in 90,000 pairs is missed.
-TREES, DEPTH, REGION, WORDS = 12, 8, 3, 5
-#: Signature agreement from which a pair is confirmed: four deviations under 0.85.
-AGREE = 0.70
+#: Values of an order; at most so many are the common prefix of a region; words of a shingle.
+DEPTH, REGION, WORDS = 8, 3, 5
+#: Share of pairs of exactly the wanted similarity that may share no region in any order, and orders up to which that is
+#: reached by more orders before it is by a shorter prefix.
+MISSED, MOST_TREES = 1 / 90_000, 24
+#: Deviations under the wanted similarity to which the agreement of signatures or samples may fall before a pair is not tested.
+DEVIATIONS = 5
 #: Classes of a region compared at a time.
 SLICE_ROWS = 2000
 #: Shingles up to which a set is tested where its region is; of larger sets that many hashes are a sample.
@@ -38,9 +43,22 @@ KNOWN = 1024
 #: Ids up to which the documents to confirm are picked by broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 KNOWN_WORDS = 400_000
-_rng = np.random.default_rng(4)
-XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
-ODD = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shape(percent: int) -> tuple[int, int]:
+    """Orders and values of a region's prefix for a similarity: 12 and 3 at 85 %, 16 and 3 at 80 %."""
+    for region in range(REGION, 0, -1):
+        trees = max(1, math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - (percent / 100) ** region))))
+        if trees <= MOST_TREES:
+            break
+    return trees, region
+
+
+@functools.cache
+def functions(trees: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(4)
+    xor = rng.integers(0, 1 << 63, trees * DEPTH, dtype=np.uint64)
+    return xor, rng.integers(0, 1 << 63, trees * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHashes(dict):
@@ -68,11 +86,12 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(items: np.ndarray) -> bytes:
-    """Sixteen bits of the smallest hash of the set under each of TREES * DEPTH functions."""
-    least = np.full(len(ODD), np.iinfo(np.uint64).max, np.uint64)
+def signature(items: np.ndarray, trees: int = 12) -> bytes:
+    """Sixteen bits of the smallest hash of the set under each of trees * DEPTH functions."""
+    xor, odd = functions(trees)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(items), 2048):
-        least = np.minimum(least, ((items[None, i : i + 2048] ^ XOR[:, None]) * ODD[:, None]).min(1))
+        least = np.minimum(least, ((items[None, i : i + 2048] ^ xor[:, None]) * odd[:, None]).min(1))
     # The bytes are big-endian, so that sorting them sorts the values.
     return (mix64(least) & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
@@ -84,7 +103,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def signed(docs: DataFrame, trees: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node, n_shingles, digest of the set, signature: a narrow row per document."""
 
     def make():
@@ -94,7 +113,7 @@ def signed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
                 items = shingles(raw or b"")
                 sizes.append(len(items))
                 digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-                signatures.append(signature(items) if len(items) else None)
+                signatures.append(signature(items, trees) if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["node", "n_shingles", "digest", "signature"])
 
         return each
@@ -102,18 +121,18 @@ def signed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     return map_rows(docs.select(F.col(key).cast("long"), text), make, "node long, n_shingles long, digest binary, signature binary")
 
 
-def orders(classes: DataFrame) -> DataFrame:
-    """tree, path (the signature's values of that tree), node, n_shingles: TREES short rows per class."""
-    trees = F.posexplode(F.array(*(F.substring("signature", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(TREES)))).alias("tree", "path")
-    return classes.select("node", "n_shingles", trees)
+def orders(classes: DataFrame, trees: int) -> DataFrame:
+    """tree, path (the signature's values of that tree), node, n_shingles: as many short rows per class as trees."""
+    each = F.posexplode(F.array(*(F.substring("signature", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(trees)))).alias("tree", "path")
+    return classes.select("node", "n_shingles", each)
 
 
 def prefix(depth: int) -> F.Column:
     return F.substring("path", 1, 2 * depth)
 
 
-def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b, shared: the nearest in sorted order with a common prefix of REGION values; sizes must allow a link."""
+def neighbours(rows: DataFrame, percent: int, region: int) -> DataFrame:
+    """a, b, shared: the nearest in sorted order with a common prefix of `region` values; sizes must allow a link."""
 
     def make():
         last: list[tuple] = []
@@ -122,8 +141,8 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
             out = []
             for tree, path, node, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for t, p, m, k in last:
-                    if t == tree and p[: 2 * REGION] == path[: 2 * REGION] and m != node and min(n, k) * 100 >= percent * max(n, k):
-                        shared = REGION
+                    if t == tree and p[: 2 * region] == path[: 2 * region] and m != node and min(n, k) * 100 >= percent * max(n, k):
+                        shared = region
                         while shared < DEPTH and p[2 * shared : 2 * shared + 2] == path[2 * shared : 2 * shared + 2]:
                             shared += 1
                         out.append((min(m, node), max(m, node), shared))
@@ -142,13 +161,13 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).filter("place <= 2").select("a", "b")
 
 
-def mixed_regions(rows: DataFrame) -> DataFrame:
+def mixed_regions(rows: DataFrame, depth: int = REGION) -> DataFrame:
     """rows (with component) of regions that hold several components, with the region, its number of rows, its most
     frequent component (top) and the number of rows outside that (rare)."""
-    counts = rows.groupBy("tree", prefix(REGION).alias("region"), "component").agg(F.count("*").alias("own"))
+    counts = rows.groupBy("tree", prefix(depth).alias("region"), "component").agg(F.count("*").alias("own"))
     found = counts.groupBy("tree", "region").agg(F.sum("own").alias("n"), F.max(F.struct("own", "component")).alias("most")).filter("most.own < n")
     found = cut(found.select("tree", "region", "n", F.col("most.component").alias("top"), F.expr("n - most.own").alias("rare")), "regions")
-    return rows.withColumn("region", prefix(REGION)).join(small_or_not(found, 100_000), ["tree", "region"])
+    return rows.withColumn("region", prefix(depth)).join(small_or_not(found, 100_000), ["tree", "region"])
 
 
 def sketched(classes: DataFrame, nodes: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +195,7 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | Non
 
     Pairs whose sets are known whole are tested here (sure); of their links a task returns those that join components it
     had not joined yet, so fewer than it has components. Pairs with a larger set are candidates (not sure) where their
-    samples agree within four deviations; of a class and another component only the `most` best are returned, if given.
+    samples agree within DEVIATIONS; of a class and another component only the `most` best are returned, if given.
     Within the most frequent component of a region nothing is compared. Rows outside it (rare) are dealt over pairs of
     their slices and over pairs with the slices of that component, which are numbered after theirs; a row of that
     component is copied only as often as there are rare slices. A region of one slice is one task."""
@@ -197,6 +216,8 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | Non
         lengths = np.array([len(x) for x in items])
         last = np.where(size <= KNOWN, np.iinfo(np.uint64).max, np.array([x[-1] for x in items], np.uint64))
         flat = np.concatenate(items)
+        share = percent / 100
+        agree = share - DEVIATIONS * np.sqrt(share * (1 - share) / sig.shape[1])
         names, ids = np.unique(flat, return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(lengths)))
         marks = np.zeros(len(names), bool)
@@ -210,7 +231,7 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | Non
                 y &= part != part[x]
             y = np.flatnonzero(y)
             if len(y):
-                y = y[(sig[y] == sig[x]).mean(1) >= AGREE]
+                y = y[(sig[y] == sig[x]).mean(1) >= agree]
             if not len(y):
                 continue
             # Up to the smaller of both last items the samples are whole: of full sets everything is compared.
@@ -228,9 +249,8 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | Non
                 if joined[k] != joined[x]:
                     out.append((int(node[x]), int(node[k]), 1.0, int(component[k]), True))
                     joined[joined == joined[k]] = joined[x]
-            share = percent / 100
             agreement = both / either
-            unsure = ~whole & (agreement >= share - 4 * np.sqrt(share * (1 - share) / either))
+            unsure = ~whole & (agreement >= share - DEVIATIONS * np.sqrt(share * (1 - share) / either))
             y, agreement = y[unsure], agreement[unsure]
             if most and len(y) > most:
                 order = np.lexsort((-agreement, component[y]))
@@ -286,11 +306,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, *, key: str = "do
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id, kept of every row of docs."""
-    found = cut(signed(docs, key=key, text=text), "signed")
+    trees, region = shape(percent)
+    found = cut(signed(docs, trees, key=key, text=text), "signed")
     members = found.filter("node is not null and n_shingles > 0")
     classes = cut(members.groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    rows = cut(orders(classes), "orders")
-    tested = cut(neighbours(rows, percent), "pairs")
+    rows = cut(orders(classes, trees), "orders")
+    tested = cut(neighbours(rows, percent, region), "pairs")
     links = cut(confirmed(tested, docs, percent, key=key, text=text), "confirmed")
     # The first round tests all pairs of sets known whole, and of each larger class the best partners in each other
     # component; the second round all partners that are still apart, where a larger class takes part.
@@ -298,7 +319,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     for most in (4, None):
         parts = cut(components(links), "components")
         placed = cut(rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        mixed = cut(mixed_regions(placed if most else placed.filter(F.col("n_shingles") * 100 >= percent * KNOWN)), "mixed")
+        mixed = cut(mixed_regions(placed if most else placed.filter(F.col("n_shingles") * 100 >= percent * KNOWN), region), "mixed")
         if sketches is None:
             sketches = cut(sketched(classes, mixed.select("node").distinct(), docs, key=key, text=text), "sketches")
         crossed = cut(crossing(mixed, sketches, percent, most), "crossed")

@@ -91,6 +91,29 @@ def test_near_duplicates_around_the_known_size(spark):
     assert {i: got[i].component_id for i in got} == {i: roots.get(i, i) for i in range(len(texts))}
 
 
+def test_near_duplicates_at_80_percent(spark):
+    """Pairs close to 80 and close below, against brute force."""
+    texts = []
+    for k in range(150):
+        # 100 - n of 100 + n shingles are common: 80.2 or 78.6 %.
+        words = [f"w{k}_{i}" for i in range(104)]
+        n = 11 if k % 2 else 12
+        texts += [" ".join(words), " ".join(words[n:] + [f"x{k}_{i}" for i in range(n)])]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, texts), percent=80).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])]
+    assert len(pairs) == 75
+    assert got == {i: dict((n, r) for r, n in components.forest(pairs)).get(i, i) for i in range(len(texts))}
+    assert near_duplicates.shape(85) == (12, 3) and near_duplicates.shape(80) == (16, 3)
+
+
+def test_pipeline_takes_80_percent(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words[10:] + [f"x{i}" for i in range(10)])]  # 90 of 110 shingles: 81.8 %
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").count() == 1
+
+
 def test_large_regions_are_whole(spark, monkeypatch):
     """Classes that share REGION values and part at the next one stay in one region, and all its pairs are compared."""
     prepare(spark)
