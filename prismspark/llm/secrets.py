@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long runs of key characters, values assigned to credential names, and private key blocks. Each is
+Candidates are long runs of key characters, values assigned to credential names, passwords in URLs, and private key blocks. Each is
 described by its length, character transitions, dictionary coverage, the path it was found under and neighbouring
 words; a forest trained on labelled findings scores it, and findings under the threshold are dropped.
 
@@ -19,6 +19,7 @@ import random
 import re
 import string
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from .common import map_rows, texts_of
 
 RUN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)|[A-Za-z0-9_+/=~.:\-]{8,}", re.S)
 NAME = re.compile(r"(?i)(?:^|[_.\-])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|auth|credentials?|bearer)$")
+#: A credential name and its value up to the closing quote or, without one, to white space.
+ASSIGNED = re.compile(r"""(?i)(?<![A-Za-z0-9])((?:[A-Za-z0-9]{1,40}[_.\-]){0,6}(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|auth|credentials?|bearer))["'`]?[ \t]{0,8}[=:][ \t]{0,8}(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|(?!//)([^\s"'`]+))""")
+#: The password of scheme://user:password@host.
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s/:@\"'<>]{0,200}:([^\s/\"'<>]+)@")
 #: Formats of issued credentials.
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+|glpat-[\w-]{20}")
 GOOD_WORDS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential credentials private access login".split())
@@ -41,8 +46,18 @@ FEATURES = 22
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, kind, name of each candidate value; the name is what it is assigned to."""
+    """start, end, kind, name of each candidate value, in order and without overlaps; the name is what it is assigned to.
+    Values of credential names and passwords of URLs are taken whole, at any length and of any characters."""
     out = []
+    for m in ASSIGNED.finditer(text):
+        quoted = 2 if m[2] is not None else 3 if m[3] is not None else 4 if m[4] is not None else 0
+        start, end = m.span(quoted or 5)
+        if not quoted:
+            end -= len(m[5]) - len(m[5].rstrip(".,;:)]}>"))
+        if end > start and not text.startswith("-----BEGIN", start):
+            out.append((start, end, "issued" if ISSUED.fullmatch(text, start, end) else "assigned", m[1][-40:]))
+    for m in URL.finditer(text):
+        out.append((*m.span(1), "url_password", ""))
     for m in RUN.finditer(text):
         run, start = m.group(), m.start()
         if run.startswith("-----BEGIN"):
@@ -58,13 +73,16 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
                 name = before[:-1].rstrip(" \t\"'`").rsplit(None, 1)[-1] if before[:-1].strip(" \t\"'`") else ""
         start += offset
         named = bool(NAME.search(name))
-        if len(value) < (8 if named else 16) or not any(c.isdigit() for c in value) and not ISSUED.match(value) and not named:
-            continue
-        if not named and value.isdigit() and len(value) < 16:
+        if len(value) < (1 if named else 16):
             continue
         kind = "issued" if ISSUED.fullmatch(value) else "assigned" if named else "run"
         out.append((start, start + len(value), kind, name[-40:]))
-    return out
+    # Of overlapping candidates the first counts, of those with one start the longest: a value is scored whole.
+    whole: list[tuple[int, int, str, str]] = []
+    for found in sorted(out, key=lambda c: (c[0], -c[1])):
+        if not whole or found[0] >= whole[-1][1]:
+            whole.append(found)
+    return whole
 
 
 def _class(c: str) -> int:
@@ -78,12 +96,11 @@ def features(text: str, start: int, end: int, kind: str, name: str, path: str) -
     classes = [_class(c) for c in value]
     shares = [classes.count(k) / n for k in range(4)]
     moves = [0.0] * 4
-    for a, b in zip(classes, classes[1:], strict=False):
-        moves[0 if a == b else 1 if {a, b} == {0, 1} else 2 if {a, b} == {1, 2} else 3] += 1 / n
-    counts = [value.count(c) for c in set(value)]
+    for (a, b), times in Counter(zip(classes, classes[1:], strict=False)).items():
+        moves[0 if a == b else 1 if {a, b} == {0, 1} else 2 if {a, b} == {1, 2} else 3] += times / n
+    counts = list(Counter(value).values())
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
-    pieces = re.findall(r"[A-Za-z][a-z]+|[A-Z]{3,}", value)
-    covered = sum(len(w) for w in pieces if w.lower() in DICTIONARY) / n
+    covered = sum(len(m[0]) for m in re.finditer(r"[A-Za-z][a-z]+|[A-Z]{3,}", value) if m[0].lower() in DICTIONARY) / n
     vowels = sum(c in "aeiouAEIOU" for c in value) / n
     before = text[max(0, start - 60) : start].lower()
     near = re.findall(r"[a-z_0-9]+", before)[-4:] + re.findall(r"[a-z]+", text[end : end + 40].lower())[:2]
@@ -91,7 +108,7 @@ def features(text: str, start: int, end: int, kind: str, name: str, path: str) -
     steps = sum(ord(b) - ord(a) in (0, 1) for a, b in zip(value, value[1:], strict=False)) / n
     return [
         n, math.log(n), *shares, *moves, entropy, entropy / math.log2(max(n, 2)), covered, vowels, max(counts) / n, steps,
-        float(kind == "issued") + 2.0 * (kind == "private_key"), float(bool(NAME.search(name))), float(any(w in GOOD_WORDS for w in near)), float(any(w in BAD_WORDS for w in near)),
+        float(kind == "issued") + 3.0 * (kind == "url_password") + 2.0 * (kind == "private_key"), float(bool(NAME.search(name)) or kind == "url_password"), float(any(w in GOOD_WORDS for w in near)), float(any(w in BAD_WORDS for w in near)),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))), float(bool(parts & {"test", "tests", "example", "examples", "docs", "fixtures"})),
     ]
 
@@ -109,7 +126,16 @@ def labelled_findings(n: int = 3000, seed: int = 10) -> list[tuple[str, int, int
         lambda: ("-", "AKIA" + pick(string.ascii_uppercase + "234567", 16)), lambda: ("-", "AKIA" + pick(string.ascii_uppercase + string.digits, 16)), lambda: ("-", "ghp_" + pick(alnum, 36)), lambda: ("-", "sk_live_" + pick(alnum, 24)), lambda: ("-", "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24)), lambda: ("-", "AIza" + pick(alnum, 35)),
         lambda: ("-", "eyJ" + pick(alnum, 20) + ".eyJ" + pick(alnum, 40) + "." + pick(alnum, 43)), lambda: ("-", "-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(rng.randbytes(300)).decode() + "\n-----END RSA PRIVATE KEY-----"),
     ]
+    signs = alnum + "!@#$%^&*?"
+    true += [
+        lambda: ("", pick(string.ascii_lowercase, rng.randint(3, 6)) + pick(string.digits, rng.randint(0, 3)) + pick("!@#$%&*?", rng.randint(1, 2))), lambda: ("", pick(signs, rng.randint(6, 20))), lambda: ("", pick(string.ascii_letters, rng.randint(8, 40))),
+        lambda: ("-", f"{rng.choice(['postgres', 'mysql', 'redis', 'amqp', 'https'])}://{words(1)}:{pick(rng.choice([alnum, signs.replace('@', ''), string.ascii_letters]), rng.randint(6, 24))}@{words(1)}/{words(1)}"),
+        lambda: ("-", pick(string.ascii_letters, rng.randint(20, 48))), lambda: ("-", pick(rng.choice([string.ascii_lowercase, string.ascii_uppercase]), rng.randint(20, 48))),
+    ]
     false = [
+        lambda: ("", words(1)), lambda: ("", "_".join(words(2).split())), lambda: ("", rng.choice(["true", "false", "null", "none", "None", "changeme", "password", "secret", "your_token", "example", "str", "string", "xxxx", "****", "<token>", "${TOKEN}", "os.environ", "{}", "..."])), lambda: ("", f"{words(1)}.{words(1)}({words(1)})"),
+        lambda: ("-", f"{rng.choice(['postgres', 'mysql', 'https'])}://{rng.choice(['user', words(1)])}:{rng.choice(['password', 'pass', 'changeme', 'xxxx', '<password>', '${PASSWORD}', 'example'])}@{words(1)}/{words(1)}"), lambda: ("-", "".join(w.title() for w in words(6).split())),
+        lambda: ("-", rng.choice("/.-_:").join(words(rng.randint(3, 7)).split())), lambda: ("-", rng.choice(["", "/", "~/"]) + "/".join(rng.sample(sorted(DICTIONARY), 4)) + ".py"), lambda: ("-", rng.choice(["", "_"]).join(rng.sample(sorted(DICTIONARY), 4))), lambda: ("-", "".join(words(7).split())), lambda: ("-", rng.choice("/~_+ax") * rng.randint(16, 60)),
         lambda: ("", rng.choice(["changeme123", "your_password_here1", "example_token_value1", "xxxxxxxxxxxxxxxx1", "password1234", "12345678", "00000000000000000000", "test_test_test_01"])),
         lambda: ("-", pick(string.digits, rng.choice([16, 16, 18, 20]))), lambda: ("commit ", pick(hexa, 40)), lambda: ("sha256 checksum ", pick(hexa, 64)), lambda: ("md5 hash ", pick(hexa, 32)), lambda: ("id ", str(uuid.UUID(int=rng.getrandbits(128)))),
         lambda: ("-", "_".join(words(rng.randint(3, 5)).split()) + str(rng.randint(1, 99))), lambda: ("-", "https://" + words(1) + ".example.com/" + words(1) + "/" + pick(string.digits, 4)), lambda: ("-", words(1) + "." + str(rng.randint(1, 99)) + "@" + words(1) + rng.choice(["2", "7"]) + ".example.com"), lambda: ("-", f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T0{rng.randint(0, 9)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}"), lambda: ("-", "".join(words(5).split()) + str(rng.randint(1, 9))),
