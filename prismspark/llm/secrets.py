@@ -91,7 +91,7 @@ def _class(c: str) -> int:
 
 def features(text: str, start: int, end: int, kind: str, name: str, path: str) -> list[float]:
     """Length, transitions, coverage, path and neighbours of one candidate."""
-    value = text[start : min(end, start + 4096)]
+    value = text[start:end]
     n = len(value)
     classes = [_class(c) for c in value]
     shares = [classes.count(k) / n for k in range(4)]

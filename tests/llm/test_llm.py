@@ -294,6 +294,12 @@ def test_no_secrets_of_plain_words(text):
     assert all(p < secrets.THRESHOLD for *_, p in secrets.judged([text], ["config/prod.env"], secrets.default_forest())[0])
 
 
+def test_secret_features_of_long_values():
+    value = "ab1X" * 1024 + "9" * 5000
+    found = secrets.features(value, 0, len(value), "run", "", "")
+    assert found[0] == len(value) and found[2] == pytest.approx(6024 / 9096)
+
+
 def test_empty_tables(spark):
     d = docs(spark, [])
     path = P.path("byte_bpe_50k.json")
