@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
         pairs = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), "pairs")
         if pairs.isEmpty() and sure.isEmpty():
-            break
+            continue  # the round without a cap is still to come: partners beyond it may not be tested yet
         links = cut(links.unionByName(sure).unionByName(confirmed(pairs, docs, percent, key=key, text=text)), "confirmed")
         tested = tested.unionByName(pairs)
         parts = None

@@ -91,6 +91,16 @@ def test_near_duplicates_around_the_known_size(spark):
     assert {i: got[i].component_id for i in got} == {i: roots.get(i, i) for i in range(len(texts))}
 
 
+def test_near_duplicates_round_without_cap(spark, monkeypatch):
+    """Where all partners within the cap were tested and rejected, the round without a cap still runs."""
+    base = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(base), " ".join(base[250:] + [f"x{i}" for i in range(250)])]
+    rounds, crossing = [], near_duplicates.crossing
+    monkeypatch.setattr(near_duplicates, "crossing", lambda rows, sketches, percent, most: rounds.append(most) or crossing(rows, sketches, percent, most))
+    assert near_duplicates.near_duplicates(docs(spark, texts)).filter("kept").count() == 2
+    assert rounds == [4, None]
+
+
 def test_near_duplicates_at_80_percent(spark):
     """Pairs close to 80 and close below, against brute force."""
     texts = []
