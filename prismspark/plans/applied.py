@@ -9,8 +9,6 @@ from prismspark.operators import images, matching, provenance, training
 from prismspark.session import read_table, work_folder
 from prismspark.streaming import temporal
 
-#: Trees of the forest candidate in the query; the operator's own default is 300.
-TREES = 60
 CANDIDATE_FEATURES = ["size", "words", "lines", "digits", "symbols", "distinct_words"]
 
 
@@ -81,7 +79,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.benchmark(candidates(spark, sf_dir), CANDIDATE_FEATURES, "doc_id", trees=TREES)
+    return training.benchmark(candidates(spark, sf_dir), CANDIDATE_FEATURES, "doc_id")
 
 
 def held_out_generators(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,3 +151,22 @@ def test_late_frames_are_marked():
 @pytest.mark.parametrize("name", ["image_measures", "image_hashes", "sequence_alignment", "copy_move", "validation_flatten"])
 def test_applied_queries_give_rows(spark, name):
     assert isinstance(APPLIED[name][1](spark, SF).toPandas(), pd.DataFrame)
+
+
+def test_candidates_are_whole(spark):
+    from prismspark.plans import applied
+
+    assert not hasattr(applied, "TREES") and training.estimator("boosting", 300, 10).getMaxIter() == 100
+
+
+def test_areas(spark):
+    """ROC area against all pairs, average precision against its steps; ties, groups and a group of one class."""
+    rows = [("a", k * 7 % 5 % 2, k * 13 % 11 / 11) for k in range(60)] + [(None, k % 2, 0.5 + k / 90000) for k in range(40)] + [("one", 1, 0.3)]
+    got = {r.g: r for r in training.metrics(spark.createDataFrame(rows, "g string, label int, score double"), ["g"]).collect()}
+    for g in ("a", None):
+        own = [(y, s) for h, y, s in rows if h == g]
+        p, n = [s for y, s in own if y], [s for y, s in own if not y]
+        roc = sum((x > z) + (x == z) / 2 for x in p for z in n) / len(p) / len(n)
+        pr = sum(sum(x >= s for x in p) / sum(x >= s for _, x in own) for s in p) / len(p)
+        assert abs(got[g].roc_auc - roc) < 1e-12 and abs(got[g].pr_auc - pr) < 1e-12
+    assert got["one"].roc_auc is None and got["one"].pr_auc is None and got["one"].tp == 0
