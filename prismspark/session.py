@@ -31,10 +31,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir. Only a session in one process (tests)
+    may have none: it gets a local folder. On a cluster a local folder would be seen by one machine only, so that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "prismspark-work")
+    return root.rstrip("/")
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a session without one (tests) gets a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prismspark-work")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
