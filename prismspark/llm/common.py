@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.session import ship
+from prismspark.session import shared_folder, ship
 
 #: Rows in one Arrow batch: texts are long, so batches are short.
 BATCH_ROWS = "1000"
+#: Spark removes the shuffle files of a finished write when this is set: what cut() wrote does not need them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,24 +25,28 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session without one (tests) gets a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "prismspark-scratch")
-    return root.rstrip("/")
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path for a table or for files in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path for a table or for files in the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the queries run inside are removed as each ends; the setting is put back afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back

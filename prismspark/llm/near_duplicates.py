@@ -2,15 +2,20 @@
 
 A document is the set of its distinct shingles of five words. Documents with equal sets are one class; classes get
 MinHash signatures that are sorted in several orders (trees). In each order, neighbours with a common prefix of at
-least REGION values are candidates. Links are confirmed on full sets. Then the regions (classes that share a prefix)
-in which classes of different components remain are searched between components only: sets of usual size are compared
-whole in the region's task, which returns no more links than join its components, so that a large group of near copies
-costs no pairs of its own; larger sets give candidates. A region is whole at every size: its classes outside its most
-frequent component are held against all of it, slice by slice.
+least REGION values are candidates; links are confirmed on full sets. What then remains is searched by regions, the
+classes that share a prefix: a region of many rows is first descended to the depth at which its parts are small, so
+that a crowd of near copies joins cheaply, and then every region is searched whole at REGION values, at every size.
+
+A region is searched between components only. First its signatures are compared, and only classes with a partner whose
+signature agrees within DEVIATIONS stay; then their full sets are, whatever their size, in slices of bounded bytes.
+A task returns no more links than join the components it holds, so a large group of near copies costs no pairs of its
+own. Rows outside a region's most frequent component are held against all of it.
 
 Edge cases: texts without words or null have no shingles and are linked with nothing; texts of fewer than five words
 are one shingle, the whole sequence; rows that share a doc_id are one node; rows without doc_id take no part and are
-kept; other columns are not read; an empty table gives an empty table. Texts of any length are used whole.
+kept; other columns are not read; an empty table gives an empty table. Texts of any length are used whole. Pairs are
+missed by chance only where they share no region in any order or their signatures agree too little (see MISSED and
+DEVIATIONS); no bound on rows, sizes or partners drops any.
 """
 
 from __future__ import annotations
@@ -34,15 +39,14 @@ DEPTH, REGION, WORDS = 8, 3, 5
 #: Share of pairs of exactly the wanted similarity that may share no region in any order, and orders up to which that is
 #: reached by more orders before it is by a shorter prefix.
 MISSED, MOST_TREES = 1 / 90_000, 24
-#: Deviations under the wanted similarity to which the agreement of signatures or samples may fall before a pair is not tested.
+#: Deviations under the wanted similarity to which the agreement of signatures may fall before a pair is not tested.
 DEVIATIONS = 5
-#: Classes of a region compared at a time.
-SLICE_ROWS = 2000
-#: Shingles up to which a set is tested where its region is; of larger sets that many hashes are a sample.
-KNOWN = 1024
-#: Ids up to which the documents to confirm are picked by broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
-KNOWN_WORDS = 400_000
+#: Rows of a region above which it is descended first; classes and shingles (8 bytes each) of a slice. A set is never cut.
+DENSE_ROWS, SLICE_ROWS, SLICE_ITEMS = 2000, 2000, 1_000_000
+#: Ids up to which the documents to confirm are picked by broadcast (8 bytes each); regions up to which they are (50 bytes each).
+BROADCAST_IDS, BROADCAST_REGIONS = 500_000, 100_000
+#: Word hashes (about 100 bytes each) and shingles (8 bytes each) that a worker keeps.
+KNOWN_WORDS, KNOWN_SHINGLES = 200_000, 2_000_000
 
 
 def shape(percent: int) -> tuple[int, int]:
@@ -161,150 +165,176 @@ def neighbours(rows: DataFrame, percent: int, region: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).filter("place <= 2").select("a", "b")
 
 
-def mixed_regions(rows: DataFrame, depth: int = REGION) -> DataFrame:
-    """rows (with component) of regions that hold several components, with the region, its number of rows, its most
-    frequent component (top) and the number of rows outside that (rare)."""
-    counts = rows.groupBy("tree", prefix(depth).alias("region"), "component").agg(F.count("*").alias("own"))
-    found = counts.groupBy("tree", "region").agg(F.sum("own").alias("n"), F.max(F.struct("own", "component")).alias("most")).filter("most.own < n")
-    found = cut(found.select("tree", "region", "n", F.col("most.component").alias("top"), F.expr("n - most.own").alias("rare")), "regions")
-    return rows.withColumn("region", prefix(depth)).join(small_or_not(found, 100_000), ["tree", "region"])
+def descended(placed: DataFrame, region: int, dense_rows: int) -> DataFrame | None:
+    """The rows of regions of more than dense_rows rows, with a longer prefix as their region: for each of them the
+    shortest at which none of its parts has more rows (all values, if there is none). None without such regions."""
+    dense = placed.groupBy("tree", prefix(region).alias("whole")).agg(F.count("*").alias("n")).filter(F.col("n") > dense_rows).select("tree", "whole")
+    dense = cut(dense, "dense")
+    if dense.isEmpty():
+        return None
+    inside = placed.withColumn("whole", prefix(region)).join(small_or_not(dense, BROADCAST_REGIONS), ["tree", "whole"])
+    paths = inside.groupBy("tree", "whole", "path").agg(F.count("*").alias("n")).withColumn("depth", F.explode(F.sequence(F.lit(region + 1), F.lit(DEPTH))))
+    parts = paths.groupBy("tree", "whole", "depth", F.expr("substring(path, 1, 2 * depth)").alias("part")).agg(F.sum("n").alias("n"))
+    levels = parts.groupBy("tree", "whole", "depth").agg(F.max("n").alias("n")).groupBy("tree", "whole").agg(F.coalesce(F.min(F.when(F.col("n") <= dense_rows, F.col("depth"))), F.lit(DEPTH)).alias("depth"))
+    return inside.join(small_or_not(cut(levels, "levels"), BROADCAST_REGIONS), ["tree", "whole"]).withColumn("region", F.expr("substring(path, 1, 2 * depth)")).drop("whole", "depth")
+
+
+def sliced(rows: DataFrame, slice_rows: int, slice_items: int | None = None) -> DataFrame:
+    """rows (tree, region, node, n_shingles, component) of regions that hold several components, with the region's most
+    frequent component (top), dealt over pairs of slices i and j.
+
+    Within the most frequent component of a region nothing is compared. Rows outside it are dealt over pairs of their
+    slices and over pairs with the slices of that component, which are numbered after theirs; a row of that component
+    is copied only as often as there are slices outside it. A region of one slice is one task."""
+    counts = rows.groupBy("tree", "region", "component").agg(F.count("*").alias("own"), F.sum("n_shingles").alias("items"))
+    found = counts.groupBy("tree", "region").agg(F.sum("own").alias("n"), F.sum("items").alias("all_items"), F.max(F.struct("own", "component", "items")).alias("most")).filter("most.own < n")
+
+    def slices(n: F.Column, items: F.Column) -> F.Column:
+        return F.greatest(F.ceil(n / F.lit(slice_rows)), F.ceil(items / F.lit(slice_items)) if slice_items else F.lit(1)).cast("int")
+
+    rest, rest_items = F.col("n") - F.col("most.own"), F.col("all_items") - F.col("most.items")
+    found = found.select("tree", "region", F.col("most.component").alias("top"), slices(rest, rest_items).alias("rares"), F.when(slices(F.col("n"), F.col("all_items")) > 1, slices(F.col("most.own"), F.col("most.items"))).otherwise(0).cast("int").alias("tops"))
+    rows = rows.join(small_or_not(cut(found, "regions"), BROADCAST_REGIONS), ["tree", "region"])
+    rare = F.col("component") != F.col("top")
+    own = F.when(rare, F.pmod(F.xxhash64("node"), F.col("rares"))).when(F.col("tops") > 0, F.col("rares") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(0).cast("int")
+    others = F.sequence(F.lit(0), F.when(rare, F.col("rares") + F.col("tops")).otherwise(F.col("rares")) - 1)
+    dealt = rows.withColumn("slice", own).withColumn("other", F.explode(others))
+    return dealt.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).select("tree", "region", "i", "j", "slice", "node", "n_shingles", "component", "top")
+
+
+def lowest_agreement(percent: int, values: int) -> float:
+    share = percent / 100
+    return share - DEVIATIONS * math.sqrt(share * (1 - share) / values)
+
+
+def partners(x: int, node: np.ndarray, size: np.ndarray, joined: np.ndarray, rare: np.ndarray, part: np.ndarray | None, sig: np.ndarray, percent: int, agree: float) -> np.ndarray:
+    """Rows of other components that x, outside the most frequent one, may be linked with by size and signature.
+    Of two rows outside it one is x; with part, only pairs across two slices count."""
+    y = (joined != joined[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x])) & (~rare | (node > node[x]))
+    if part is not None:
+        y &= part != part[x]
+    y = np.flatnonzero(y)
+    return y[(sig[y] == sig[x]).mean(1) >= agree] if len(y) else y
+
+
+def read_slices(table: pa.Table) -> tuple:
+    node, size, component, part = (table[c].to_numpy() for c in ("node", "n_shingles", "component", "slice"))
+    i, j, top = (table[c][0].as_py() for c in ("i", "j", "top"))
+    return node, size, component, component != top, part if i != j else None, np.frombuffer(b"".join(table["signature"].to_pylist()), ">u2").reshape(len(node), -1)
+
+
+def screened(mixed: DataFrame, signatures: DataFrame, percent: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """tree, region, node: the rows of regions that have a partner of another component by size and signature."""
 
+    def find(table: pa.Table) -> pa.Table:
+        node, size, component, rare, part, sig = read_slices(table)
+        agree, good = lowest_agreement(percent, sig.shape[1]), np.zeros(len(node), bool)
+        for x in np.flatnonzero(rare).tolist():
+            if len(y := partners(x, node, size, component, rare, part, sig, percent, agree)):
+                good[x] = good[y] = True
+        return table.select(["tree", "region", "node"]).filter(pa.array(good))
 
-def sketched(classes: DataFrame, nodes: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, signature, items of the classes among nodes: items are the KNOWN smallest hashes of the set, which is all
-    of a set of at most KNOWN shingles."""
+    dealt = sliced(mixed, slice_rows).join(signatures, ["node", "n_shingles"])
+    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(find, "tree int, region binary, node long").distinct()
+
+
+def full_sets(nodes: DataFrame, docs: DataFrame, trees: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, n_shingles, signature, items (the whole sorted set) of the documents among nodes, once for equal sets."""
 
     def make():
         def each(batch: pa.RecordBatch):
-            digests, held = [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                items = shingles(raw or b"")
-                digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                held.append(items[:KNOWN].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(held, pa.binary())], ["node", "digest", "items"])
+            held = [shingles(raw or b"") for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            digests = [hashlib.blake2b(items.tobytes(), digest_size=16).digest() for items in held]
+            signatures = [signature(items, trees) if len(items) else None for items in held]
+            # Few at a time: the sets of a batch of long texts are large.
+            for i in range(0, len(held), 64):
+                part = slice(i, i + 64)
+                columns = [batch.column(0)[i : i + 64], pa.array([len(x) for x in held[part]], pa.int64()), pa.array(digests[part], pa.binary()), pa.array(signatures[part], pa.binary()), pa.array([x.tobytes() for x in held[part]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "digest", "signature", "items"])
 
         return each
 
     picked = docs.select(F.col(key).cast("long").alias("node"), text).join(small_or_not(nodes, BROADCAST_IDS), "node", "left_semi")
-    found = map_rows(picked, make, "node long, digest binary, items binary")
-    return found.join(classes.select("node", "digest", "signature"), ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "signature", "items")
-
+    return map_rows(picked, make, "node long, n_shingles long, digest binary, signature binary, items binary").filter("n_shingles > 0")
 
-def crossing(rows: DataFrame, sketches: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """a, b, agreement, the component of b, sure: links and candidates of a region between different components.
 
-    Pairs whose sets are known whole are tested here (sure); of their links a task returns those that join components it
-    had not joined yet, so fewer than it has components. Pairs with a larger set are candidates (not sure) where their
-    samples agree within DEVIATIONS; of a class and another component only the `most` best are returned, if given.
-    Within the most frequent component of a region nothing is compared. Rows outside it (rare) are dealt over pairs of
-    their slices and over pairs with the slices of that component, which are numbered after theirs; a row of that
-    component is copied only as often as there are rare slices. A region of one slice is one task."""
-    rares = F.ceil(F.col("rare") / F.lit(SLICE_ROWS)).cast("int")
-    tops = F.when(F.col("n") > SLICE_ROWS, F.ceil((F.col("n") - F.col("rare")) / F.lit(SLICE_ROWS))).otherwise(0).cast("int")
-    rare = F.col("component") != F.col("top")
-    own = F.when(rare, F.pmod(F.xxhash64("node"), rares)).when(F.col("n") > SLICE_ROWS, rares + F.pmod(F.xxhash64("node"), tops)).otherwise(0).cast("int")
-    others = F.sequence(F.lit(0), F.when(rare, rares + tops).otherwise(rares) - 1)
-    dealt = rows.withColumn("slice", own).withColumn("other", F.explode(others))
-    dealt = dealt.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).select("tree", "region", "i", "j", "slice", "node", "n_shingles", "component", "top")
-    dealt = dealt.join(sketches, "node")
+def crossing(mixed: DataFrame, sets: DataFrame, percent: int, slice_rows: int = SLICE_ROWS, slice_items: int = SLICE_ITEMS) -> DataFrame:
+    """a, b: links of a region between different components, tested on full sets. Of its links a task returns those that
+    join components it had not joined yet, so fewer than it has components."""
 
-    def make_pairs(table: pa.Table) -> pa.Table:
-        node, size, component, part = (table[c].to_numpy() for c in ("node", "n_shingles", "component", "slice"))
-        i, j, top = (table[c][0].as_py() for c in ("i", "j", "top"))
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), ">u2").reshape(len(node), -1)
+    def make_links(table: pa.Table) -> pa.Table:
+        node, size, component, rare, part, sig = read_slices(table)
         items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
-        lengths = np.array([len(x) for x in items])
-        last = np.where(size <= KNOWN, np.iinfo(np.uint64).max, np.array([x[-1] for x in items], np.uint64))
-        flat = np.concatenate(items)
-        share = percent / 100
-        agree = share - DEVIATIONS * np.sqrt(share * (1 - share) / sig.shape[1])
-        names, ids = np.unique(flat, return_inverse=True)
-        starts = np.concatenate(([0], np.cumsum(lengths)))
+        agree = lowest_agreement(percent, sig.shape[1])
+        names, ids = np.unique(np.concatenate(items), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(size)))
         marks = np.zeros(len(names), bool)
         joined = component.copy()  # components with the links found in this task
-        out = []
-        for x in np.flatnonzero(component != top).tolist():
-            y = (joined != joined[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
-            # Both outside the most frequent component: once only. Slices i < j: pairs across them only.
-            y &= (component == top) | (node > node[x])
-            if i != j:
-                y &= part != part[x]
-            y = np.flatnonzero(y)
-            if len(y):
-                y = y[(sig[y] == sig[x]).mean(1) >= agree]
+        out: list[tuple[int, int]] = []
+        for x in np.flatnonzero(rare).tolist():
+            y = partners(x, node, size, joined, rare, part, sig, percent, agree)
             if not len(y):
                 continue
-            # Up to the smaller of both last items the samples are whole: of full sets everything is compared.
             mine = ids[starts[x] : starts[x + 1]]
             marks[mine] = True
-            place = np.concatenate(([0], np.cumsum(lengths[y])[:-1]))
-            at = np.repeat(starts[y] - place, lengths[y]) + np.arange(lengths[y].sum())
-            both = np.add.reduceat(marks[ids[at]], place, dtype=np.int64)
-            marks[mine] = False
-            here = np.searchsorted(items[x], last[y], "right")
-            there = lengths[y] if last[x] == np.iinfo(np.uint64).max else np.add.reduceat(flat[at] <= last[x], place, dtype=np.int64)
-            either = here + there - both
-            whole = (size[x] <= KNOWN) & (size[y] <= KNOWN)
-            for k in y[whole & (100 * both >= percent * either)].tolist():
-                if joined[k] != joined[x]:
-                    out.append((int(node[x]), int(node[k]), 1.0, int(component[k]), True))
+            for k in y.tolist():
+                if joined[k] == joined[x]:
+                    continue
+                both = int(marks[ids[starts[k] : starts[k + 1]]].sum())
+                if 100 * both >= percent * (int(size[x]) + int(size[k]) - both):
+                    out.append((int(node[x]), int(node[k])))
                     joined[joined == joined[k]] = joined[x]
-            agreement = both / either
-            unsure = ~whole & (agreement >= share - DEVIATIONS * np.sqrt(share * (1 - share) / either))
-            y, agreement = y[unsure], agreement[unsure]
-            if most and len(y) > most:
-                order = np.lexsort((-agreement, component[y]))
-                first = np.flatnonzero(np.concatenate(([True], np.diff(component[y][order]) != 0)))
-                rank = np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))
-                y, agreement = y[order[rank < most]], agreement[order[rank < most]]
-            out += [(int(node[x]), int(n), float(g), int(c), False) for n, g, c in zip(node[y], agreement, component[y], strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
-        kinds = {"a": pa.int64(), "b": pa.int64(), "agreement": pa.float64(), "component": pa.int64(), "sure": pa.bool_()}
-        return pa.table({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
-
-    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(make_pairs, "a long, b long, agreement double, component long, sure boolean")
+            marks[mine] = False
+        a, b = list(zip(*out, strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = sliced(mixed, slice_rows, slice_items).join(sets, ["node", "n_shingles"])
+    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(make_links, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """pairs whose full shingle sets are similar enough. Texts travel compressed; only those of the pairs do."""
+    """pairs whose full shingle sets are similar enough. Texts travel compressed; only those of the pairs do, each pair of
+    different texts of two ids in a row of its own."""
     wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
 
     def packed():
         tool = zstandard.ZstdCompressor(level=3)
 
         def each(batch: pa.RecordBatch):
-            bodies = [tool.compress(raw or b"") for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["node", "body"])
+            raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            names = [hashlib.blake2b(t, digest_size=16).digest() for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array([tool.compress(t) for t in raw], pa.binary())], ["node", "name", "body"])
 
         return each
 
     picked = docs.select(F.col(key).cast("long").alias("node"), text).join(small_or_not(wanted, BROADCAST_IDS), "node", "left_semi")
-    bodies = map_rows(picked, packed, "node long, body binary").groupBy("node").agg(F.collect_set("body").alias("bodies"))
-    bodies = cut(bodies, "bodies")
-    both = pairs.join(bodies.withColumnsRenamed({"node": "a", "bodies": "body_a"}), "a").join(bodies.withColumnsRenamed({"node": "b", "bodies": "body_b"}), "b")
+    bodies = cut(map_rows(picked, packed, "node long, name binary, body binary").dropDuplicates(["node", "name"]), "bodies")
+    both = pairs.join(bodies.withColumnsRenamed({"node": "a", "name": "name_a", "body": "body_a"}), "a").join(bodies.withColumnsRenamed({"node": "b", "name": "name_b", "body": "body_b"}), "b")
 
     def test():
-        tool, recent = zstandard.ZstdDecompressor(), {}
+        tool, recent, held = zstandard.ZstdDecompressor(), {}, [0]
 
-        def sets(bodies: list[bytes]) -> list[np.ndarray]:
-            name = hashlib.blake2b(b"".join(bodies), digest_size=16).digest()
+        def items_of(name: bytes, body: bytes) -> np.ndarray:
             if name not in recent:
-                if len(recent) >= 64:
+                found = shingles(tool.decompress(body))
+                if held[0] + len(found) > KNOWN_SHINGLES:
                     recent.clear()
-                recent[name] = [shingles(tool.decompress(b)) for b in bodies]
+                    held[0] = 0
+                recent[name] = found
+                held[0] += len(found)
             return recent[name]
 
         def each(batch: pa.RecordBatch):
-            left, right = (c.to_pylist() for c in batch.columns[2:])
-            good = [any(similar(x, y, percent) for x in sets(s) for y in sets(t)) for s, t in zip(left, right, strict=True)]
+            names_a, bodies_a, names_b, bodies_b = (c.to_pylist() for c in batch.columns[2:])
+            good = [similar(items_of(m, s), items_of(n, t), percent) for m, s, n, t in zip(names_a, bodies_a, names_b, bodies_b, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         return each
 
-    return map_rows(both.select("a", "b", "body_a", "body_b"), test, "a long, b long")
+    return map_rows(both.select("a", "b", "name_a", "body_a", "name_b", "body_b"), test, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, dense_rows: int = DENSE_ROWS, slice_rows: int = SLICE_ROWS, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """key, n_shingles, component_id, kept of every row of docs."""
     trees, region = shape(percent)
     found = cut(signed(docs, trees, key=key, text=text), "signed")
@@ -313,30 +343,28 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = cut(orders(classes, trees), "orders")
     tested = cut(neighbours(rows, percent, region), "pairs")
     links = cut(confirmed(tested, docs, percent, key=key, text=text), "confirmed")
-    # The first round tests all pairs of sets known whole, and of each larger class the best partners in each other
-    # component; the second round all partners that are still apart, where a larger class takes part.
-    sketches = None
-    for most in (4, None):
+    # Ids whose rows hold different sets join the classes of all their rows.
+    several = cut(members.groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("node"), "several")
+    if not several.isEmpty():
+        owners = members.join(small_or_not(several, BROADCAST_IDS), "node").join(classes.select("digest", F.col("node").alias("b")), "digest")
+        links = links.unionByName(cut(owners.select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "same-id"))
+    signatures = classes.select("node", "n_shingles", "signature")
+    parts = cut(components(links), "components")
+    for whole in (False, True):
+        placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        at = placed.withColumn("region", prefix(region)) if whole else descended(placed, region, dense_rows)
+        if at is None:
+            continue
+        at = cut(at.select("tree", "region", "node", "n_shingles", "component"), "regions")
+        some = cut(screened(at, signatures, percent, slice_rows), "screened")
+        if some.isEmpty():
+            continue
+        sets = cut(full_sets(some.select("node").distinct(), docs, trees, key=key, text=text).dropDuplicates(["node", "digest"]).drop("digest"), "sets")
+        crossed = cut(crossing(at.join(some, ["tree", "region", "node"], "left_semi"), sets, percent, slice_rows, slice_items), "crossed")
+        links = links.unionByName(crossed)
         parts = cut(components(links), "components")
-        placed = cut(rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        mixed = cut(mixed_regions(placed if most else placed.filter(F.col("n_shingles") * 100 >= percent * KNOWN), region), "mixed")
-        if sketches is None:
-            sketches = cut(sketched(classes, mixed.select("node").distinct(), docs, key=key, text=text), "sketches")
-        crossed = cut(crossing(mixed, sketches, percent, most), "crossed")
-        drop(placed)
-        sure = crossed.filter("sure").select("a", "b").distinct()
-        pairs = crossed.filter("not sure").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.first("a").alias("a"), F.max("agreement").alias("agreement"), F.first("component").alias("component"))
-        pairs = pairs.join(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_anti")
-        if most:
-            best = Window.partitionBy("a", "component").orderBy(F.col("agreement").desc(), "u", "v")
-            pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
-        pairs = cut(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), "pairs")
-        if pairs.isEmpty() and sure.isEmpty():
-            continue  # the round without a cap is still to come: partners beyond it may not be tested yet
-        links = cut(links.unionByName(sure).unionByName(confirmed(pairs, docs, percent, key=key, text=text)), "confirmed")
-        tested = tested.unionByName(pairs)
-        parts = None
-    parts = cut(components(links), "components") if parts is None else parts
+        for done in (at, some, sets):
+            drop(done)
     named = cut(classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "named")
     linked = join_hot(members.select("node", "n_shingles", "digest"), named, "digest").select("node", "n_shingles", "component_id")
     alone = found.filter("node is null or n_shingles = 0").select("node", "n_shingles", F.col("node").alias("component_id"))

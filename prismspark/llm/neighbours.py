@@ -2,13 +2,17 @@
 
 Vectors are cut in two halves, each quantised by its own centroids; a vector's cell is its pair of centroids. A query
 walks the cells in the order of their summed distances with a heap until the cells hold the wanted share of all
-vectors, and the entries of those cells are reranked by exact distance in double precision.
+vectors, and the entries of those cells, and of no others, are reranked by exact distance in double precision.
 
-Fitting reads a bounded sample (`sample_rows` vectors by a hash of the id). The share to visit is chosen there, too:
-the smallest at which the sample's true neighbours are reached with the wanted recall. Every vector is indexed.
+The number of centroids grows with the table: about the square root of its vectors over `CELL_ROWS`, up to
+`MOST_CENTROIDS`. They are fitted on a bounded sample (`SAMPLE_ROWS` vectors by a hash of the id). The share to visit is
+measured on the whole table: the true neighbours of `PROBES` vectors by brute force, and the smallest share at which
+the walk reaches the wanted recall of them. Every vector is indexed.
 
 Equal vectors form one class: distances are computed once per class, and as ties go to the smaller id only a class's
-`k` + 1 smallest ids can be in a result. Cells are joined with the queries that visit them in blocks of bounded size.
+`k` + 1 smallest ids can be in a result. Cells lie in buckets of at most `BLOCK_ROWS` classes; a larger cell is dealt
+over several. A query goes once to each bucket that holds a cell it visits, and a task holds one bucket while the
+bucket's queries stream past, so that no task's memory grows with the number of queries or of vectors.
 
 Edge cases: vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite
 components take no part; repeated ids count as separate candidates, none of them their own neighbour; with fewer
@@ -17,7 +21,9 @@ candidates than k a query gets all; an empty table gives an empty table; other c
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,16 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_hot, map_rows
 
-SAMPLE_ROWS, CENTROIDS, TRAIN_STEPS = 8000, 32, 12
-#: Classes and queries that one task holds at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+SAMPLE_ROWS, TRAIN_STEPS = 16_384, 12
+#: Vectors of a cell aimed at, most centroids of a half, and vectors by which the share to visit is measured.
+CELL_ROWS, MOST_CENTROIDS, PROBES = 12, 512, 64
+#: Classes of a bucket, and queries compared with them at a time.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 256
+#: Tasks over which buckets are dealt at most; a task holds one bucket at a time.
+MOST_TASKS = 20_000
 
 
 @dataclass
 class MultiIndex:
     first: np.ndarray
     second: np.ndarray
-    share: float
 
     @property
     def dim(self) -> int:
@@ -94,30 +103,19 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: float) -> lis
     return out
 
 
-def fit(vectors: DataFrame, *, sample_rows: int = SAMPLE_ROWS, k: int = 10, recall: float = 0.96, seed: int = 2) -> MultiIndex | None:
-    """Index of usable(vectors); None if there is none. The sample is bounded, so it may come to the driver."""
-    rows = vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample_rows).select("vector").toArrow()["vector"].to_pylist()
-    if not rows:
+def fit(vectors: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 2) -> MultiIndex | None:
+    """Centroids for usable(vectors); None if there is none. The sample is bounded, so it may come to the driver."""
+    total = vectors.count()
+    rows = vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample_rows).select("vector").toArrow()["vector"].combine_chunks()
+    if not len(rows):
         return None
-    sizes = [len(r) for r in rows]
-    dim = max(set(sizes), key=lambda n: (sizes.count(n), -n))
-    x = np.array([r for r in rows if len(r) == dim], float)
+    sizes = np.diff(rows.offsets.to_numpy())
+    lengths, times = np.unique(sizes, return_counts=True)
+    dim = int(lengths[times.argmax()])
+    x = matrix(rows.filter(pa.array(sizes == dim)), dim)
     h = max(1, dim // 2)
-    centroids = min(CENTROIDS, max(1, int(len(x) ** 0.5)))
-    index = MultiIndex(kmeans(x[:, :h], centroids, seed), kmeans(x[:, h:], centroids, seed + 1) if dim > h else np.zeros((1, 0)), 1.0)
-    cells = index.cells(x)
-    counts = np.bincount(cells, minlength=len(index.first) * len(index.second))
-    asked = x[:: max(1, len(x) // 200)]
-    near = squared(asked, x)
-    a, b = index.halves(asked)
-    needed = []
-    for q in range(len(asked)):
-        true = np.argsort(near[q], kind="stable")[1 : k + 1]
-        order = walk(a[q], b[q], counts, len(x))
-        upto = dict(zip(order, np.cumsum(counts[order]).tolist(), strict=True))
-        needed += [upto[c] / len(x) for c in cells[true].tolist()]
-    index.share = float(np.quantile(needed, recall)) if needed else 1.0
-    return index
+    centroids = min(MOST_CENTROIDS, max(1, round((total / CELL_ROWS) ** 0.5)), max(1, len(x) // 8))
+    return MultiIndex(kmeans(x[:, :h], centroids, seed), kmeans(x[:, h:], centroids, seed + 1) if dim > h else np.zeros((1, 0)))
 
 
 def usable(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -131,86 +129,192 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(df: DataFrame, index: MultiIndex | None = None, *, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`."""
+def measured_share(classes: DataFrame, index: MultiIndex, counts: np.ndarray, *, k: int, recall: float, probes: int = PROBES) -> float:
+    """The smallest share of all classes at which walks reach `recall` of the probes' true k nearest, found by brute force."""
+    dim = index.dim
+    chosen = classes.orderBy(F.xxhash64("name", F.lit(7)), "name").limit(probes).select("name", "vector").toArrow()
+    if chosen.num_rows < 2:
+        return 1.0
+    q, own = matrix(chosen["vector"].combine_chunks(), dim), chosen["name"].to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, cells = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = squared(q, matrix(batch.column(1), dim))
+            names = batch.column(0).to_pylist()
+            same = {n: i for i, n in enumerate(own)}
+            for j, n in enumerate(names):
+                if n in same:
+                    d[same[n], j] = np.inf
+            d = np.concatenate((near, d), 1)
+            c = np.concatenate((cells, np.broadcast_to(batch.column(2).to_numpy(), (len(q), batch.num_rows))), 1)
+            best = np.argsort(d, 1, kind="stable")[:, :k]
+            near, cells = np.take_along_axis(d, best, 1), np.take_along_axis(c, best, 1)
+        probe = np.repeat(np.arange(len(q)), k)
+        good = np.isfinite(near.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(probe[good]), pa.array(near.ravel()[good]), pa.array(cells.ravel()[good])], ["probe", "d", "cell"])
+
+    found = classes.select("name", "vector", "cell").mapInArrow(run, "probe long, d double, cell long")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy("d", "cell"))
+    true = found.withColumn("place", place).filter(F.col("place") <= k).select("probe", "cell").collect()
+    a, b = index.halves(q)
+    total, needed, reached = int(counts.sum()), [], {}
+    for probe, cell in true:
+        if probe not in reached:
+            order = walk(a[probe], b[probe], counts, total)
+            reached[probe] = dict(zip(order, np.cumsum(counts[order]).tolist(), strict=True))
+        needed.append(reached[probe][cell] / total)
+    return float(np.quantile(needed, recall, method="higher")) if needed else 1.0
+
+
+def buckets(counts: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket and number of buckets of each cell: neighbouring cells share one as long as they fit."""
+    first, spread = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
+    at, held = 0, 0
+    for c in np.flatnonzero(counts).tolist():
+        n = int(counts[c])
+        if held and held + n > block_rows:
+            at, held = at + 1, 0
+        first[c] = at
+        if n > block_rows:
+            spread[c] = -(-n // block_rows)
+            at, held = at + int(spread[c]), 0
+        else:
+            held += n
+    return first, spread
+
+
+def nearest(df: DataFrame, index: MultiIndex | None = None, *, every: int = 100, k: int = 10, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, told: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`. `told` gets the
+    number of centroids, of classes and of buckets and the share visited."""
     spark = df.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = usable(df, key=key, vector=vector)
-    index = index or fit(rows, k=k)
+    index = index or fit(rows)
     if index is None:
         return spark.createDataFrame([], out)
-    dim, centroids = index.dim, len(index.second)
+    dim = index.dim
 
-    def cells():
+    def place_in_cells():
         def each(batch: pa.RecordBatch):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.cells(matrix(batch.column(1), dim)), pa.int64())], ["id", "vector", "cell"])
+            # 0.0 and -0.0 are one value, so a class is named by the digest of its normalised components.
+            x = matrix(batch.column(1), dim) + 0.0
+            names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.cells(x), pa.int64()), pa.array(names, pa.binary())], ["id", "vector", "cell", "name"])
 
         return each
 
-    placed = map_rows(rows.filter(F.size("vector") == dim), cells, "id long, vector array<double>, cell long")
-    # 0.0 and -0.0 are one value, so a class is named by the digest of its normalised components.
-    name = F.sha2(F.array_join(F.transform("vector", lambda v: F.hex((v + F.lit(0.0)).cast("string").cast("binary"))), ","), 256)
-    placed = cut(placed.withColumn("name", name), "vectors")
+    placed = cut(map_rows(rows.filter(F.size("vector") == dim), place_in_cells, "id long, vector array<double>, cell long, name binary"), "vectors")
     first_ids = placed.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("id"))).filter(F.col("place") <= k + 1)
     classes = cut(first_ids.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("vector", "place").alias("vector"), F.min("cell").alias("cell")), "classes")
-    # One number per cell: at most CENTROIDS squared rows.
-    counts = np.zeros(len(index.first) * centroids, np.int64)
+    # One number per cell: at most MOST_CENTROIDS squared rows.
+    counts = np.zeros(len(index.first) * len(index.second), np.int64)
     for r in classes.groupBy("cell").count().collect():
         counts[r[0]] = r[1]
-    total, share = int(counts.sum()), index.share
+    share = measured_share(classes, index, counts, k=k, recall=recall)
+    wanted = max(share * int(counts.sum()), k + 1)
+    first, spread = buckets(counts, block_rows)
+    if told is not None:
+        told.update(centroids=len(index.first), classes=int(counts.sum()), buckets=int((first + spread).max(initial=0)), share=share)
     queries = placed.filter(F.col("id") % every == 0)
-    asked = queries.groupBy("name").agg(F.min_by("vector", "id").alias("vector"), F.count("*").alias("n"))
+    # Walks and buckets cost much more time than their bytes tell, so they are spread by number and not by size.
+    asked = queries.repartition(4 * spark.sparkContext.defaultParallelism, "name").groupBy("name").agg(F.min_by("vector", "id").alias("vector"))
+    kinds = "bucket int, query boolean, name binary, vector array<double>, cells array<int>, ids array<long>"
+    columns = [k.split()[0] for k in kinds.split(", ")]
 
     def visits():
         def each(batch: pa.RecordBatch):
-            x = matrix(batch.column(1), dim)
-            a, b = index.halves(x)
-            owner, group, seen = [], [], []
-            for i in range(len(x)):
-                by_first: dict[int, list[int]] = {}
-                for c in walk(a[i], b[i], counts, max(share * total, k + 1)):
-                    by_first.setdefault(c // centroids, []).append(c)
-                owner += [i] * len(by_first)
-                group += by_first.keys()
-                seen += by_first.values()
+            a, b = index.halves(matrix(batch.column(1), dim))
+            owner, to, seen = [], [], []
+            for i in range(batch.num_rows):
+                cells = np.array(walk(a[i], b[i], counts, wanted), np.int32)
+                cells = cells[np.argsort(first[cells], kind="stable")]
+                at, starts = np.unique(first[cells], return_index=True)
+                for bucket, own in zip(at.tolist(), np.split(cells, starts[1:]), strict=True):
+                    for other in range(int(spread[own].max())):
+                        owner.append(i)
+                        to.append(bucket + other)
+                        seen.append(own)
             take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(group, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["name", "vector", "part", "cells"])
+            none = pa.nulls(len(owner), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([True] * len(owner)), batch.column(0).take(take), batch.column(1).take(take), pa.array(seen, pa.list_(pa.int32())), none], columns)
 
         return each
 
-    # Parts are the cells of one first centroid; a part's classes and queries are dealt over blocks of bounded size.
-    sizes = {}
-    for c, n in enumerate(counts.tolist()):
-        sizes[c // centroids] = sizes.get(c // centroids, 0) + n
-    blocks = F.create_map(*[F.lit(v) for p, n in sizes.items() for v in (p, -(-n // BLOCK_ROWS) or 1)])
-    query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    visited = map_rows(asked.select("name", "vector"), visits, "name string, vector array<double>, part long, cells array<long>")
-    visited = visited.withColumns({"query_block": F.pmod(F.xxhash64("name"), F.lit(query_blocks)), "block": F.explode(F.sequence(F.lit(0), blocks[F.col("part").cast("int")] - 1))})
-    parts = classes.withColumn("part", F.floor(F.col("cell") / centroids).cast("long"))
-    parts = parts.withColumns({"block": F.pmod(F.xxhash64("name", F.lit(1)), blocks[F.col("part").cast("int")]).cast("int"), "query_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))})
-
-    def rerank(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"name": [], "ids": [], "score": []}
-        if left.num_rows and right.num_rows:
-            q, x = matrix(left["vector"].combine_chunks(), dim), matrix(right["vector"].combine_chunks(), dim)
-            near, cell = squared(q, x), right["cell"].to_numpy()
-            ids, names = right["ids"].to_pylist(), left["name"].to_pylist()
-            least = np.array([i[0] for i in ids])
-            for i, seen in enumerate(left["cells"].to_pylist()):
-                mine = np.flatnonzero(np.isin(cell, seen))
+    def entries():
+        def each(batch: pa.RecordBatch):
+            cell = batch.column(2).to_numpy()
+            deal = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)[::2] % spread[cell].astype(np.uint64)
+            own = pa.array(cell.astype(np.int32)[:, None].tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + deal.astype(np.int32), pa.int32()), pa.array([False] * len(cell)), *batch.columns[:2], own, batch.column(3)], columns)
+
+        return each
+
+    both = map_rows(classes.select("name", "vector", "cell", "ids"), entries, kinds).unionByName(map_rows(asked.select("name", "vector"), visits, kinds))
+
+    def rerank():
+        held: dict = {"bucket": None}
+
+        def load(parts: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(parts)
+            cell = table["cells"].combine_chunks().flatten().to_numpy()
+            order = np.argsort(cell, kind="stable")
+            names, starts = np.unique(cell[order], return_index=True)
+            ids = table["ids"].combine_chunks().take(pa.array(order))
+            held["x"] = matrix(table["vector"].combine_chunks(), dim)[order]
+            held["spans"] = {int(c): (int(i), int(j)) for c, i, j in zip(names, starts, [*starts[1:], len(cell)], strict=True)}
+            held["ids"] = ids.to_pylist()
+            held["least"] = np.array([i[0] for i in held["ids"]], np.int64)
+
+        def answer(part: pa.RecordBatch) -> pa.RecordBatch:
+            """The k + 1 nearest of each query among the entries of its cells; distances are computed within those only."""
+            q, x = matrix(part.column(3), dim), held["x"]
+            names, asking = part.column(2).to_pylist(), {}
+            for i, seen in enumerate(part.column(4).to_pylist()):
+                for c in seen:
+                    if c in held["spans"]:
+                        asking.setdefault(c, []).append(i)
+            near = np.full((len(q), len(x)), np.inf)
+            for c, rows in asking.items():
+                i, j = held["spans"][c]
+                near[rows, i:j] = squared(q[rows], x[i:j])
+            out: list[tuple] = []
+            for i in range(len(q)):
+                mine = np.flatnonzero(np.isfinite(near[i]))
                 if len(mine) > 2 * k + 2:
                     # All that may be among the k + 1 nearest, ties and rounding included, by exact distance.
                     bound = np.partition(near[i, mine], k)[k]
                     mine = mine[near[i, mine] <= bound + 1e-9 * (1 + bound)]
                 exact = np.sqrt(((x[mine] - q[i]) ** 2).sum(1))
-                for m in np.lexsort((least[mine], exact))[: k + 1].tolist():
-                    found["name"].append(names[i])
-                    found["ids"].append(ids[mine[m]])
-                    found["score"].append(float(exact[m]))
-        return pa.table({"name": pa.array(found["name"], pa.string()), "ids": pa.array(found["ids"], pa.list_(pa.int64())), "score": pa.array(found["score"], pa.float64())})
-
-    keys = ["part", "block", "query_block"]
-    close = visited.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(rerank, "name string, ids array<long>, score double")
+                out += [(names[i], held["ids"][mine[m]], float(exact[m])) for m in np.lexsort((held["least"][mine], exact))[: k + 1].tolist()]
+            found = list(zip(*out, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.list_(pa.int64())), pa.array(found[2], pa.float64())], ["name", "ids", "score"])
+
+        parts: list[pa.RecordBatch] = []
+
+        def each(batch: pa.RecordBatch):
+            bucket, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1).tolist(), len(bucket)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if not query[i]:
+                    if held["bucket"] != bucket[i]:
+                        parts.clear()
+                        held["bucket"], held["x"] = bucket[i], None
+                    parts.append(batch.slice(i, j - i))
+                elif held["bucket"] == bucket[i]:
+                    if held["x"] is None:
+                        load(parts)
+                        parts.clear()
+                    for at in range(i, j, BLOCK_QUERIES):
+                        yield answer(batch.slice(at, min(BLOCK_QUERIES, j - at)))
+
+        return each
+
+    # Within a bucket entries come first: they are held, and the queries that visit one of its cells stream past.
+    dealt = both.repartition(min(MOST_TASKS, int((first + spread).max(initial=1))), "bucket").sortWithinPartitions("bucket", "query")
+    close = map_rows(dealt, rerank, "name binary, ids array<long>, score double")
     # Ids of nearer classes first; a query finds itself among them, so k + 1 are enough.
     best = Window.partitionBy("name").orderBy("score", F.col("ids")[0])
     few = close.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)

@@ -55,95 +55,6 @@ def test_sum_of_squares_is_near_the_bound():
     assert bins.max() + 1 <= 1.03 * -(-lengths.sum() // 2048)
 
 
-def test_near_duplicates(spark):
-    rng = np.random.default_rng(4)
-    base = [" ".join(f"w{rng.integers(5000)}" for _ in range(200)) for _ in range(30)]
-    texts = list(TEXTS)
-    for b in base:
-        texts += [b, b, b.upper(), b.replace(b.split()[100], "changed"), " ".join(b.split()[:150]) + " tail" * 50]
-    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs(spark, texts)).collect()}
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
-    roots = {n: r for r, n in components.forest(pairs)}
-    for i in range(len(texts)):
-        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), roots.get(i, i), roots.get(i, i) == i)
-
-
-def test_near_duplicates_around_the_known_size(spark):
-    """Sets just below and above KNOWN shingles and far above it, with copies on both sides of 85 %."""
-    rng = np.random.default_rng(5)
-    texts = []
-    for words in (300, near_duplicates.KNOWN, 3000):
-        base = [f"w{rng.integers(5000)}" for _ in range(words)]
-        for changes in rng.integers(1, words // 25, 25):
-            copy = base[: words - int(rng.integers(0, 12))]
-            for at in rng.integers(0, len(copy), changes):
-                copy[at] = f"x{rng.integers(10**6)}"
-            texts.append(" ".join(copy))
-    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs(spark, texts)).collect()}
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
-    roots = {n: r for r, n in components.forest(pairs)}
-    assert any(len(s) > near_duplicates.KNOWN for s in sets) and len(roots) < len(texts) - 3
-    assert {i: got[i].component_id for i in got} == {i: roots.get(i, i) for i in range(len(texts))}
-
-
-def test_near_duplicates_round_without_cap(spark, monkeypatch):
-    """Where all partners within the cap were tested and rejected, the round without a cap still runs."""
-    base = [f"w{i}" for i in range(2000)]
-    texts = [" ".join(base), " ".join(base[250:] + [f"x{i}" for i in range(250)])]
-    rounds, crossing = [], near_duplicates.crossing
-    monkeypatch.setattr(near_duplicates, "crossing", lambda rows, sketches, percent, most: rounds.append(most) or crossing(rows, sketches, percent, most))
-    assert near_duplicates.near_duplicates(docs(spark, texts)).filter("kept").count() == 2
-    assert rounds == [4, None]
-
-
-def test_near_duplicates_at_80_percent(spark):
-    """Pairs close to 80 and close below, against brute force."""
-    texts = []
-    for k in range(150):
-        # 100 - n of 100 + n shingles are common: 80.2 or 78.6 %.
-        words = [f"w{k}_{i}" for i in range(104)]
-        n = 11 if k % 2 else 12
-        texts += [" ".join(words), " ".join(words[n:] + [f"x{k}_{i}" for i in range(n)])]
-    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, texts), percent=80).collect()}
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])]
-    assert len(pairs) == 75
-    assert got == {i: dict((n, r) for r, n in components.forest(pairs)).get(i, i) for i in range(len(texts))}
-    assert near_duplicates.shape(85) == (12, 3) and near_duplicates.shape(80) == (16, 3)
-
-
-def test_pipeline_takes_80_percent(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    words = [f"w{i}" for i in range(104)]
-    texts = [" ".join(words), " ".join(words[10:] + [f"x{i}" for i in range(10)])]  # 90 of 110 shingles: 81.8 %
-    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").count() == 1
-
-
-def test_large_regions_are_whole(spark, monkeypatch):
-    """Classes that share REGION values and part at the next one stay in one region, and all its pairs are compared."""
-    prepare(spark)
-    monkeypatch.setattr(near_duplicates, "REGION_ROWS", 5, raising=False)
-    monkeypatch.setattr(near_duplicates, "SLICE_ROWS", 5)
-    rng = np.random.default_rng(8)
-    core = rng.integers(0, 1 << 63, 180, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([core[: 180 - k % 7], rng.integers(0, 1 << 63, int(rng.integers(1, 22)), dtype=np.uint64)])) for k in range(40)]
-    parts = [0 if k % 3 else 100 + k for k in range(40)]
-    rows = [(0, b"\0" * 6 + bytes([k]) * 10, k, len(x), parts[k]) for k, x in enumerate(sets)]
-    mixed = cut(near_duplicates.mixed_regions(spark.createDataFrame(rows, "tree int, path binary, node long, n_shingles long, component long")), "mixed-test")
-    assert mixed.count() == 40
-    sketches = spark.createDataFrame([(k, near_duplicates.signature(x), x.tobytes()) for k, x in enumerate(sets)], "node long, signature binary, items binary")
-    found = near_duplicates.crossing(mixed, sketches, 85, None).collect()
-    links = [(r.a, r.b) for r in found] + [(a, b) for a in range(40) for b in range(a) if parts[a] == parts[b]]
-    true = [(a, b) for a in range(40) for b in range(a) if parts[a] == parts[b] or near_duplicates.similar(sets[a], sets[b], 85)]
-    assert all(r.sure and near_duplicates.similar(sets[r.a], sets[r.b], 85) for r in found)
-    assert sorted(components.forest(links)) == sorted(components.forest(true)) and len(true) > 300
-
-
 def test_components_in_rounds(spark, monkeypatch):
     prepare(spark)
     monkeypatch.setattr(components, "LOCAL_LINKS", 10)
@@ -152,24 +63,53 @@ def test_components_in_rounds(spark, monkeypatch):
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 122, 2)}}
 
 
-def test_neighbours(spark):
+def search(spark, rows, **options):
     prepare(spark)
+    return neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, name string, cell long, bucket int"), **options)
+
+
+def brute_force(rows, every=100, k=10):
+    """query_id: [(score, vec_id)] of the k nearest, ties to the smaller id."""
+    x = np.array([np.float32(r[1]) for r in rows], float)
+    ids = np.array([r[0] for r in rows])
+    out = {}
+    for q in range(len(rows)):
+        if ids[q] % every == 0:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            out[int(ids[q])] = [(d[i], int(ids[i])) for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_neighbours(spark, block_rows):
+    """Recall against brute force, exact scores and ranks; with tiny buckets every larger cell is split."""
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(size=16)], 0) for i in range(600)]
-    rows[7] = (7, rows[0][1], 0)
-    rows += [(900, None, 1), (1000, [0.0] * 16, 1), (1100, [float("nan")] * 16, 1), (1200, [1.0], 1)]
-    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-    x = np.array([np.float32(r[1]) for r in rows[:600]], float)
-    hits = 0
-    for q in range(0, 600, 100):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        true = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
-        own = sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in own] == list(range(1, 11))
-        assert all(abs(r.score - d[r.vec_id]) < 1e-9 for r in own)
-        hits += len({r.vec_id for r in own} & set(true))
-    assert hits >= 54 and len(out) == 60
-    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    rows = [(i, [float(x) for x in rng.normal(size=16)], 0, "n", 1, 2) for i in range(1000)]
+    rows[7] = (7, rows[0][1], *rows[7][2:])
+    odd = [None, [0.0] * 16, [float("nan")] * 16, [1.0], [float("inf")] + [1.0] * 15, [None] + [1.0] * 15]
+    told = {}
+    out = search(spark, rows + [(2000 + 100 * i, v, 1, "n", 1, 2) for i, v in enumerate(odd)], block_rows=block_rows, told=told).collect()
+    true, hits = brute_force(rows), 0
+    assert {r.query_id for r in out} == set(true) and told["share"] < 1 and told["buckets"] > (1 if block_rows == 7 else 0)
+    for q, own in true.items():
+        found = sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == list(range(1, 11)) and [(r.score, r.vec_id) for r in found] == sorted((r.score, r.vec_id) for r in found)
+        exact = np.float32([rows[r.vec_id][1] for r in found]).astype(float) - np.float32(rows[q][1])
+        assert np.allclose([r.score for r in found], np.sqrt((exact**2).sum(1)), atol=1e-12)
+        hits += len({r.vec_id for r in found} & {i for _, i in own})
+    assert hits >= 90 and sorted(r.vec_id for r in out if r.query_id == 0 and r["rank"] == 1) == [7]
+
+
+def test_neighbours_of_repeats_and_few_candidates(spark):
+    """A vector that most rows share gives the smallest ids; with fewer candidates than k a query gets all of them."""
+    rows = [(i, [1.0, 2.0, -0.0, 0.0] if i % 4 else [float(i), 1.0, 0.0, 3.0], 0, "n", 1, 2) for i in range(400)]
+    out = search(spark, rows, recall=1.0).collect()
+    for q, own in brute_force(rows).items():
+        assert [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])] == [i for _, i in own]
+    few = [(i * 100, [float(i), 1.0], 0, "n", 1, 2) for i in range(4)] + [(0, [5.0, 1.0], 0, "n", 1, 2)]
+    found = search(spark, few).collect()
+    assert sorted(r["rank"] for r in found if r.query_id == 100) == [1, 2, 3, 4] and all(r.vec_id != r.query_id for r in found)
+    assert search(spark, []).count() == 0
 
 
 def test_media(spark):
