@@ -12,14 +12,13 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,68 +28,70 @@ from .common import cut, map_rows, texts_of
 
 #: Pieces packed together: bounds a task's memory, and is large enough that a group's open bins cost little.
 GROUP_PIECES = 20_000
-CACHE_CHARS, PIECE_CHARS = 16_000_000, 1 << 20
+#: Bytes of cached units per worker before the cache starts anew; what a unit's place takes beside its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 200
 #: A single space between two other characters: no token of a byte-level BPE reaches over it from the left.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE, cached by the unit between single spaces. Bytes of an answer: little-endian uint32 ids."""
+    """Ids of a byte-level BPE by its library, cached by the unit between single spaces. Bytes of an answer:
+    little-endian uint32 ids. Units not seen before are encoded as one batch."""
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain = None
-        if ranks_path:
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def direct(self, text: str) -> bytes:
-        if self.plain is None or any(s in text for s in self.special):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.plain.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+    def learn(self, units: list[str]) -> None:
+        for unit, found in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.known[unit] = ids
+            self.held += 2 * len(unit) + len(ids) + ENTRY_BYTES
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 64):
+            split = [units_of(t) for t in texts[i : i + 64]]
+            if self.held > CACHE_BYTES:
+                self.known, self.held = {}, 0
+            if new := list(set().union(*split).difference(self.known)):
+                self.learn(new)
+            for units in split:
+                yield b"".join(map(self.known.__getitem__, units))
+
 
-    def encode(self, text: str) -> bytes:
-        units = BETWEEN.split(text) if UNEVEN.search(text) else text.split(" ")
-        if self.held > CACHE_CHARS:
-            self.later, self.held = {}, 0
-        later = self.later
-        for u in [u for u in {*units[1:]} if u not in later]:
-            later[u] = self.direct(" " + u)
-            self.held += len(u) + 8
-        return self.direct(units[0]) + b"".join(map(later.__getitem__, units[1:]))
+def units_of(text: str) -> list[str]:
+    """The text in parts that are encoded each by itself: a unit begins with the single space before it."""
+    units = BETWEEN.split(text) if UNEVEN.search(text) else text.split(" ")
+    return [units[0], *(" " + u for u in units[1:])]
 
 
-_loaded: dict[tuple, ByteBpe] = {}
+_loaded: dict[str, ByteBpe] = {}
 
 
-def loaded(*args) -> ByteBpe:
-    if args not in _loaded:
-        _loaded[args] = ByteBpe(*args)
-    return _loaded[args]
+def loaded(path: str) -> ByteBpe:
+    if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _loaded[path] = ByteBpe(path)
+    return _loaded[path]
 
 
-def pieces(df: DataFrame, path: str, *, ranks_path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
     """key, piece, start, length, ids_crc32, full_id: a row per piece; full_id numbers pieces that fill a sequence."""
     kind = df.schema[key].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        bpe = loaded(path, ranks_path, pattern)
+        bpe = loaded(path)
         context = TaskContext.get()
         count = [(context.partitionId() if context else 0) << 36]
 
         def each(batch: pa.RecordBatch):
             rows: list[tuple] = []
             owners: list[int] = []
-            for i, t in enumerate(texts_of(batch.column(1))):
-                ids = bpe.encode(t) + end
+            for i, ids in enumerate(bpe.encode(texts_of(batch.column(1)))):
+                ids += end
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
                     length = min(size, n) if at or n <= size else (n % size or size)
@@ -158,6 +159,6 @@ def pack(found: DataFrame, *, key: str = "doc_id", size: int = 2048, group_piece
     return dealt.groupBy("dealt").applyInArrow(one, out).unionByName(whole)
 
 
-def best_fit_packing(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def best_fit_packing(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset for every text of df."""
-    return pack(cut(pieces(df, path, ranks_path=ranks_path, pattern=pattern, key=key, text=text, size=size, end_id=end_id), "pieces"), key=key, size=size)
+    return pack(cut(pieces(df, path, key=key, text=text, size=size, end_id=end_id), "pieces"), key=key, size=size)

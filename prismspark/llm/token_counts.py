@@ -2,7 +2,8 @@
 
 Distinct pre-tokens of a batch lie in one flat symbol array with a sequence number per symbol. A round finds
 each sequence's lowest-ranked adjacent pair, merges all its occurrences in every sequence at once, and drops
-sequences without a pair that merges; what is left of a sequence is its token count.
+sequences without a pair that merges; what is left of a sequence is its token count. A very long pre-token is merged by
+the same rule with its positions linked and gathered by rank, so that a round touches only what changes.
 
 Edge cases: null and empty texts count 0; repeated rows give equal counts; a very long text is read in pieces
 that end at spaces; other columns are not read; an empty table gives an empty table.
@@ -10,6 +11,7 @@ that end at spaces; other columns are not read; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -22,8 +24,9 @@ from tokenizers import Tokenizer
 from .common import map_rows, texts_of
 
 NO_RANK = np.int32(2**31 - 1)
-#: Characters of cached words per worker before the caches start anew, and the piece size of long texts.
-CACHE_CHARS, PIECE_CHARS = 24_000_000, 1 << 20
+#: Bytes of cached words per worker before the caches start anew (a word's own and ENTRY_BYTES for its places in both),
+#: characters of the pieces of a long text, and bytes from which a word is merged with linked positions.
+CACHE_BYTES, ENTRY_BYTES, PIECE_CHARS, LONG_WORD = 64_000_000, 250, 1 << 20, 2048
 
 
 def byte_alphabet() -> list[str]:
@@ -62,8 +65,63 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], NO_RANK)
 
+    def merge_count_of_long(self, word: bytes) -> int:
+        """merge_counts of one long word: its symbols are linked, and the places of each rank wait in a heap of ranks."""
+        raw = np.frombuffer(word, np.uint8)
+        n = len(raw)
+        sym = self.inner[raw]
+        sym[-1] = self.final[raw[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, NO_RANK, np.int32)  # of the pair that starts here; the last place stands for the end
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+        left = n
+
+        def gather(places: np.ndarray) -> None:
+            """Ranks of the pairs at places, which then wait for their turn."""
+            rank[places] = NO_RANK
+            places = places[after[places] < n]
+            now = self.rank(sym[places], sym[after[places]])
+            rank[places] = now
+            order = np.argsort(now, kind="stable")
+            low, starts = np.unique(now[order], return_index=True)
+            for r, own in zip(low.tolist(), np.split(places[order], starts[1:]), strict=True):
+                if r != NO_RANK:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(own)
+
+        gather(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            rank[gone] = NO_RANK
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left -= len(at)
+            ahead = before[at]
+            gather(np.unique(np.concatenate((at, ahead[ahead >= 0]))))
+        return left
+
     def merge_counts(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each non-empty word after all merges."""
+        long = [i for i, w in enumerate(words) if len(w) >= LONG_WORD]
+        if long:
+            out = np.zeros(len(words), np.int64)
+            out[long] = [self.merge_count_of_long(words[i]) for i in long]
+            short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
+            out[short] = self.merge_counts([words[i] for i in short]) if short else []
+            return out
         counts = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(counts) - 1
@@ -118,14 +176,14 @@ class WordBpe:
             self.known.update(zip(words, self.merge_counts([w.encode() for w in words]).tolist(), strict=True))
         for unit, (own, found) in parts.items():
             self.units[unit] = own + sum(map(self.known.__getitem__, found))
-            self.held += len(unit)
+            self.held += 2 * len(unit) + ENTRY_BYTES
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
         for i0 in range(0, len(texts), 256):
             chunk = [(i, part) for i, t in enumerate(texts[i0 : i0 + 256], i0) for part in pieces(t)]
             split = [(i, part.split(" ")) for i, part in chunk]
-            if self.held > CACHE_CHARS:
+            if self.held > CACHE_BYTES:
                 self.units, self.known, self.held = {}, {}, 0
             if new := {u for u in set().union(*(u for _, u in split)) if u not in self.units}:
                 self.learn(new)
