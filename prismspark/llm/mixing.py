@@ -7,7 +7,9 @@ is sorted, so that a source of any size needs neither a sort nor a task of its o
 
 Edge cases: null and empty texts have size 0 and are repeated as often as their source's whole epochs; null sources
 are one source, the last; equal rows get equal keys and are taken one by one in any order; an empty table gives an
-empty table; columns other than those named are carried along by apply_mix and do not matter.
+empty table. Columns of the input are carried along; those named as a result (size, source_size, target, copies, taken)
+or with the prefix mix_ are replaced. The weight is a parameter; the default one is a share of noise symbols, which
+SQL can state, and any column with a better score can take its place.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ BUCKETS = 1 << 16
 #: Sources up to which their plan is broadcast (a few dozen bytes each).
 BROADCAST_SOURCES = 100_000
 NOISE = "#$%&*|!~^<>{}[]"
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def quality_weight(text: str) -> F.Column:
@@ -33,7 +36,8 @@ def quality_weight(text: str) -> F.Column:
 def scored(df: DataFrame, *, key: str = "doc_id", text: str = "text", weight: F.Column | None = None) -> DataFrame:
     """df with mix_size, mix_hash and mix_key."""
     hashed = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))
-    out = df.withColumns({"mix_size": word_count(text), "mix_hash": hashed, "mix_weight": quality_weight(text) if weight is None else weight})
+    out = df.withColumn("mix_weight", quality_weight(text) if weight is None else weight).drop(*RESULTS, *(c for c in df.columns if c.startswith("mix_") and c != "mix_weight"))
+    out = out.withColumns({"mix_size": word_count(text), "mix_hash": hashed})
     uniform = (F.conv(F.substring("mix_hash", 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return out.withColumn("mix_key", F.pow(uniform, F.lit(1.0) / F.col("mix_weight"))).drop("mix_weight")
 
@@ -66,29 +70,29 @@ def source_targets(sizes: DataFrame, *, source: str = "source", cycle: tuple[int
 
 def plan(found: DataFrame, *, source: str = "source", **shares) -> DataFrame:
     """A row per source: its target, whole epochs, what is left for a part epoch, and the bucket where that ends."""
-    sums = found.groupBy(source, bucket().alias("mix_bucket")).agg(F.sum("mix_size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy(source).agg(F.sum("bucket_size").alias("source_size")), source=source, **shares)
+    sums = found.groupBy(F.col(source).alias("mix_source"), bucket().alias("mix_bucket")).agg(F.sum("mix_size").alias("bucket_size"))
+    targets = source_targets(sums.groupBy("mix_source").agg(F.sum("bucket_size").alias("source_size")), source="mix_source", **shares)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    run = Window.partitionBy(source).orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("so_far", F.sum("bucket_size").over(run)).withColumnRenamed(source, "its_source")
-    ends = ends.join(F.broadcast(targets), F.col("its_source").eqNullSafe(F.col(source))) if targets.count() <= BROADCAST_SOURCES else ends.join(targets, F.col("its_source").eqNullSafe(F.col(source)))
+    run = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("so_far", F.sum("bucket_size").over(run)).withColumnRenamed("mix_source", "its_source")
+    ends = ends.join(F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets, F.col("its_source").eqNullSafe(F.col("mix_source")))
     last = F.min(F.when(F.col("so_far") > F.col("rest"), F.struct("mix_bucket", (F.col("so_far") - F.col("bucket_size")).alias("before"))))
-    ends = ends.groupBy(source, "source_size", "target", "epochs", "rest").agg(last.alias("last"))
-    return ends.select(F.col(source).alias("plan_source"), "source_size", "target", "epochs", "rest", F.col("last.mix_bucket").alias("last_bucket"), F.col("last.before").alias("before"))
+    ends = ends.groupBy("mix_source", "source_size", "target", "epochs", "rest").agg(last.alias("last"))
+    return ends.select("mix_source", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("epochs").alias("mix_epochs"), F.col("rest").alias("mix_rest"), F.col("last.mix_bucket").alias("mix_last"), F.col("last.before").alias("mix_before"))
 
 
 def apply_mix(found: DataFrame, plans: DataFrame, *, source: str = "source") -> DataFrame:
-    """found with source_size, target, copies and taken. found and plans should be written or cheap to read again."""
-    joined = found.withColumn("mix_bucket", bucket()).join(small_or_not(plans, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("plan_source")))
-    ends_here = F.coalesce(F.col("mix_bucket") == F.col("last_bucket"), F.lit(False))
-    clear = joined.filter(~ends_here).withColumn("part", F.coalesce((F.col("mix_bucket") < F.col("last_bucket")), F.lit(True)))
-    order = Window.partitionBy(source).orderBy(F.col("mix_key").desc(), "mix_hash").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("mix_size").over(order) - F.col("mix_size") / F.lit(2.0)
-    sorted_few = joined.filter(ends_here).withColumn("part", middle <= F.col("rest"))
-    out = clear.unionByName(sorted_few)
-    out = out.withColumn("copies", F.col("epochs") + (F.col("part") & (F.col("mix_size") > 0)).cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("mix_size")).drop("mix_bucket", "plan_source", "last_bucket", "before", "rest", "epochs", "part", "mix_hash", "mix_key").withColumnRenamed("mix_size", "size")
+    """found with size, source_size, target, copies and taken. found and plans should be written or cheap to read again."""
+    columns = [c for c in found.columns if not c.startswith("mix_")]
+    joined = found.withColumn("mix_bucket", bucket()).join(small_or_not(plans, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("mix_source")))
+    ends_here = F.coalesce(F.col("mix_bucket") == F.col("mix_last"), F.lit(False))
+    clear = joined.filter(~ends_here).withColumn("mix_part", F.coalesce((F.col("mix_bucket") < F.col("mix_last")), F.lit(True)))
+    order = Window.partitionBy("mix_source").orderBy(F.col("mix_key").desc(), "mix_hash").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("mix_before") + F.sum("mix_size").over(order) - F.col("mix_size") / F.lit(2.0)
+    out = clear.unionByName(joined.filter(ends_here).withColumn("mix_part", middle <= F.col("mix_rest")))
+    copies = F.col("mix_epochs") + (F.col("mix_part") & (F.col("mix_size") > 0)).cast("int")
+    return out.select(*columns, F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
 
 
 ORACLE = r"""

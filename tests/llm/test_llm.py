@@ -112,14 +112,42 @@ def test_neighbours_of_repeats_and_few_candidates(spark):
     assert search(spark, []).count() == 0
 
 
-def test_media(spark):
-    out = {r.doc_id: r for r in media.store_and_read(docs(spark)).collect()}
-    for i, t in enumerate(TEXTS):
+def check_media(found, texts):
+    for i, t in enumerate(texts):
         n, payload = media.padded(t or "")
         stored = media.to_media(payload)
+        r = found[i]
         assert b"".join(media.chunks(stored)) == stored and len(payload) % 192 == 0 < len(payload)
-        assert (out[i].n_bytes, out[i].payload_sha256, out[i].tail_crc32) == (len((t or "").encode()), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert (out[i].media_bytes, out[i].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        x = np.frombuffer(payload, np.uint8).reshape(-1, 192)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == media.feature(payload) and r.feature.startswith(f"mean={x.mean():.4f};std={x.std():.4f};dhash=")
+
+
+def test_media(spark):
+    long = " ".join(f"w{k * k % 7919}" for k in range(30_000))
+    texts = [*TEXTS, long, long[:100_000] + " changed " + long[100_000:]]
+    store = media.write_store(docs(spark, texts))
+    check_media({r.doc_id: r for r in media.read_store(spark, store).collect()}, texts)
+    # Everything is at rest: each distinct chunk once, fewer bytes than the media, and a damaged store is noticed.
+    kept = spark.read.parquet(f"{store.folder}/chunks")
+    names = {media.name_of(c) for t in texts for c in media.chunks(media.to_media(media.padded(t or "")[1]))}
+    assert kept.count() == len(names) == kept.select("name").distinct().count() and len(names) < 60
+    lists = {r.doc_id: r.names for r in spark.read.parquet(f"{store.folder}/lists").collect()}
+    assert len(set(map(bytes, lists[len(texts) - 1])) - set(map(bytes, lists[len(texts) - 2]))) <= 2
+    some = spark.createDataFrame([("0" * 64, 1, 0, bytearray(next(iter(names))))], "media_sha256 string, parts int, place int, name binary")
+    with pytest.raises(Exception, match="differs from what was stored"):
+        media.read_back(some, spark.table(store.table), bytes(spark.read.parquet(f"{store.folder}/dictionary").first()[0])).collect()
+
+
+def test_media_of_copies_in_most_rows(spark, monkeypatch):
+    """Chunks and media that a large share of the rows holds are joined by broadcast; ids may be null or repeated."""
+    texts = ["many copies of one text"] * 1500 + [f"text {i}" for i in range(100)]
+    prepare(spark)
+    rows = [(None if i % 7 == 0 else i // 2, t, 1, "x") for i, t in enumerate(texts)]
+    out = media.store_and_read(spark.createDataFrame(rows, "doc_id long, text string, place int, name string")).collect()
+    assert len(out) == 1600 and len({r.media_sha256 for r in out}) == 101
+    assert sum(r.media_sha256 == hashlib.sha256(media.to_media(media.padded(texts[0])[1])).hexdigest() for r in out) == 1500
 
 
 def test_media_chunks_move_with_content():
