@@ -4,8 +4,10 @@ Candidates are long runs of key characters, values assigned to credential names,
 described by its length, character transitions, dictionary coverage, the path it was found under and neighbouring
 words; a forest trained on labelled findings scores it, and findings under the threshold are dropped.
 
-The forest is trained from a bounded table of labelled findings (by default made by labelled_findings(), from rules
-and a seed, since no table has any). Edge cases: null and empty texts have no findings; a text of any length is
+The forest is trained from a table of labelled findings, of which a bounded sample is read (`SAMPLE_ROWS` rows by a hash).
+By default the table is made by labelled_findings(), from rules and a seed, since no table here has any; it is a fixed
+sample of formats and of values that look like them. How a candidate was found (its kind) is told, but is no feature:
+the forest alone decides. Edge cases: null and empty texts have no findings; a text of any length is
 scanned whole; equal texts have equal findings; null paths are empty; an empty table gives an empty table; other
 columns are kept by redact() and not read by scan().
 """
@@ -24,6 +26,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_rows, texts_of
 
@@ -42,7 +45,8 @@ DICTIONARY = frozenset(
     "about access account action address after again all and any api app are arg array base before block body bool build byte cache call case change char check class client close code color column com common config connect content copy count create data date day debug default delete device document domain down edit else email end error event example exit file filter find first float font for form format from function get group hash have header height help home host html http https image import index info input insert int into item java key language last length level library license line link list load local log long main manager map match max message method min mode model module month more name new next node none not null number object offset old open option order other output page param parent part password path pattern phone place point port print private process program project property public query random read record remove replace report request resource response result return root row rule run same save scale screen script search section select send server service session set shape size some source start state status stop string style system table tag target task template test text that the this time title token tool tree true type union unit update url use user value variable vector version view width window with word work world write year you your".split()
 )
 THRESHOLD = 0.5
-FEATURES = 22
+#: Labelled findings that training reads at most.
+SAMPLE_ROWS = 6000
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
@@ -89,7 +93,7 @@ def _class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(text: str, start: int, end: int, kind: str, name: str, path: str) -> list[float]:
+def features(text: str, start: int, end: int, name: str, path: str) -> list[float]:
     """Length, transitions, coverage, path and neighbours of one candidate."""
     value = text[start:end]
     n = len(value)
@@ -100,20 +104,24 @@ def features(text: str, start: int, end: int, kind: str, name: str, path: str) -
         moves[0 if a == b else 1 if {a, b} == {0, 1} else 2 if {a, b} == {1, 2} else 3] += times / n
     counts = list(Counter(value).values())
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
-    covered = sum(len(m[0]) for m in re.finditer(r"[A-Za-z][a-z]+|[A-Z]{3,}", value) if m[0].lower() in DICTIONARY) / n
+    words = re.findall(r"[A-Za-z][a-z]+|[A-Z]{3,}", value)
+    covered = sum(len(w) for w in words if w.lower() in DICTIONARY or w.lower() in BAD_WORDS) / n
     vowels = sum(c in "aeiouAEIOU" for c in value) / n
-    before = text[max(0, start - 60) : start].lower()
-    near = re.findall(r"[a-z_0-9]+", before)[-4:] + re.findall(r"[a-z]+", text[end : end + 40].lower())[:2]
+    before = text[max(0, start - 60) : start]
+    near = re.findall(r"[a-z_0-9]+", before.lower())[-4:] + re.findall(r"[a-z]+", text[end : end + 40].lower())[:2]
+    near = {w for token in near for w in (token, *token.split("_"))}
     parts = set(re.split(r"[^a-z0-9]+", path.lower()))
     steps = sum(ord(b) - ord(a) in (0, 1) for a, b in zip(value, value[1:], strict=False)) / n
+    called = NAME.search(name) is not None or bool(re.search(r"[=:][ \t\"'`]*$", before) and near & GOOD_WORDS)
     return [
         n, math.log(n), *shares, *moves, entropy, entropy / math.log2(max(n, 2)), covered, vowels, max(counts) / n, steps,
-        float(kind == "issued") + 3.0 * (kind == "url_password") + 2.0 * (kind == "private_key"), float(bool(NAME.search(name)) or kind == "url_password"), float(any(w in GOOD_WORDS for w in near)), float(any(w in BAD_WORDS for w in near)),
-        float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))), float(bool(parts & {"test", "tests", "example", "examples", "docs", "fixtures"})),
+        float(bool(re.search(r"://[^\s/]*:$", before))), float(called), float(bool(near & GOOD_WORDS)), float(bool(near & BAD_WORDS)),
+        float(value.count("-") == 4 and len(value) == 36), float(bool(parts & {"test", "tests", "example", "examples", "docs", "fixtures"})),
+        float(len(set(value[:4]) & set("-_")) > 0), float(value[:4].isalpha() and value[:4].isupper() and n >= 16), float(sum(c in "0123456789abcdef" for c in value) / n), float(value.count(" ") + value.count("\n")) / n,
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 10) -> list[tuple[str, int, int, str, str, str, int]]:
+def labelled_findings(n: int = SAMPLE_ROWS, seed: int = 10) -> list[tuple[str, int, int, str, str, str, int]]:
     """text, start, end, kind, name, path, label: findings of known truth, made from rules and a seed."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
@@ -147,7 +155,9 @@ def labelled_findings(n: int = 3000, seed: int = 10) -> list[tuple[str, int, int
         before = f"{rng.choice(names)}{rng.choice(['=', ' = ', ': ', '=', ' = '])}{rng.choice(['', chr(34)])}" if prefix == "" else "" if prefix == "-" and rng.random() < 0.8 else prefix.strip("-")
         text = f"{words(6)} {before}{value} {words(5)}"
         path = rng.choice(["src/app.py", "config/prod.env", "src0", "src7", "web", ""]) if label or rng.random() < 0.7 else rng.choice(["tests/data.py", "docs/example.md", "examples/a.txt"])
-        out += [(text, s, e, k, m, path, int(label)) for s, e, k, m in candidates(text)]
+        # Of a text with a secret only the value is one; of a URL, its password.
+        begin, end, url = text.index(value), text.index(value) + len(value), "://" in value
+        out += [(text, s, e, k, m, path, int(label and s < end and e > begin and (k == "url_password" or not url))) for s, e, k, m in candidates(text)]
     return out[:n]
 
 
@@ -206,13 +216,21 @@ class Forest:
 
 
 def fit(findings: list[tuple]) -> Forest:
-    x = np.array([features(t, s, e, k, m, p) for t, s, e, k, m, p, _ in findings], float)
+    x = np.array([features(t, s, e, m, p) for t, s, e, _, m, p, _ in findings], float)
     return Forest.fit(x, np.array([f[-1] for f in findings], float))
 
 
+def train(findings: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Forest:
+    """Forest from a table of findings: text, start, end (code points), kind, name, path, label (1: a secret). The sample is
+    bounded, so it may come to the driver; rows with nulls are left out."""
+    columns = ["text", "start", "end", "kind", "name", "path", "label"]
+    rows = findings.select(*columns).dropna().orderBy(F.xxhash64(*columns), *columns).limit(sample_rows).collect()
+    return fit([tuple(r) for r in rows])
+
+
 @functools.cache
 def default_forest() -> Forest:
-    return fit(labelled_findings())
+    return fit(labelled_findings(SAMPLE_ROWS))
 
 
 def judged(texts: list[str], paths: list[str], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
@@ -221,7 +239,7 @@ def judged(texts: list[str], paths: list[str], forest: Forest) -> list[list[tupl
     flat = [(i, s, e, k, m) for i, own in enumerate(found) for s, e, k, m in own]
     out: list[list] = [[] for _ in texts]
     if flat:
-        p = forest.score(np.array([features(texts[i], s, e, k, m, paths[i]) for i, s, e, k, m in flat], float))
+        p = forest.score(np.array([features(texts[i], s, e, m, paths[i]) for i, s, e, _, m in flat], float))
         for (i, s, e, k, _), v in zip(flat, p.tolist(), strict=True):
             out[i].append((s, e, k, v))
     return out

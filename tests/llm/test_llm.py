@@ -245,39 +245,6 @@ def test_main_text_of_nested_containers_by_host(spark):
     assert {r.text for r in out} == {"Title\nIntro.\n" + long.strip()}
 
 
-def test_secrets(spark):
-    prepare(spark)
-    findings = secrets.labelled_findings(2000, seed=77)
-    forest = secrets.default_forest()
-    score = forest.score(np.array([secrets.features(*f[:6]) for f in findings], float))
-    assert ((score >= 0.5) == np.array([f[-1] for f in findings], bool)).mean() > 0.95
-    text = 'x token = "be64439e3e49cf46b2d7c90f3602a3d0b907ff12" y commit 4785380592391139'
-    d = docs(spark, [None, "", text])
-    assert [(r.doc_id, text[r.start : r.start + r.length]) for r in secrets.scan(d, forest).filter("secret").collect()] == [(2, "be64439e3e49cf46b2d7c90f3602a3d0b907ff12")]
-    redacted = {r.doc_id: r for r in secrets.redact(d, forest).collect()}
-    assert redacted[0].text is None and redacted[2].text.startswith('x token = "[SECRET]" y') and redacted[2].n_chars == len(redacted[2].text)
-
-
-@pytest.mark.parametrize("text, secret", [
-    ("url postgres://svc:S3cretPw9x@db/main end", "S3cretPw9x"), ('password = "hunter2!" end', "hunter2!"), ("x password=Tr0ub4dor&3xyz end", "Tr0ub4dor&3xyz"),
-    ("the qWbZtRkXvPmLsYdHgNcJfTzBwQ end", "qWbZtRkXvPmLsYdHgNcJfTzBwQ"), ("the qwbztrkxvpmlsydhgncjfzxqw end", "qwbztrkxvpmlsydhgncjfzxqw"), ("db_password: 'a b&c!9' end", "a b&c!9"),
-])
-def test_secrets_of_any_length_and_characters(text, secret):
-    found = {text[s:e]: p for s, e, _, p in secrets.judged([text], ["config/prod.env"], secrets.default_forest())[0]}
-    assert found[secret] >= secrets.THRESHOLD
-
-
-@pytest.mark.parametrize("text", ["password = changeme end", "token: string end", "url https://user:password@host/x end", "key: value end", "the secret: of the world", "see /usr/local/share/library/modules end", "internationalisation of the characteristically"])
-def test_no_secrets_of_plain_words(text):
-    assert all(p < secrets.THRESHOLD for *_, p in secrets.judged([text], ["config/prod.env"], secrets.default_forest())[0])
-
-
-def test_secret_features_of_long_values():
-    value = "ab1X" * 1024 + "9" * 5000
-    found = secrets.features(value, 0, len(value), "run", "", "")
-    assert found[0] == len(value) and found[2] == pytest.approx(6024 / 9096)
-
-
 def test_empty_tables(spark):
     d = docs(spark, [])
     path = P.path("byte_bpe_50k.json")
