@@ -1,6 +1,8 @@
 """The training-data operators against brute force, exact round trips and held-out labels, with edge rows."""
 
 import hashlib
+import html
+import re
 import zlib
 
 import numpy as np
@@ -245,6 +247,38 @@ def test_main_text_of_nested_containers_by_host(spark):
     assert {r.text for r in out} == {"Title\nIntro.\n" + long.strip()}
 
 
+def test_main_text_by_the_hosts_vote(spark):
+    """On two hosts with templates of their own the votes change the text of pages whose article is the shorter part."""
+    prepare(spark)
+    long, short = "long text of a page " * 12, "A short one."
+    rows = []
+    for h, (article, other) in enumerate([("post-body", "latest"), ("latest", "post-body")]):
+        for i in range(6):
+            own, beside = (long, short) if i else (short, long)
+            rows.append((10 * h + i, f"https://u@H{h}.org:80/{i}", f"<body><div class='{article}'><h1>Title {i}</h1><p>{own}</p></div><div class='{other}'><p>{beside}</p></div></body>", 1, "x"))
+    # Without a vote of its host a page takes what it has most of.
+    assert all(html_text.Page(r[2]).text(None) == long.strip() for r in rows if r[0] % 10 == 0)
+    out = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, path string, host string")).collect()}
+    for page, *_ in rows:
+        assert out[page] == f"Title {page % 10}\n" + (long.strip() if page % 10 else short)
+
+
+def test_main_text_of_generated_pages(spark):
+    """Against a plain reading of the tables' pages: what is between the article's tags, a line for each heading or paragraph."""
+    prepare(spark)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    for r in pages.collect():
+        article = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        parts = [html.unescape(re.sub("<[^>]*>", "", part.replace("<br>", " "))) for part in re.split("</?(?:h1|p)>", article)]
+        assert found[r.page_id] == "\n".join(t for t in (" ".join(p.split()) for p in parts) if t)
+
+
+@pytest.mark.parametrize("inside", ["<div class='search-engine-guide'><p>body</p></div>", "<section class='notice-of-results'><p>body</p></section>", "<p><label>body</label></p>", "<fieldset><p>body</p></fieldset>", "<div class='tag-cloud-theory'>body</div>"])
+def test_main_text_keeps_what_only_sounds_like_boilerplate(inside):
+    assert best_text(f"<article><p>Intro</p>{inside}<p>End</p></article>") == "Intro\nbody\nEnd"
+
+
 def test_empty_tables(spark):
     d = docs(spark, [])
     path = P.path("byte_bpe_50k.json")
