@@ -1,4 +1,7 @@
-"""The queries of this subpackage, with production parameters over whole tables, and their SQL."""
+"""The queries of this subpackage, with production parameters over whole tables, and their SQL.
+
+An empty table gives an empty result; other columns of a table, whatever their names, do not matter.
+"""
 
 from __future__ import annotations
 
@@ -13,32 +16,38 @@ from .common import cut, prepare
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text. Nulls count as empty texts, 0 tokens; repeated rows are counted each."""
     prepare(spark)
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector. Null, zero and non-finite vectors take no part; ties go to the smaller id."""
     prepare(spark)
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as media and read back. Nulls are empty texts, 192 padding bytes; equal texts give equal values."""
     prepare(spark)
     out = media.store_and_read(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at 85 %. Texts that are null or without words are linked with nothing; null ids stay alone."""
     prepare(spark)
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text packed into sequences of 2048 tokens. Nulls are empty texts, one piece of one token; repeats are packed each."""
     prepare(spark)
     return packing.best_fit_packing(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every whole text. Nulls and empty texts have the score of empty texts; null ids are not held out."""
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -47,11 +56,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back. Null html is an empty payload; equal payloads revisit the smallest page."""
     prepare(spark)
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document. Null texts have size 0; a null source is one source, the last."""
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = cut(mixing.scored(docs).drop("text"), "mix")
@@ -60,11 +71,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page. Null and empty html give an empty text; pages without a url share the empty host."""
     prepare(spark)
     return html_text.main_texts(read_table(spark, sf_dir, "pages"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per candidate of every whole text. Null and empty texts have none; equal texts have equal rows."""
     prepare(spark)
     return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.default_forest())
 
