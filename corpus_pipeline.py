@@ -1,6 +1,8 @@
 """The corpus pipeline: quality classifier, near-duplicates, secret scans, mixing, packing.
 
 Each stage takes the documents that the one before it kept and returns documents; the last returns packed pieces.
+Stages read the five columns of documents and no others; a null in any of them, repeated rows and an empty table are
+handled as each stage states.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ BROADCAST_IDS = 500_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored as such; equal texts go or stay together."""
     prepare(spark)
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -29,7 +31,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; rows without doc_id stay."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id; rows without doc_id and those
+    without words stay; of rows that share a doc_id one stays."""
     prepare(spark)
     docs = docs.select(*COLUMNS)
     found = cut(near_duplicates.near_duplicates(docs, percent=SIMILAR_PERCENT).select("doc_id", "kept"), "kept")
@@ -45,24 +48,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced by a mark; every document stays."""
+    """Found secrets are replaced by a mark and n_chars follows; every document stays, null texts as null."""
     prepare(spark)
     return secrets.redact(docs.select(*COLUMNS), secrets.default_forest())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. A null source is one source; documents without words have size 0 and are
+    repeated with their source's whole epochs."""
     prepare(spark)
-    found = mixing.scored(docs.select(*COLUMNS))
-    narrow = cut(found.select("source", "mix_size", "mix_key"), "mix")
-    mixed = mixing.apply_mix(found, cut(mixing.plan(narrow), "mix-plan"))
+    found = cut(mixing.scored(docs.select(*COLUMNS)), "mix")
+    mixed = mixing.apply_mix(found, cut(mixing.plan(found), "mix-plan"))
     return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as packed pieces. A null or empty text is one piece with the end id; each repeat of a document is packed."""
     prepare(spark)
-    path = public_tokenizers.path
-    return packing.best_fit_packing(docs.select("doc_id", "text"), path("byte_bpe_50k.json"), ranks_path=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return packing.best_fit_packing(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
