@@ -34,7 +34,7 @@ def test_token_counts(spark):
 
 
 def test_packing(spark):
-    out = packing.best_fit_packing(docs(spark), P.path("byte_bpe_50k.json"), ranks_path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN).collect()
+    out = packing.best_fit_packing(docs(spark), P.path("byte_bpe_50k.json")).collect()
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for i, t in enumerate(TEXTS):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -50,6 +50,24 @@ def test_packing(spark):
     assert max(bins.values()) <= 2048
 
 
+def test_packing_of_documents(spark):
+    """As few sequences as the tokens of a table need, or one more."""
+    prepare(spark)
+    out = packing.best_fit_packing(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), P.path("byte_bpe_50k.json")).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in out}) <= -(-sum(r.length for r in out) // 2048) + 1
+
+
+def test_token_counts_of_long_words_and_small_caches(monkeypatch):
+    rng, library = np.random.default_rng(3), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counter = token_counts.WordBpe(P.path("word_bpe_49k.json"))
+    texts = ["".join(map(chr, 97 + rng.integers(0, n, 5000))) for n in (1, 2, 26)] + ["é" * 3001, "x " * 3000 + "ab" * 2000]
+    for size, piece in ((1 << 30, 1 << 20), (300, 100)):
+        monkeypatch.setattr(token_counts, "CACHE_BYTES", size)
+        monkeypatch.setattr(token_counts, "PIECE_CHARS", piece)
+        assert [counter.count([t])[0] for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert counter.count(texts) == [counter.count([t])[0] for t in texts]
+
+
 def test_sum_of_squares_is_near_the_bound():
     lengths = np.random.default_rng(1).integers(1, 2048, 5000)
     bins, _ = packing.sum_of_squares(lengths, 2048)
@@ -114,6 +132,19 @@ def test_neighbours_of_repeats_and_few_candidates(spark):
     assert search(spark, []).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    """Equal rows have equal keys; the bucket in which the budget ends is sorted and taken one by one."""
+    prepare(spark)
+    monkeypatch.setattr(mixing, "BUCKETS", 1)
+    d = spark.createDataFrame([(7, "four words of text", "a", 1)] * 40 + [(8, None, "b", 1), (9, "", None, 1)] + [(i, "one two", "b", 1) for i in range(20)], "doc_id long, text string, source string, size int")
+    found = cut(mixing.scored(d), "mix-test")
+    rows = mixing.apply_mix(found, mixing.plan(found)).collect()
+    for source in ("a", "b", None):
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 and all(r.taken <= 2 * r.size for r in own)
+    assert len(rows) == 62 and sorted(r.taken for r in rows) == sorted(r.taken for r in mixing.apply_mix(found, mixing.plan(found)).collect())
+
+
 def check_media(found, texts):
     for i, t in enumerate(texts):
         n, payload = media.padded(t or "")
@@ -187,15 +218,33 @@ def test_quality(spark):
     model = quality.fit(d, labels)
     held = quality.score(d.select("doc_id", "text"), model).join(labels, "doc_id").filter(quality.held_out_remainder("doc_id") == 2).collect()
     assert sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
-    assert quality.score(docs(spark).drop("score"), model).filter("score between 0 and 1").count() == len(TEXTS)
-    nothing = quality.fit(d, labels.limit(0))
-    assert quality.score(docs(spark).drop("score"), nothing).select(F.max("score")).first()[0] == pytest.approx(0.5)
+    scores = quality.score(docs(spark).withColumn("predicted", F.lit("other")), model)
+    assert scores.columns.count("score") == scores.columns.count("predicted") == 1
+    rows = {r.doc_id: r for r in scores.collect()}
+    assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows.values())
+    assert rows[0].score == rows[1].score and rows[3].score == rows[4].score
+    assert quality.score(docs(spark), quality.fit(d, labels.limit(0))).select(F.max("score")).first()[0] == pytest.approx(0.5)
+
+
+def test_quality_labels_of_every_kind(spark):
+    """Null and contradictory labels are not fitted, repeated ones count once, held-out ones never do."""
+    prepare(spark)
+    good, bad = "a fine long sentence of plain words ", "zz## %% @@ !! qq $$ "
+    rows = [(i, (good if i % 2 else bad) * (3 + i % 5)) for i in range(80)]
+    held = {r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string").filter(quality.held_out_remainder("doc_id") == 2).collect()}
+    labels = [(i, i % 2 if i not in held else 1 - i % 2) for i in range(80)] * 2 + [(None, 1), (3, None), (4, 1), (4, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = quality.score(d, quality.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))).collect()
+    assert held and sum((r.score >= 0.5) == bool(r.doc_id % 2) for r in out) >= 78
 
 
 def test_mixing(spark):
-    found = cut(mixing.scored(docs(spark)), "mix-test")
-    out = mixing.apply_mix(found, mixing.plan(found)).collect()
-    assert len(out) == len(TEXTS)
+    names = ["size", "target", "source_size", "taken", "copies", "part", "rest", "mix_key", "mix_bucket", "epochs"]
+    found = cut(mixing.scored(docs(spark).withColumns({n: F.lit("own") for n in names})), "mix-test")
+    mixed = mixing.apply_mix(found, mixing.plan(found))
+    assert sorted(mixed.columns) == sorted({*docs(spark).columns, "size", "source_size", "target", "copies", "taken", "part", "rest", "epochs"})
+    out = mixed.collect()
+    assert len(out) == len(TEXTS) and {r.part for r in out} == {"own"}
     for s in {r.source for r in out}:
         own = [r for r in out if r.source == s]
         assert all(r.source_size == sum(x.size for x in own) and r.taken <= 2 * r.size for r in own)
@@ -299,3 +348,48 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, sf)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best-fit packing"
+
+
+PIPELINE_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def stages():
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    return corpus_pipeline.STAGES
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_on_edge_rows(spark, at):
+    """Every stage on nulls in all columns, empty and long texts, repeated rows and clashing columns, against what it states."""
+    name, stage = stages()[at]
+    prepare(spark)
+    long = " ".join(f"w{i}" for i in range(20_000))
+    texts = [None, "", "same text of six words here", "same text of six words here", long, long + " end", 'token = "be64439e3e49cf46b2d7c90f3602a3d0b907ff12" x']
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", None if t is None else len(t), 1.0, "h", 5) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], None, None, 27, 1.0, "h", 5), (None, texts[3], "en", "s", 27, 1.0, "h", 5)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, node string, size int")
+    out = stage(spark, docs_, "/root/testdata/sf0.001")
+    found = out.collect()
+    if at < 4:
+        assert out.columns == PIPELINE_COLUMNS
+    given = [r[:5] for r in rows]
+    if at == 0:
+        assert all(tuple(r) in given for r in found)
+        counts = {t: sum(r.text == t for r in found) for t in texts}
+        assert all(counts[t] in (0, sum(g[1] == t for g in given)) for t in texts)
+    elif at == 1:
+        assert sorted((-1 if r.doc_id is None else r.doc_id) for r in found) == [-1, 0, 1, 2, 4, 6]
+    elif at == 2:
+        assert len(found) == 9 and next(r.text for r in found if r.doc_id == 6) == 'token = "[SECRET]" x' and sum(r.text is None for r in found) == 1
+        assert all(r.n_chars == len(r.text) for r in found if r.text)
+    elif at == 3:
+        assert all(tuple(r) in given for r in found) and max(sum(tuple(r) == g for r in found) for g in given if g[1]) <= 4
+    else:
+        library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        assert sum(r.length for r in found) == sum(len(library.encode(g[1] or "", add_special_tokens=False).ids) + 1 for g in given)
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_on_an_empty_table(spark, at):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert stages()[at][1](spark, empty, "/root/testdata/sf0.001").count() == 0
