@@ -111,6 +111,14 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, *, how: str = "inner",
     return left.join(F.broadcast(few), key, "left_semi").join(some, key, how).unionByName(cold)
 
 
+def hashed_sample(df: DataFrame, by: list[str], rows: int, seed: int) -> DataFrame:
+    """At most `rows` rows of df, those with the smallest hashes of the columns `by`. Only hashes are sorted; the rows
+    themselves are picked by the largest hash that is in, so that no task gets more than the sample."""
+    hashed = F.xxhash64(*by, F.lit(seed))
+    last = df.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.filter(hashed <= F.lit(last)).limit(rows)
+
+
 def small_or_not(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast when a count shows that it has at most most_rows rows; else df, for a shuffle join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

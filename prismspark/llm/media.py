@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, map_rows, scratch, shuffles_removed
+from .common import cut, hashed_sample, join_hot, map_rows, scratch, shuffles_removed
 
 WIDTH, PAD = 192, b" "
 #: A cut needs 12 zero bits, so chunks have about 5 KiB between these bounds.
@@ -37,8 +37,11 @@ GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 DIGEST_BYTES = 16
 #: Texts that the dictionary is trained from at most, its size, and the compression level of chunks.
 SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 1000, 112_640, 6
-#: Chunks of a bucket of the store (some 2 KB each when compressed), and chunk names that a task remembers to have sent.
-BUCKET_CHUNKS, SENT = 16_000, 300_000
+#: Chunks of a bucket of the store (about 1 KB each when compressed): as few as the first number while the session's
+#: shuffles have as many partitions, else up to the second; most buckets that Spark allows by default.
+BUCKET_CHUNKS, FULL_BUCKET_CHUNKS, MOST_BUCKETS = 4000, 64_000, 100_000
+#: Chunk names that a task remembers to have sent.
+SENT = 300_000
 
 
 def to_media(payload: bytes) -> bytes:
@@ -137,7 +140,7 @@ def recipes(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 
 def dictionary(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> bytes:
     """A compression dictionary from the sample's chunks; empty where there is too little to train one."""
-    rows = df.select(text).orderBy(F.xxhash64(F.col(key), F.lit(3))).limit(SAMPLE_ROWS).toArrow()
+    rows = hashed_sample(df.select(key, text), [key], SAMPLE_ROWS, 3).select(text).toArrow()
     samples = [c for t in sorted(set(texts_of_column(rows.column(0)))) for c in chunks(to_media(padded(t)[1]))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -191,7 +194,8 @@ def write_store(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> St
         recipes(df, key=key, text=text).write.option("compression", "zstd").parquet(f"{store.folder}/lists")
         spark.createDataFrame([(bytearray(words),)], "words binary").coalesce(1).write.parquet(f"{store.folder}/dictionary")
         total = spark.read.parquet(f"{store.folder}/lists").agg(F.sum(F.size("names"))).first()[0] or 0
-        buckets = max(1, -(-total // BUCKET_CHUNKS))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(MOST_BUCKETS, max(1, -(-total // FULL_BUCKET_CHUNKS), min(partitions, -(-total // BUCKET_CHUNKS))))
         # Rows are dealt by name as the buckets are, so that a task writes one bucket, and reading needs no other shuffle of bodies.
         once = chunk_rows(df, words, text=text).repartition(buckets, "name").groupBy("name").agg(F.first("body").alias("body"))
         once.write.option("compression", "none").option("path", f"{store.folder}/chunks").bucketBy(buckets, "name").sortBy("name").format("parquet").saveAsTable(store.table)

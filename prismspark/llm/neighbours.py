@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, map_rows
+from .common import cut, hashed_sample, join_hot, map_rows
 
 SAMPLE_ROWS, TRAIN_STEPS = 16_384, 12
 #: Vectors of a cell aimed at, most centroids of a half, and vectors by which the share to visit is measured.
@@ -106,7 +106,7 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: float) -> lis
 def fit(vectors: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 2) -> MultiIndex | None:
     """Centroids for usable(vectors); None if there is none. The sample is bounded, so it may come to the driver."""
     total = vectors.count()
-    rows = vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample_rows).select("vector").toArrow()["vector"].combine_chunks()
+    rows = hashed_sample(vectors, ["id"], sample_rows, seed).select("vector").toArrow()["vector"].combine_chunks()
     if not len(rows):
         return None
     sizes = np.diff(rows.offsets.to_numpy())
@@ -132,7 +132,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 def measured_share(classes: DataFrame, index: MultiIndex, counts: np.ndarray, *, k: int, recall: float, probes: int = PROBES) -> float:
     """The smallest share of all classes at which walks reach `recall` of the probes' true k nearest, found by brute force."""
     dim = index.dim
-    chosen = classes.orderBy(F.xxhash64("name", F.lit(7)), "name").limit(probes).select("name", "vector").toArrow()
+    chosen = hashed_sample(classes, ["name"], probes, 7).select("name", "vector").toArrow()
     if chosen.num_rows < 2:
         return 1.0
     q, own = matrix(chosen["vector"].combine_chunks(), dim), chosen["name"].to_pylist()
