@@ -14,6 +14,8 @@ SPELLINGS = {
     "@join(": ("array_join(", "array_to_string("),
     "@sha256(": ("sha256_of(", "sha256("),
     "@explode64": ("LATERAL VIEW posexplode(embedding) e AS pos, raw", ", LATERAL (SELECT unnest(range(64)) AS pos, unnest(embedding) AS raw) e"),
+    "@dealt_embeddings": ("(SELECT /*+ REPARTITION(vec_id) */ * FROM embeddings)", "embeddings"),
+    "@length(": ("size(", "len("),
     "@bytes(": ("octet_length(", "strlen("),
 }
 
