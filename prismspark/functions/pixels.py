@@ -144,6 +144,13 @@ def dct_matrix(n: int) -> np.ndarray:
     return basis
 
 
+def frequency_ratio(gray: np.ndarray) -> float:
+    """Mean size of the cosine coefficients in the highest half over that in the lowest quarter, at 256 x 256."""
+    side = dct_matrix(256)
+    found = np.abs(side @ resize(gray.astype(float), 256, 256) @ side.T)
+    return float(found[128:, 128:].mean() / (found[:64, :64].mean() + TINY))
+
+
 def bits_to_hex(bits: np.ndarray) -> str:
     return np.packbits(bits.ravel()).tobytes().hex()
 

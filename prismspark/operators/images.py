@@ -28,6 +28,8 @@ COLOUR = {
     "features": pixels.feature_bank,
 }
 BATCH = 16
+#: What a kernel may raise on a single odd image without ending the job.
+FAILURES = (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError)
 
 
 def to_rgb(height, width, channels, data) -> np.ndarray | None:
@@ -70,7 +72,7 @@ def measure(images: DataFrame, groups: list[str], key: str = "path") -> DataFram
                         continue
                     try:
                         rows.append([k, "success", None, *values(rgb)])
-                    except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as failure:
+                    except FAILURES as failure:
                         rows.append([k, "error", repr(failure), *none])
                 yield pd.DataFrame(rows, columns=columns)
 
@@ -80,7 +82,8 @@ def measure(images: DataFrame, groups: list[str], key: str = "path") -> DataFram
 
 
 def per_image(images: DataFrame, schema: str, kernel: Callable[[np.ndarray], list[dict]], key: str = "path") -> DataFrame:
-    """Rows of dicts that a kernel makes of each readable image, with its key."""
+    """Rows of dicts that a kernel makes of each readable image, with its key. An image on which the kernel fails gives one
+    row of nulls."""
     ship(images.sparkSession)
     kind = images.select(key).schema[key].simpleString().replace(":", " ", 1)
     columns = [key] + [part.split()[0] for part in schema.split(", ")]
@@ -90,7 +93,11 @@ def per_image(images: DataFrame, schema: str, kernel: Callable[[np.ndarray], lis
             for k, h, w, c, data in batch.itertuples(index=False):
                 rgb = to_rgb(h, w, c, data)
                 if rgb is not None:
-                    yield pd.DataFrame([{key: k} | row for row in kernel(rgb)], columns=columns)
+                    try:
+                        rows = kernel(rgb)
+                    except FAILURES:
+                        rows = [{}]
+                    yield pd.DataFrame([{key: k} | row for row in rows], columns=columns)
 
     return images.select(key, "height", "width", "channels", "pixels").mapInPandas(run, f"{kind}, {schema}")
 

@@ -56,15 +56,64 @@ def validation_rows(documents: DataFrame, column: str, key: str) -> DataFrame:
     return documents.select(key, column).mapInPandas(run, f"{kind}, place INT, scope STRING, kind STRING, code STRING, success BOOLEAN, explanation STRING, url STRING")
 
 
+#: Entries that a summary lists at most: successes and failures, and all statuses. Counts are of all.
+LISTED, LISTED_STATUSES, LISTED_IN_REASON = 50, 100, 8
+
+
+def stores(documents: DataFrame, column: str, key: str) -> DataFrame:
+    """key, active, state, producer, labels of manifest stores in JSON: the active manifest is looked up among the store's by
+    its label; its own state counts before the store's. Null and unreadable texts have no active manifest."""
+    text = F.col(column)
+    manifests = F.from_json(F.get_json_object(text, "$.manifests"), "map<string,string>")
+    active = F.get_json_object(text, "$.active_manifest")
+    found = documents.select(key, active.alias("active"), F.try_element_at(manifests, active).alias("own"), F.get_json_object(text, "$.validation_state").alias("whole"))
+    state = F.coalesce(F.get_json_object("own", "$.validation_state"), "whole")
+    state = F.nullif(F.trim(F.regexp_replace(F.lower(state), "^validationstate[.]", "")), F.lit(""))
+    labels = F.transform(F.from_json(F.get_json_object("own", "$.assertions"), "array<struct<label:string>>"), lambda x: x["label"])
+    return found.select(key, "active", state.alias("state"), F.get_json_object("own", "$.claim_generator").alias("producer"), F.array_compact(F.coalesce(labels, F.array().cast("array<string>"))).alias("labels"))
+
+
 def summary(stores: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Integrity per store (key, active, state) from its validation rows: a valid or trusted state, or a validated claim
-    signature, without failures and with an active manifest; the state invalid forbids it."""
+    """Integrity and trust per store (key, active, state) from its validation rows. A valid or trusted state, or a validated
+    claim signature, without failures and with an active manifest gives integrity; the state invalid forbids it. Trust is of
+    the signer and comes from the state alone."""
+    ok = (F.col("kind") == "success") | F.coalesce("success", F.lit(False))
+    bad = (F.col("kind") == "failure") | ~F.coalesce("success", F.lit(True))
+
+    def listed(rule: F.Column, most: int) -> F.Column:
+        """Codes in document order; a store's statuses are part of one document."""
+        return F.transform(F.slice(F.array_sort(F.collect_list(F.when(rule, F.struct("place", "code")))), 1, most), lambda x: x["code"])
+
     counted = rows.groupBy(key).agg(
-        F.count_if(F.col("kind") == "success").alias("successes"), F.count_if(F.col("kind") == "failure").alias("failures"),
-        F.count_if(F.col("kind") == "informational").alias("informational"), F.coalesce(F.bool_or(F.col("code") == "claimSignature.validated"), F.lit(False)).alias("signed"),
+        F.count_if(ok).alias("successes"), F.count_if(bad).alias("failures"), F.count_if(F.col("kind") == "informational").alias("informational"),
+        F.coalesce(F.bool_or((F.col("code") == "claimSignature.validated") & ok), F.lit(False)).alias("signature_validated"),
+        F.coalesce(F.bool_or((F.col("code") == "assertion.dataHash.match") & ok), F.lit(False)).alias("data_hash_validated"),
+        listed(ok, LISTED).alias("success_codes"), listed(bad, LISTED).alias("failure_codes"), listed(F.lit(True), LISTED_STATUSES).alias("status_codes"),
+    )
+    none = F.array().cast("array<string>")
+    joined = stores.join(counted, key, "left").fillna(0, ["successes", "failures", "informational"]).fillna(False, ["signature_validated", "data_hash_validated"])
+    joined = joined.withColumns({n: F.coalesce(n, none) for n in ("success_codes", "failure_codes", "status_codes")})
+    state, present = F.lower(F.coalesce("state", F.lit(""))), F.col("active").isNotNull()
+    sound = (state.isin("valid", "trusted") | F.col("signature_validated")) & (F.col("failures") == 0) & present & (state != "invalid")
+    # Names of trust and status.
+    trust = F.when(state == "trusted", "trusted").when(state == "valid", "valid_but_not_trusted").when(state == "invalid", "invalid").when(present, "not_established").otherwise("not_applicable")
+    status = F.when(sound, "validated").when((F.col("failures") > 0) | (state == "invalid"), "invalid").when(present, "manifest_present_unverified").otherwise("no_active_manifest")
+    found = joined.select(key, "active", "state", "successes", "failures", "informational", "signature_validated", "data_hash_validated", "success_codes", "failure_codes", "status_codes", sound.alias("integrity_validated"), trust.alias("trust_status"), status.alias("status"))
+    said = F.concat(F.lit("validation_state="), F.coalesce("state", F.lit("unknown")), F.lit("; trust_status="), F.col("trust_status"))
+    failed = F.concat(said, F.lit("; failures="), F.array_join(F.slice("failure_codes", 1, LISTED_IN_REASON), ","))
+    reason = F.when(F.col("failures") > 0, failed).when(F.col("status") == "validated", F.concat(said, F.lit("; no_validation_failures"))).when(F.col("active").isNotNull(), F.concat(said, F.lit("; manifest_present_but_not_validated")))
+    return found.withColumn("reason", F.coalesce(reason, F.lit("no_active_manifest")))
+
+
+def inspected(markers: DataFrame, attempts: DataFrame, key: str) -> DataFrame:
+    """key, tool, store, status, reason of each file of markers (key, marker): the first tool in order that gave a store
+    (attempts: key, tool `library` or `command`, store, error), else the marker scan with the reason of the last failure."""
+    each = attempts.groupBy(key).agg(
+        F.max(F.when(F.col("tool") == "library", F.col("store"))).alias("library"), F.max(F.when(F.col("tool") == "command", F.col("store"))).alias("command"),
+        F.max(F.when(F.col("tool") == "library", F.coalesce("error", F.lit("library_gave_nothing")))).alias("library_error"), F.max(F.when(F.col("tool") == "command", F.coalesce("error", F.lit("command_gave_nothing")))).alias("command_error"),
     )
-    joined = stores.join(counted, key, "left").fillna(0, ["successes", "failures", "informational"]).fillna(False, ["signed"])
-    state = F.lower(F.coalesce("state", F.lit("")))
-    sound = (state.isin("valid", "trusted") | F.col("signed")) & (F.col("failures") == 0) & F.col("active").isNotNull() & (state != "invalid")
-    status = F.when(sound & (state == "trusted"), "trusted").when(sound, "integrity_validated").when((F.col("failures") > 0) | (state == "invalid"), "invalid").otherwise("unverified")
-    return joined.select(key, "active", "successes", "failures", "informational", sound.alias("integrity_validated"), status.alias("status"))
+    joined = markers.join(each, key, "left")
+    tool = F.when(F.col("library").isNotNull(), "library").when(F.col("command").isNotNull(), "command").otherwise("marker_scan")
+    status = F.when(tool != "marker_scan", "inspected").when(F.coalesce("marker", F.lit(False)), "marker_only").otherwise("unavailable")
+    reason = F.when(tool == "marker_scan", F.coalesce("command_error", "library_error", F.lit("validator_not_available")))
+    return joined.select(key, tool.alias("tool"), F.coalesce("library", "command").alias("store"), status.alias("status"), reason.alias("reason"))

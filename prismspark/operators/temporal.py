@@ -55,4 +55,27 @@ def summary(frames: DataFrame) -> DataFrame:
     )
     joined = timing(frames).join(found, "video", "left").fillna(0, ["transitions", "duplicates", "anomalies"])
     signals = F.col("duplicates") + F.col("anomalies") + F.size("gaps")
-    return joined.withColumn("triage", F.when(signals > 0, "screening_observations_only").otherwise("no_strong_screening_signals")).withColumn("evidentiary_conclusion", F.lit("inconclusive"))
+    return joined.withColumn("triage", F.when(signals > 0, "needs_expert_review").otherwise("no_strong_screening_signals")).withColumn("evidentiary_conclusion", F.lit("inconclusive"))
+
+
+def sampled(frames: DataFrame, samples: int = 24) -> DataFrame:
+    """Evenly spaced frames of each video (video, idx from 0, ...), first and last included."""
+    last = F.max("idx").over(Window.partitionBy("video"))
+    taken = F.least(F.lit(samples), last + 1)
+    return frames.withColumn("taken", taken).withColumn("last", last).withColumn("wanted", F.transform(F.sequence(F.lit(0), F.col("taken") - 1), lambda k: F.when(F.col("taken") == 1, 0).otherwise(F.floor(k * F.col("last") / (F.col("taken") - 1))).cast("long"))).filter(F.array_contains("wanted", F.col("idx").cast("long"))).drop("taken", "last", "wanted")
+
+
+def video_screen(rows: DataFrame) -> DataFrame:
+    """Per video (video, ratio: high to low frequency energy, sharpness and luminance of the largest face or null): variation
+    over its sampled frames, flags and triage. A mean of zero gives its own floor, no frames with a face give null."""
+    def variation(name: str) -> F.Column:
+        return F.stddev_pop(name) / (F.avg(name) + 1e-12)
+
+    found = rows.groupBy("video").agg(
+        F.count("*").alias("sampled_frames"), F.count("sharpness").alias("frames_with_face"), variation("sharpness").alias("face_sharpness_cv"),
+        variation("luminance").alias("face_luminance_cv"), variation("ratio").alias("spectral_ratio_cv"),
+    )
+    # Names of the flags.
+    flags = F.array_compact(F.array(F.when(F.col("face_sharpness_cv") > T.SHARPNESS_CV, "large_face_texture_sharpness_variation"), F.when(F.col("spectral_ratio_cv") > T.DCT_RATIO_CV, "large_sampled_frequency_variation")))
+    judged = found.withColumn("screening_flags", flags)
+    return judged.withColumn("triage", F.when(F.size("screening_flags") > 0, "needs_expert_review").otherwise("no_strong_screening_signals")).withColumn("evidentiary_conclusion", F.lit("inconclusive"))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismspark import case
-from prismspark.functions import png
+from prismspark.functions import pixels, png
 from prismspark.operators import artifacts, images, protocol, temporal
 from prismspark.sources import media
 
@@ -64,7 +64,7 @@ def test_frame_screens(spark):
     assert [r.idx for r in marks.filter("anomaly").collect()] == [40]
     rows = {r.video: r for r in temporal.summary(frames).collect()}
     assert rows["v"].gaps == [49] and rows["v"].key_frames == 6 and rows["v"].keyframes == [21, 22, 40]
-    assert rows["one"].transitions == 0 and rows["one"].triage == "no_strong_screening_signals"
+    assert rows["v"].triage == "needs_expert_review" and rows["one"].transitions == 0 and rows["one"].triage == "no_strong_screening_signals"
     flows = spark.createDataFrame([("v", i, 9.0 if i == 5 else 1.0 + i % 3 / 10) for i in range(20)], "video STRING, idx BIGINT, flow DOUBLE")
     assert [r.idx for r in temporal.motion(flows).filter("discontinuity").collect()] == [5]
 
@@ -87,3 +87,20 @@ def test_failing_kernel_is_recorded(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 3, 1, 1, b"123"), ("b", 1, 1, 1, b"1")], "path STRING, height INT, width INT, channels INT, pixels BINARY")
     found = {r.path: (r.status, r.error, r.fragile_x) for r in images.measure(rows, ["fragile"]).collect()}
     assert found["a"][0] == "error" and "three rows" in found["a"][1] and found["b"] == ("success", None, 1.0)
+
+
+def test_video_screen(spark):
+    """Evenly sampled frames, their frequency ratio, and the variation that flags a video."""
+    frames = spark.createDataFrame([("v", i) for i in range(100)] + [("w", i) for i in range(3)], "video STRING, idx BIGINT")
+    taken = {}
+    for r in temporal.sampled(frames).collect():
+        taken.setdefault(r.video, set()).add(r.idx)
+    assert taken == {"v": set(np.linspace(0, 99, 24).astype(int).tolist()), "w": {0, 1, 2}}
+    flat, noisy = np.tile(np.linspace(0, 200, 64), (64, 1)), np.random.default_rng(1).uniform(0, 255, (64, 64))
+    low, high = pixels.frequency_ratio(flat), pixels.frequency_ratio(np.kron(noisy, np.ones((8, 8))))
+    assert 0 <= low < high
+    rows = [("calm", 0.1, 5.0, 90.0), ("calm", 0.11, 5.5, 91.0), ("jumpy", 0.01, None, None), ("jumpy", 0.01, None, None), ("jumpy", 0.4, None, None), ("face", 0.1, 0.1, 1.0), ("face", 0.1, 0.1, 1.0), ("face", 0.1, 9.0, 1.0)]
+    found = {r.video: r for r in temporal.video_screen(spark.createDataFrame(rows, "video STRING, ratio DOUBLE, sharpness DOUBLE, luminance DOUBLE")).collect()}
+    assert (found["calm"].screening_flags, found["calm"].triage, found["calm"].frames_with_face) == ([], "no_strong_screening_signals", 2)
+    assert (found["jumpy"].screening_flags, found["jumpy"].face_sharpness_cv) == (["large_sampled_frequency_variation"], None)
+    assert (found["face"].screening_flags, found["face"].triage) == (["large_face_texture_sharpness_variation"], "needs_expert_review")

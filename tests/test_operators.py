@@ -83,7 +83,31 @@ def test_validation_rows(spark):
     assert [(r.scope, r.kind, r.code) for r in rows.orderBy("place").collect()] == [
         ("activeManifest.success", "success", "a"), ("activeManifest.failure", "failure", "b"), ("activeManifest.other", "failure", "c"), ("activeManifest.other", "status", "d")]
     stores = spark.createDataFrame([("f", "m", "Valid"), ("k", "m", "Trusted"), ("l", None, "valid")], "file STRING, active STRING, state STRING")
-    assert {r.file: r.status for r in provenance.summary(stores, rows, "file").collect()} == {"f": "invalid", "k": "trusted", "l": "unverified"}
+    found = {r.file: r for r in provenance.summary(stores, rows, "file").collect()}
+    assert {f: (r.status, r.trust_status, r.integrity_validated) for f, r in found.items()} == {"f": ("invalid", "valid_but_not_trusted", False), "k": ("validated", "trusted", True), "l": ("no_active_manifest", "valid_but_not_trusted", False)}
+    assert (found["f"].success_codes, found["f"].failure_codes, found["f"].status_codes) == (["a"], ["b", "c"], ["a", "b", "c", "d"])
+    assert found["f"].reason == "validation_state=Valid; trust_status=valid_but_not_trusted; failures=b,c" and found["l"].reason == "no_active_manifest"
+
+
+def test_provenance_lists_are_cut_and_signatures_count(spark):
+    tree = {"success": [{"code": "claimSignature.validated"}, {"code": "assertion.dataHash.match"}] + [{"code": f"s{i}"} for i in range(120)]}
+    rows = provenance.validation_rows(spark.createDataFrame([("s", json.dumps(tree))], "file STRING, tree STRING"), "tree", "file")
+    stores = spark.createDataFrame([("s", "m", None), ("i", "m", "Invalid"), ("n", "m", None)], "file STRING, active STRING, state STRING")
+    found = {r.file: r for r in provenance.summary(stores, rows, "file").collect()}
+    assert (found["s"].status, found["s"].trust_status, found["s"].successes, len(found["s"].success_codes), len(found["s"].status_codes)) == ("validated", "not_established", 122, 50, 100)
+    assert found["s"].signature_validated and found["s"].data_hash_validated and found["i"].status == "invalid" and found["n"].status == "manifest_present_unverified"
+
+
+def test_active_manifest_and_fallback(spark):
+    store = {"active_manifest": "b", "validation_state": "Valid", "manifests": {"a": {"claim_generator": "x"}, "b": {"claim_generator": "y", "validation_state": "ValidationState.Trusted", "assertions": [{"label": "l1"}, {"kind": 2}]}}}
+    rows = [("one", json.dumps(store)), ("two", json.dumps(store | {"active_manifest": "zz"})), ("none", "{}"), ("bad", "{"), ("null", None)]
+    found = {r.file: r for r in provenance.stores(spark.createDataFrame(rows, "file STRING, tree STRING"), "tree", "file").collect()}
+    assert (found["one"].active, found["one"].state, found["one"].producer, found["one"].labels) == ("b", "trusted", "y", ["l1"])
+    assert (found["two"].active, found["two"].state, found["two"].producer) == ("zz", "valid", None) and all(found[k].active is None for k in ("none", "bad", "null"))
+    markers = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", None)], "file STRING, marker BOOLEAN")
+    attempts = spark.createDataFrame([("a", "library", "{}", None), ("b", "library", None, "library: broken"), ("b", "command", None, "command: code 2"), ("c", "library", None, "library: broken"), ("c", "command", "{}", None)], "file STRING, tool STRING, store STRING, error STRING")
+    assert {r.file: (r.tool, r.status, r.reason) for r in provenance.inspected(markers, attempts, "file").collect()} == {
+        "a": ("library", "inspected", None), "b": ("marker_scan", "marker_only", "command: code 2"), "c": ("command", "inspected", None), "d": ("marker_scan", "unavailable", "validator_not_available")}
 
 
 @pytest.fixture(scope="module")
