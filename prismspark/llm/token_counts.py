@@ -26,7 +26,7 @@ from .common import map_rows, texts_of
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of cached words per worker before the caches start anew (a word's own and ENTRY_BYTES for its places in both),
 #: characters of the pieces of a long text, and bytes from which a word is merged with linked positions.
-CACHE_BYTES, ENTRY_BYTES, PIECE_CHARS, LONG_WORD = 64_000_000, 250, 1 << 20, 2048
+CACHE_BYTES, ENTRY_BYTES, PIECE_CHARS, LONG_WORD = 200_000_000, 250, 1 << 20, 2048
 
 
 def byte_alphabet() -> list[str]:
