@@ -28,34 +28,61 @@ from .common import cut, map_rows, texts_of
 
 #: Pieces packed together: bounds a task's memory, and is large enough that a group's open bins cost little.
 GROUP_PIECES = 20_000
-#: Bytes of cached units per worker before the cache starts anew; what a unit's place takes beside its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 64_000_000, 200
+#: Bytes of cached units per worker before the older half goes; what a unit's place takes beside its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 200_000_000, 200
 #: A single space between two other characters: no token of a byte-level BPE reaches over it from the left.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
+#: A unit with no white space but the single space it begins with, and units that are encoded as one text.
+PLAIN = re.compile(r" \S+")
+JOINED = 4096
 
 
 class ByteBpe:
     """Ids of a byte-level BPE by its library, cached by the unit between single spaces. Bytes of an answer:
-    little-endian uint32 ids. Units not seen before are encoded as one batch."""
+    little-endian uint32 ids. Units not seen before are encoded as one text where only a unit's first token begins with
+    a space, and each by itself elsewhere."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        size = self.library.get_vocab_size()
+        # A byte-level vocabulary writes the space as this letter.
+        self.begins = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
+    def keep(self, unit: str, ids: bytes) -> None:
+        self.known[unit] = ids
+        self.held += 2 * len(unit) + len(ids) + ENTRY_BYTES
+
     def learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.known[unit] = ids
-            self.held += 2 * len(unit) + len(ids) + ENTRY_BYTES
+        plain: list[str] = []
+        alone: list[str] = []
+        for unit in units:
+            (plain if PLAIN.fullmatch(unit) else alone).append(unit)
+        for i in range(0, len(plain), JOINED):
+            part = plain[i : i + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids]) * 4
+            if len(starts) != len(part):
+                alone += part
+                continue
+            raw = ids.tobytes()
+            for unit, start, end in zip(part, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True):
+                self.keep(unit, raw[start:end])
+        for unit, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.keep(unit, np.array(found.ids, "<u4").tobytes())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
             split = [units_of(t) for t in texts[i : i + 64]]
-            if self.held > CACHE_BYTES:
-                self.known, self.held = {}, 0
-            if new := list(set().union(*split).difference(self.known)):
+            if self.held > CACHE_BYTES // 2:
+                self.known, self.older, self.held = {}, self.known, 0
+            new = set().union(*split).difference(self.known)
+            for unit in new.intersection(self.older):
+                self.keep(unit, self.older[unit])
+            if new := list(new.difference(self.known)):
                 self.learn(new)
             for units in split:
                 yield b"".join(map(self.known.__getitem__, units))

@@ -393,3 +393,13 @@ def test_pipeline_stages_on_edge_rows(spark, at):
 def test_pipeline_stages_on_an_empty_table(spark, at):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert stages()[at][1](spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_packing_ids_of_joined_units_are_the_library_s():
+    """Units encoded as one text, alone, from the older half of the cache, and after a change of halves."""
+    bpe = packing.ByteBpe(P.path("byte_bpe_50k.json"))
+    odd = ["", "  ", " a", "a  b", "<|endoftext|> x y<|endoftext|>z <|endoftext|>", "it's  a\n b c\u3000d\u2003e", "\u0120 \u0120a \u0120", "a \u200b b", "x" * 5000 + " y", " 's 't", "\u6f22\u5b57 \u304b\u306a \U0001f600 \U0001f600", "tab\t tab a\tb c", "a \x85 b \x1c c"]
+    want = [np.array(bpe.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert list(bpe.encode(odd)) == want
+    bpe.held = packing.CACHE_BYTES
+    assert list(bpe.encode(odd)) == want and bpe.older and set(bpe.known) == set(bpe.older)
