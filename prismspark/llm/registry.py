@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prismspark.session import read_table
 
-from . import html_text, media, mixing, near_duplicates, neighbours, packing, quality, secrets, token_counts, warc
+from . import fill_in_middle, html_text, importance, language_id, media, mixing, near_duplicates, neighbours, packing, quality, secrets, token_counts, warc
 from .common import cut, prepare
 
 
@@ -82,6 +82,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.default_forest())
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text. Texts that are null or without a letter are `und`; null ids are not held out."""
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    learned = cut(language_id.learn(docs.filter(~language_id.held_out("doc_id"))), "languages")
+    found = language_id.predict(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text transformed and taken apart again. Null and empty texts stay plain; equal rows give equal rows."""
+    found = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document weighed by how it is like the benchmark's texts, a quarter drawn. Texts without words have weight 0."""
+    prepare(spark)
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -94,8 +117,11 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_main_text": op9_main_text,
         "op10_secrets": op10_secrets,
+        "op11_language": op11_language,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op8_mixing": mixing.ORACLE, "op11_language": language_id.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_importance": importance.ORACLE}
