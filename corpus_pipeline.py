@@ -50,7 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by a mark and n_chars follows; every document stays, null texts as null."""
     prepare(spark)
-    return secrets.redact(docs.select(*COLUMNS), secrets.default_forest())
+    docs = docs.select(*COLUMNS)
+    return secrets.redact(docs, secrets.default_forest(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

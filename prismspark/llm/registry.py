@@ -79,7 +79,8 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per candidate of every whole text. Null and empty texts have none; equal texts have equal rows."""
     prepare(spark)
-    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.default_forest())
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.default_forest(docs))
 
 
 def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:

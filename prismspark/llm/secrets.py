@@ -1,8 +1,10 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long runs of key characters, values assigned to credential names, passwords in URLs, and private key blocks. Each is
+Candidates are long runs of key characters, values assigned to credential names, passwords in URLs, and private keys. Each is
 described by its length, character transitions, dictionary coverage, the path it was found under and neighbouring
-words; a forest trained on labelled findings scores it, and findings under the threshold are dropped.
+words; a forest trained on labelled findings scores it, and findings under the threshold are dropped. Candidates inside
+others are scored too: what the forest rejects hides none of them. The dictionary is the most frequent words of the
+documents, counted in Spark.
 
 The forest is trained from a table of labelled findings, of which a bounded sample is read (`SAMPLE_ROWS` rows by a hash).
 By default the table is made by labelled_findings(), from rules and a seed, since no table here has any; it is a fixed
@@ -15,6 +17,7 @@ columns are kept by redact() and not read by scan().
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import math
 import random
@@ -22,6 +25,7 @@ import re
 import string
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, texts_of
 
-RUN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)|[A-Za-z0-9_+/=~.:\-]{8,}", re.S)
+RUN = re.compile(r"[A-Za-z0-9_+/=~.:\-]{8,}")
+#: The first line of a private key, what parts its lines (also when escaped or quoted), a line of it, and its last line. A
+#: line is base64 alone: 16 characters or more, 40 behind a mere space, and fewer only before padding or the last line.
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_BREAK = r"(?:[ \t\"'+,;\\]{0,8}(?:\r?\n|\\r\\n|\\n)[ \t>|*#\"'+]{0,8}){1,3}"
+KEY_LINE = re.compile(rf"{_BREAK}(?:(?:Proc-Type|DEK-Info|Version|Comment): ?[^\n\\]{{0,200}}|[A-Za-z0-9+/]{{16,}}={{0,2}}|[A-Za-z0-9+/]{{1,76}}={{1,2}}|[A-Za-z0-9+/]{{1,76}}(?=\s{{0,8}}-----END))(?=[ \t\r\n\"'+,;\\]|-----|\Z)|[ \t]{{0,8}}[A-Za-z0-9+/]{{40,}}={{0,2}}(?=\s|-----|\Z)")
+KEY_END = re.compile(rf"(?:{_BREAK}|[ \t]{{0,8}})-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----")
 NAME = re.compile(r"(?i)(?:^|[_.\-])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|auth|credentials?|bearer)$")
 #: A credential name and its value up to the closing quote or, without one, to white space.
 ASSIGNED = re.compile(r"""(?i)(?<![A-Za-z0-9])((?:[A-Za-z0-9]{1,40}[_.\-]){0,6}(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|auth|credentials?|bearer))["'`]?[ \t]{0,8}[=:][ \t]{0,8}(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|(?!//)([^\s"'`]+))""")
@@ -40,33 +50,72 @@ URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s/:@\"'<>]{0,200}:([^\s/\"
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+|glpat-[\w-]{20}")
 GOOD_WORDS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential credentials private access login".split())
 BAD_WORDS = frozenset("example sample dummy placeholder changeme your test commit sha sha1 sha256 md5 hash checksum digest uuid guid id version isbn phone tel order invoice card serial".split())
-#: Common words, for dictionary coverage.
-DICTIONARY = frozenset(
-    "about access account action address after again all and any api app are arg array base before block body bool build byte cache call case change char check class client close code color column com common config connect content copy count create data date day debug default delete device document domain down edit else email end error event example exit file filter find first float font for form format from function get group hash have header height help home host html http https image import index info input insert int into item java key language last length level library license line link list load local log long main manager map match max message method min mode model module month more name new next node none not null number object offset old open option order other output page param parent part password path pattern phone place point port print private process program project property public query random read record remove replace report request resource response result return root row rule run same save scale screen script search section select send server service session set shape size some source start state status stop string style system table tag target task template test text that the this time title token tool tree true type union unit update url use user value variable vector version view width window with word work world write year you your".split()
-)
+#: Words of the dictionary, the most frequent ones of the documents; what stands for them where there are no documents.
+DICTIONARY_WORDS = 2000
+NO_DOCUMENTS = GOOD_WORDS | BAD_WORDS
+WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,20}(?![^\W\d_])")
 THRESHOLD = 0.5
 #: Labelled findings that training reads at most.
 SAMPLE_ROWS = 6000
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, kind, name of each candidate value, in order and without overlaps; the name is what it is assigned to.
-    Values of credential names and passwords of URLs are taken whole, at any length and of any characters."""
-    out = []
-    for m in ASSIGNED.finditer(text):
+def common_words(df: DataFrame, *, text: str = "text", most: int = DICTIONARY_WORDS) -> frozenset[str]:
+    """The words of 3 to 20 letters that most documents hold, counted over all whole texts; ties go to the smaller word. At
+    most `most` words come to the driver."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            n = Counter()
+            for t in texts_of(batch.column(0)):
+                n.update(set(WORD.findall(t.lower())))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+        return each
+
+    counted = map_rows(df.select(text), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys: a first line, the lines of base64 that follow, and the last line if it comes next. Without any such
+    line it is a mention of a key; what is not base64 ends a key, so that nothing behind it is swallowed."""
+    out, at = [], 0
+    while begin := KEY_BEGIN.search(text, at):
+        at = end = begin.end()
+        while line := KEY_LINE.match(text, end):
+            end = line.end()
+        if end > at:
+            last = KEY_END.match(text, end)
+            at = last.end() if last else end
+            out.append((begin.start(), at))
+    return out
+
+
+def assigned(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+    """Values of credential names, and those inside quoted values. A value has no unescaped quote of its own kind, so a
+    character is inside three of them at most."""
+    for m in ASSIGNED.finditer(text, start, end):
         quoted = 2 if m[2] is not None else 3 if m[3] is not None else 4 if m[4] is not None else 0
-        start, end = m.span(quoted or 5)
+        first, last = m.span(quoted or 5)
         if not quoted:
-            end -= len(m[5]) - len(m[5].rstrip(".,;:)]}>"))
-        if end > start and not text.startswith("-----BEGIN", start):
-            out.append((start, end, "issued" if ISSUED.fullmatch(text, start, end) else "assigned", m[1][-40:]))
+            last -= len(m[5]) - len(m[5].rstrip(".,;:)]}>"))
+        if last > first and not text.startswith("-----BEGIN", first):
+            yield first, last, "issued" if ISSUED.fullmatch(text, first, last) else "assigned", m[1][-40:]
+        if quoted:
+            yield from assigned(text, first, last)
+
+
+def candidates(text: str) -> list[tuple[int, int, str, str]]:
+    """start, end, kind, name of each candidate value, by start and falling end, each span once; the name is what it is
+    assigned to. Candidates may lie inside others: chosen() decides between them once they are scored. Values of credential
+    names and passwords of URLs are taken whole, at any length and of any characters."""
+    out = [(start, end, "private_key", "") for start, end in key_blocks(text)]
+    out += assigned(text, 0, len(text))
     for m in URL.finditer(text):
         out.append((*m.span(1), "url_password", ""))
     for m in RUN.finditer(text):
         run, start = m.group(), m.start()
-        if run.startswith("-----BEGIN"):
-            out.append((start, m.end(), "private_key", ""))
-            continue
         name, offset = "", 0
         if (eq := max(run.rfind("=", 0, len(run.rstrip("="))), run.rfind(":", 0, len(run.rstrip(":"))))) >= 0:
             name, offset = run[:eq], eq + 1
@@ -81,19 +130,33 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
             continue
         kind = "issued" if ISSUED.fullmatch(value) else "assigned" if named else "run"
         out.append((start, start + len(value), kind, name[-40:]))
-    # Of overlapping candidates the first counts, of those with one start the longest: a value is scored whole.
-    whole: list[tuple[int, int, str, str]] = []
-    for found in sorted(out, key=lambda c: (c[0], -c[1])):
-        if not whole or found[0] >= whole[-1][1]:
-            whole.append(found)
-    return whole
+    spans: dict[tuple[int, int], tuple[int, int, str, str]] = {}
+    for found in out:
+        spans.setdefault(found[:2], found)
+    return sorted(spans.values(), key=lambda c: (c[0], -c[1]))
+
+
+def chosen(found: list[tuple[int, int, str, float]], threshold: float) -> list[tuple[int, int, str, float]]:
+    """Of candidates that overlap, secrets come before what the forest rejects; then the first counts, and of those with one
+    start the longest. found is in that order."""
+    taken: list[tuple[int, int, str, float]] = []
+    for secret in (True, False):
+        kept, starts, reached = [], [f[0] for f in taken], 0
+        for f in found:
+            if (f[3] >= threshold) is secret and f[0] >= reached:
+                after = bisect.bisect_left(starts, f[1])
+                if after == 0 or taken[after - 1][1] <= f[0]:
+                    kept.append(f)
+                    reached = f[1]
+        taken = sorted([*taken, *kept])
+    return taken
 
 
 def _class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(text: str, start: int, end: int, name: str, path: str) -> list[float]:
+def features(text: str, start: int, end: int, name: str, path: str, dictionary: frozenset[str] = NO_DOCUMENTS) -> list[float]:
     """Length, transitions, coverage, path and neighbours of one candidate."""
     value = text[start:end]
     n = len(value)
@@ -105,7 +168,7 @@ def features(text: str, start: int, end: int, name: str, path: str) -> list[floa
     counts = list(Counter(value).values())
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     words = re.findall(r"[A-Za-z][a-z]+|[A-Z]{3,}", value)
-    covered = sum(len(w) for w in words if w.lower() in DICTIONARY or w.lower() in BAD_WORDS) / n
+    covered = sum(len(w) for w in words if w.lower() in dictionary or w.lower() in BAD_WORDS) / n
     vowels = sum(c in "aeiouAEIOU" for c in value) / n
     before = text[max(0, start - 60) : start]
     near = re.findall(r"[a-z_0-9]+", before.lower())[-4:] + re.findall(r"[a-z]+", text[end : end + 40].lower())[:2]
@@ -121,9 +184,9 @@ def features(text: str, start: int, end: int, name: str, path: str) -> list[floa
     ]
 
 
-def labelled_findings(n: int = SAMPLE_ROWS, seed: int = 10) -> list[tuple[str, int, int, str, str, str, int]]:
-    """text, start, end, kind, name, path, label: findings of known truth, made from rules and a seed."""
-    rng = random.Random(seed)
+def labelled_findings(n: int = SAMPLE_ROWS, seed: int = 10, dictionary: frozenset[str] = NO_DOCUMENTS) -> list[tuple[str, int, int, str, str, str, int]]:
+    """text, start, end, kind, name, path, label: findings of known truth, made from rules, the dictionary and a seed."""
+    rng, common = random.Random(seed), sorted(dictionary | NO_DOCUMENTS)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
     words = lambda k: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
@@ -143,7 +206,7 @@ def labelled_findings(n: int = SAMPLE_ROWS, seed: int = 10) -> list[tuple[str, i
     false = [
         lambda: ("", words(1)), lambda: ("", "_".join(words(2).split())), lambda: ("", rng.choice(["true", "false", "null", "none", "None", "changeme", "password", "secret", "your_token", "example", "str", "string", "xxxx", "****", "<token>", "${TOKEN}", "os.environ", "{}", "..."])), lambda: ("", f"{words(1)}.{words(1)}({words(1)})"),
         lambda: ("-", f"{rng.choice(['postgres', 'mysql', 'https'])}://{rng.choice(['user', words(1)])}:{rng.choice(['password', 'pass', 'changeme', 'xxxx', '<password>', '${PASSWORD}', 'example'])}@{words(1)}/{words(1)}"), lambda: ("-", "".join(w.title() for w in words(6).split())),
-        lambda: ("-", rng.choice("/.-_:").join(words(rng.randint(3, 7)).split())), lambda: ("-", rng.choice(["", "/", "~/"]) + "/".join(rng.sample(sorted(DICTIONARY), 4)) + ".py"), lambda: ("-", rng.choice(["", "_"]).join(rng.sample(sorted(DICTIONARY), 4))), lambda: ("-", "".join(words(7).split())), lambda: ("-", rng.choice("/~_+ax") * rng.randint(16, 60)),
+        lambda: ("-", rng.choice("/.-_:").join(words(rng.randint(3, 7)).split())), lambda: ("-", rng.choice(["", "/", "~/"]) + "/".join(rng.sample(common, 4)) + ".py"), lambda: ("-", rng.choice(["", "_"]).join(rng.sample(common, 4))), lambda: ("-", "".join(words(7).split())), lambda: ("-", rng.choice("/~_+ax") * rng.randint(16, 60)),
         lambda: ("", rng.choice(["changeme123", "your_password_here1", "example_token_value1", "xxxxxxxxxxxxxxxx1", "password1234", "12345678", "00000000000000000000", "test_test_test_01"])),
         lambda: ("-", pick(string.digits, rng.choice([16, 16, 18, 20]))), lambda: ("commit ", pick(hexa, 40)), lambda: ("sha256 checksum ", pick(hexa, 64)), lambda: ("md5 hash ", pick(hexa, 32)), lambda: ("id ", str(uuid.UUID(int=rng.getrandbits(128)))),
         lambda: ("-", "_".join(words(rng.randint(3, 5)).split()) + str(rng.randint(1, 99))), lambda: ("-", "https://" + words(1) + ".example.com/" + words(1) + "/" + pick(string.digits, 4)), lambda: ("-", words(1) + "." + str(rng.randint(1, 99)) + "@" + words(1) + rng.choice(["2", "7"]) + ".example.com"), lambda: ("-", f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T0{rng.randint(0, 9)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}"), lambda: ("-", "".join(words(5).split()) + str(rng.randint(1, 9))),
@@ -162,10 +225,10 @@ def labelled_findings(n: int = SAMPLE_ROWS, seed: int = 10) -> list[tuple[str, i
 
 
 class Forest:
-    """Random forest of binary splits over binned features, stored as flat arrays."""
+    """Random forest of binary splits over binned features, stored as flat arrays, and the dictionary of its features."""
 
-    def __init__(self, trees: list[tuple[np.ndarray, ...]]):
-        self.trees = trees
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], dictionary: frozenset[str] = NO_DOCUMENTS):
+        self.trees, self.dictionary = trees, dictionary
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 10, least: int = 3, seed: int = 10) -> Forest:
@@ -215,34 +278,42 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def fit(findings: list[tuple]) -> Forest:
-    x = np.array([features(t, s, e, m, p) for t, s, e, _, m, p, _ in findings], float)
-    return Forest.fit(x, np.array([f[-1] for f in findings], float))
+def fit(findings: list[tuple], dictionary: frozenset[str] = NO_DOCUMENTS) -> Forest:
+    x = np.array([features(t, s, e, m, p, dictionary) for t, s, e, _, m, p, _ in findings], float)
+    forest = Forest.fit(x, np.array([f[-1] for f in findings], float))
+    forest.dictionary = dictionary
+    return forest
 
 
-def train(findings: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Forest:
+def train(findings: DataFrame, *, sample_rows: int = SAMPLE_ROWS, dictionary: frozenset[str] = NO_DOCUMENTS) -> Forest:
     """Forest from a table of findings: text, start, end (code points), kind, name, path, label (1: a secret). The sample is
     bounded, so it may come to the driver; rows with nulls are left out."""
     columns = ["text", "start", "end", "kind", "name", "path", "label"]
     rows = findings.select(*columns).dropna().orderBy(F.xxhash64(*columns), *columns).limit(sample_rows).collect()
-    return fit([tuple(r) for r in rows])
+    return fit([tuple(r) for r in rows], dictionary)
 
 
 @functools.cache
-def default_forest() -> Forest:
-    return fit(labelled_findings(SAMPLE_ROWS))
+def forest_of(dictionary: frozenset[str] = NO_DOCUMENTS) -> Forest:
+    """The forest of the findings made from rules, with this dictionary."""
+    return fit(labelled_findings(SAMPLE_ROWS, dictionary=dictionary), dictionary)
+
 
+def default_forest(docs: DataFrame | None = None, *, text: str = "text") -> Forest:
+    """The forest whose dictionary is counted from docs; without docs, the words that its rules name."""
+    return forest_of() if docs is None else forest_of(common_words(docs, text=text))
 
-def judged(texts: list[str], paths: list[str], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
-    """start, end, kind, score of every candidate of each text."""
+
+def judged(texts: list[str], paths: list[str], forest: Forest, threshold: float = THRESHOLD) -> list[list[tuple[int, int, str, float]]]:
+    """start, end, kind, score of the chosen candidates of each text, in order and without overlaps."""
     found = [candidates(t) for t in texts]
     flat = [(i, s, e, k, m) for i, own in enumerate(found) for s, e, k, m in own]
     out: list[list] = [[] for _ in texts]
     if flat:
-        p = forest.score(np.array([features(texts[i], s, e, m, paths[i]) for i, s, e, _, m in flat], float))
+        p = forest.score(np.array([features(texts[i], s, e, m, paths[i], forest.dictionary) for i, s, e, _, m in flat], float))
         for (i, s, e, k, _), v in zip(flat, p.tolist(), strict=True):
             out[i].append((s, e, k, v))
-    return out
+    return [chosen(own, threshold) for own in out]
 
 
 def scan(df: DataFrame, forest: Forest, *, key: str = "doc_id", text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -252,7 +323,7 @@ def scan(df: DataFrame, forest: Forest, *, key: str = "doc_id", text: str = "tex
     def make():
         def each(batch: pa.RecordBatch):
             texts, paths = texts_of(batch.column(1)), texts_of(batch.column(2))
-            rows = [(i, *f) for i, own in enumerate(judged(texts, paths, forest)) for f in own]
+            rows = [(i, *f) for i, own in enumerate(judged(texts, paths, forest, threshold)) for f in own]
             if rows:
                 owner, start, end, kinds, score = zip(*rows, strict=True)
                 start, end, score = np.array(start), np.array(end), np.array(score)
@@ -273,7 +344,7 @@ def redact(df: DataFrame, forest: Forest, *, text: str = "text", path: str = "so
             texts = batch.column(at).to_pylist()
             columns = list(batch.columns)
             counts = columns[count].to_pylist()
-            for i, own in enumerate(judged([t or "" for t in texts], texts_of(batch.column(where)), forest)):
+            for i, own in enumerate(judged([t or "" for t in texts], texts_of(batch.column(where)), forest, threshold)):
                 spans = [(s, e) for s, e, _, p in own if p >= threshold]
                 if spans:
                     for s, e in reversed(spans):
