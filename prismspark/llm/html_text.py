@@ -6,13 +6,15 @@ for its generalised tag-class path with its share of the page's score. Votes are
 their host's winning path; a page without it falls back to its own best container. Boilerplate is left out before:
 tags such as nav, hidden ones, and those with a whole class, id or role token of boilerplate, unless they hold the article.
 
-Edge cases: null and empty html give an empty text; a null url's pages share the empty host; ties between paths go
-to the smaller path; unclosed and misnested tags are closed by what follows; equal rows give equal texts; an empty
-table gives an empty table; other columns are not read.
+Edge cases: null and empty html give an empty text; a null url's pages share the empty host; ties between a host's paths
+go to the smaller path, between a page's own to the first; unclosed and misnested tags are closed by what follows; a page
+is read in time and memory that follow its length, whatever its tags, quotes and depth; equal rows give equal texts; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from dataclasses import dataclass
@@ -23,16 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_rows, small_or_not
 
-#: Hosts up to which the winning paths (under 300 bytes each) are broadcast.
+#: Hosts up to which the winning paths (a digest and one tag with its classes) are broadcast.
 BROADCAST_HOSTS = 20_000
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What stands in a tag behind its name, with quoted values whole.
+INSIDE_TAG = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+""")
+#: A character reference of 20 digits and more, which the library does not read.
+LONG_NUMBER = re.compile(r"&#(?=[0-9]{20})0*+([0-9]*+);?")
 ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 DROPPED = frozenset("head nav header footer aside form button select menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("body div article section main td blockquote center".split())
-CLOSED_BY: dict[str, frozenset] = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+CLOSED_BY: dict[str, frozenset] = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 #: Tags whose id counts as a mark; those of headings, paragraphs and inline tags are names of places.
 MARKED_BY_ID = frozenset("div section ul ol dl table td center".split())
 #: Whole tokens of class, id or role that mark what is not the article: parts between hyphens or underscores are words
@@ -40,6 +46,8 @@ MARKED_BY_ID = frozenset("div section ul ol dl table td center".split())
 _WORDS = r"ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed)?|promo(?:s|tions?)?|banners?|cookies?|cookie(?:bar|banner|consent)|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bars?|aside|nav(?:s|bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|comments?|disqus|respond|repl(?:y|ies)|share|sharing|socials?|related|recommend(?:ed|ations?)|subscribe|subscription|newsletter|sign-?up|login|pager|pagination|widgets?|toolbar|search(?:bar|box|form)?|form|complementary|contentinfo|teasers?|tags?|skip-?links?"
 _BESIDE = r"site|global|main|page|top|bottom|left|right|primary|secondary|list|box|block|area|container|wrapper|wrap|section|links?|bar|items?|slot|unit|inner|buttons?|icons?|posts|articles|stories|thread|\d+"
 BOILERPLATE = re.compile(rf"(?i)(?!page[_-]header$)(?:(?:{_BESIDE})[_-]+)*(?:{_WORDS})(?:[_-]+(?:{_BESIDE}|{_WORDS}))*|(?:post|article|entry|user|reader)[_-]comments?(?:[_-]\w+)?")
+#: Marks that are subjects inside an article: there they name what a part is about.
+SUBJECTS = frozenset("header search form tag tags".split())
 COMMENTS = re.compile(r"(?i)comment|disqus|respond|repl")
 SPACE = re.compile(r"\s+")
 
@@ -66,12 +74,19 @@ class Mark:
         return 2 * self.size > page.size or (self.articles > 0 and not self.in_main)
 
 
-def boilerplate(name: str, attributes: dict[str, str], inside: set[str]) -> str:
-    """The token of class, id or role that marks a tag as boilerplate, or an empty text. In an article, a header is its own
-    and ids of sections name places."""
+def decoded(text: str) -> str:
+    """text with its character references decoded; numbers that are no character give the replacement character."""
+    if "&" not in text:
+        return text
+    return entities.unescape(LONG_NUMBER.sub(lambda m: f"&#{m[1] or 0};" if len(m[1]) < 8 else "\ufffd", text))
+
+
+def boilerplate(name: str, attributes: dict[str, str], inside: bool) -> str:
+    """The token of class, id or role that marks a tag as boilerplate, or an empty text. In an article, a header is its own,
+    ids of sections name places and subjects are no marks."""
     kinds = ["class", "role"] + ["id"] * (name in MARKED_BY_ID and not (name == "section" and inside))
     for token in " ".join(attributes[k] for k in kinds if k in attributes).split():
-        if BOILERPLATE.fullmatch(token) and not (inside and token.lower() == "header"):
+        if BOILERPLATE.fullmatch(token) and not (inside and token.lower() in SUBJECTS):
             return token
     return ""
 
@@ -85,19 +100,35 @@ class Page:
 
     def begin(self, source: str, spared: frozenset[int]) -> frozenset[int]:
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters in links
-        self.paths: list[str] = ["html"]
+        self.parts: list[str] = ["html"]  # tag and classes of each container
+        self.paths: list[str] = ["html"]  # its part and a digest of all parts around it: equal for equal paths, short at any depth
         self.parents: list[int] = [-1]
         self.children: dict[int, list[int]] = {}
         self.headed: list[int] = []  # containers that own a heading
         return self.read(source, spared)
 
+    def container(self, name: str, classes: str, parent: int) -> int:
+        part = ".".join([name, *sorted({re.sub(r"\d+", "N", c.lower()) for c in classes.split()})])
+        self.parts.append(part)
+        self.paths.append(f"{hashlib.blake2b(self.paths[parent].encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}>{part}")
+        self.parents.append(parent)
+        self.children.setdefault(parent, []).append(len(self.paths) - 1)
+        return len(self.paths) - 1
+
     def read(self, source: str, spared: frozenset[int]) -> frozenset[int]:
-        """Blocks without boilerplate; the places of tags that are marked as such but hold the article, for a second reading."""
-        stack: list[tuple[str, int, int]] = [("html", 0, 0)]  # tag, container, dropped: 0 no, -1 by tag or hidden, else its mark
+        """Blocks without boilerplate; the places of tags that are marked as such but hold the article, for a second reading.
+
+        The page is read forward once: whatever is searched for and not there is not searched for again, and the open tags
+        are known by name, so time and memory follow the page's length.
+        """
+        # Tag, container, dropped (0 no, -1 by tag or hidden, else its mark), whether in article, in main.
+        stack: list[tuple[str, int, int, bool, bool]] = [("html", 0, 0, False, False)]
+        depths: dict[str, list[int]] = {}  # of the open tags of a name
+        blocks: list[int] = []  # depths of open blocks
         marked: list[Mark] = [Mark(-1)]  # the first stands for the page
         words: list[str] = []
         links = linked = 0
-        at, end = 0, len(source)
+        last, quotes, unclosed = source.rfind(">"), True, set()
 
         def flush(container: int) -> None:
             nonlocal words, linked
@@ -112,35 +143,66 @@ class Page:
             if text and dropped >= 0 and not links:
                 marked[dropped].size += len(text.strip())
             if text and not dropped:
-                text = entities.unescape(text) if "&" in text else text
+                text = decoded(text)
                 words.append(text)
                 if links:
                     linked += len(text)
 
-        while at < end:
-            found = TOKEN.search(source, at)
-            if not found:
-                add(source[at:])
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                tag = stack.pop()[0]
+                depths[tag].pop()
+                if tag in BLOCKS:
+                    blocks.pop()
+
+        at = since = 0  # where the search goes on, and where text that is not added yet begins
+        while True:
+            tag_at = source.find("<", at)
+            if source.startswith("<!--", tag_at) and tag_at >= 0:
+                add(source[since:tag_at])
+                found = source.find("-->", tag_at + 4)
+                at = since = found + 3 if found >= 0 else len(source)
+                continue
+            if tag_at < 0 or tag_at > last:
+                if tag_at >= 0 and (comment := source.find("<!--", tag_at)) >= 0:
+                    add(source[since:comment])
+                else:
+                    add(source[since:])
                 break
-            add(source[at : found.start()])
-            at, name = found.end(), (found[2] or "").lower()
-            if not name:
+            closing = source.startswith("/", tag_at + 1)
+            named = NAME.match(source, tag_at + 1 + closing)
+            if not named:
+                at = tag_at + 1
+                if source[at : at + 1] in ("!", "?"):
+                    add(source[since:tag_at])
+                    at = since = source.find(">", at) + 1
                 continue
-            if found[1]:
+            end = INSIDE_TAG.match(source, named.end()).end() if quotes else -1
+            if not source.startswith(">", end) or end < 0:
+                # A quote that never closes: from here on tags end at the next bracket.
+                quotes, end = False, source.find(">", named.end())
+            add(source[since:tag_at])
+            name, inner = named[0].lower(), source[named.end() : end]
+            at = since = end + 1
+            if closing:
                 if name == "a":
                     links = max(0, links - 1)
                 if name in BLOCKS:
                     flush(stack[-1][1])
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name:
-                        if name not in BLOCKS and any(t in BLOCKS for t, *_ in stack[depth + 1 :]):
-                            break
-                        del stack[depth:]
-                        break
+                if (own := depths.get(name)) and (name in BLOCKS or not blocks or blocks[-1] < own[-1]):
+                    close(own[-1])
                 continue
+            alone = inner.rstrip().endswith("/")
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at) if not found[3].rstrip().endswith("/") else None
-                at = close.end() if close else (at if found[3].rstrip().endswith("/") or name in ("svg", "math", "object", "video", "audio", "canvas") else end)
+                found = None
+                if not alone and name not in unclosed:
+                    found = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                    if not found:
+                        unclosed.add(name)
+                if found:
+                    at = since = found.end()
+                elif not alone and name != "svg":
+                    at = since = len(source)
                 continue
             if name == "br":
                 add(" ")
@@ -152,43 +214,41 @@ class Page:
             if name in BLOCKS:
                 flush(stack[-1][1])
                 links = 0
-            if name == "body" and any(t == "head" for t, *_ in stack):
-                del stack[next(i for i, s in enumerate(stack) if s[0] == "head") :]
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = stack[depth][0]
-                if name in CLOSED_BY.get(tag, ()):
-                    del stack[depth:]
-                    break
-                if tag in CONTAINERS or tag in ("ul", "ol", "table", "dl") or (tag in BLOCKS and tag != "p"):
-                    break
+                if name == "body" and depths.get("head"):
+                    close(depths["head"][0])
+                for depth in reversed(blocks):
+                    tag = stack[depth][0]
+                    if name in CLOSED_BY.get(tag, ()):
+                        close(depth)
+                        break
+                    if tag != "p":
+                        break
             if name == "html":
                 continue
-            attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(found[3])} if found[3] else {}
-            inside = {t for t, *_ in stack} & {"article", "main"}
-            dropped = stack[-1][2]
+            attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(inner)} if inner else {}
+            _, container, dropped, in_article, in_main = stack[-1]
+            inside = in_article or in_main
             if dropped >= 0:
                 if (name in DROPPED and not (name == "header" and inside)) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
                     dropped = -1
                 elif name in ("article", "main"):
                     marked[dropped].articles += name == "article"
                     marked[dropped].mains += name == "main"
-                elif name not in ("body", "html") and found.start() not in spared and (hit := boilerplate(name, attributes, inside)):
-                    marked.append(Mark(found.start(), dropped, name in CONTAINERS or name == "table", bool(COMMENTS.search(hit)), "article" in inside, "main" in inside))
+                elif name not in ("body", "html") and tag_at not in spared and (hit := boilerplate(name, attributes, inside)):
+                    marked.append(Mark(tag_at, dropped, name in CONTAINERS or name == "table", bool(COMMENTS.search(hit)), in_article, in_main))
                     dropped = len(marked) - 1
-            container = stack[-1][1]
             if name in CONTAINERS and not dropped:
-                classes = sorted({re.sub(r"\d+", "N", c.lower()) for c in attributes.get("class", "").split()})
-                self.paths.append(f"{self.paths[container]}>{'.'.join([name, *classes])}")
-                self.parents.append(container)
-                self.children.setdefault(container, []).append(len(self.paths) - 1)
-                container = len(self.paths) - 1
+                container = self.container(name, attributes.get("class", ""), container)
             if name in ("h1", "h2", "h3") and not dropped:
                 self.headed.append(container)
             if name == "a":
                 links += 1
-            if found[3].rstrip().endswith("/") and name not in BLOCKS:
+            if alone and name not in BLOCKS:
                 continue
-            stack.append((name, container, dropped))
+            depths.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((name, container, dropped, in_article or name == "article", in_main or name == "main"))
         flush(stack[-1][1])
         for mark in marked[:0:-1]:
             for field in ("size", "articles", "mains"):
@@ -198,7 +258,7 @@ class Page:
     def targets(self) -> list[int]:
         """The container that each container's text counts for: the outermost article around it; without one the outermost
         main; else the common container of most text outside both, where that is around it; else itself."""
-        out, kinds = list(range(len(self.paths))), [p.rpartition(">")[2].partition(".")[0] for p in self.paths]
+        out, kinds = list(range(len(self.parts))), [p.partition(".")[0] for p in self.parts]
         loose = [True] * len(out)
         for i, parent in enumerate(self.parents):
             above = out[parent] if parent >= 0 else i
@@ -238,20 +298,25 @@ class Page:
             level = best
 
     def scores(self) -> dict[str, float]:
-        """Text outside links that counts for the containers of each path; an article or main element counts half more."""
+        """Text outside links that counts for the containers of each path; an article or main element counts half more. Where
+        all text stands in links, that of article and main elements counts. Paths are in the order of the page."""
         out: dict[str, float] = {}
+        linked_out: dict[str, float] = {}
         targets = self.targets()
         for text, container, linked in self.blocks:
-            path = self.paths[targets[container]]
-            weight = 1.5 if path.rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0
-            out[path] = out.get(path, 0.0) + weight * max(0, len(text) - 3 * linked)
-        return {p: s for p, s in out.items() if s > 0}
+            target = targets[container]
+            path, article = self.paths[target], self.parts[target].partition(".")[0] in ("article", "main")
+            out[path] = out.get(path, 0.0) + (1.5 if article else 1.0) * max(0, len(text) - 3 * linked)
+            if article:
+                linked_out[path] = linked_out.get(path, 0.0) + len(text)
+        return {p: s for p, s in out.items() if s > 0} or linked_out
 
     def text(self, path: str | None) -> str:
-        """Blocks under the containers of a path; of the page's own best path when it has none of that path."""
+        """Blocks under the containers of a path; of the page's own best path, the first of equals, when it has none of that
+        path."""
         if path is None or path not in self.paths:
             scores = self.scores()
-            path = min(scores, key=lambda p: (-scores[p], p)) if scores else None
+            path = max(scores, key=scores.__getitem__) if scores else None
         if path is None:
             return ""
         chosen = [False] * len(self.paths)
