@@ -12,6 +12,7 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,59 +30,81 @@ from .common import cut, map_rows, texts_of
 #: Pieces packed together: bounds a task's memory, and is large enough that a group's open bins cost little.
 GROUP_PIECES = 20_000
 #: Bytes of cached units per worker before the older half goes; what a unit's place takes beside its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 200_000_000, 200
+CACHE_BYTES, ENTRY_BYTES = 400_000_000, 200
 #: A single space between two other characters: no token of a byte-level BPE reaches over it from the left.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
-#: A unit with no white space but the single space it begins with, and units that are encoded as one text.
-PLAIN = re.compile(r" \S+")
+#: Signs on whose classes all engines agree, and the parts into which a byte-level BPE cuts a text of such signs.
+COMMON = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]*")
+PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Units without white space but the single space they may begin with, and units that are encoded as one text.
+SPACED, BARE = re.compile(r" \S+"), re.compile(r"\S+")
 JOINED = 4096
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE by its library, cached by the unit between single spaces. Bytes of an answer:
-    little-endian uint32 ids. Units not seen before are encoded as one text where only a unit's first token begins with
-    a space, and each by itself elsewhere."""
+    """Ids of a byte-level BPE by its library, cached by the unit. Bytes of an answer: little-endian uint32 ids. Units not
+    seen before are encoded as one text where the ids show where each begins (by the space that is part of its first
+    token, or by the new lines between units), and each by itself elsewhere."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
-        # A byte-level vocabulary writes the space as this letter.
+        # A byte-level vocabulary writes the space as this letter, and the new line as the other.
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.line = self.library.token_to_id("\u010a")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        cuts = settings.get("pre_tokenizer") or {}
+        self.standard = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space") and not settings.get("normalizer")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def keep(self, unit: str, ids: bytes) -> None:
-        self.known[unit] = ids
-        self.held += 2 * len(unit) + len(ids) + ENTRY_BYTES
+    def keep(self, units: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(units, ids, strict=True))
+        self.held += 2 * sum(map(len, units)) + sum(map(len, ids)) + ENTRY_BYTES * len(units)
 
-    def learn(self, units: list[str]) -> None:
-        plain: list[str] = []
+    def units(self, text: str) -> list[str]:
+        """The text in parts that are encoded each by itself: those that the tokenizer makes of common signs, or else what
+        stands between single spaces."""
+        if self.standard and COMMON.fullmatch(text) and not any(t in text for t in self.added):
+            return PRETOKEN.findall(text)
+        return units_of(text)
+
+    def joined(self, units: list[str], between: str) -> list[str]:
+        """Encode units as one text; gives back those that have to be encoded by themselves."""
         alone: list[str] = []
-        for unit in units:
-            (plain if PLAIN.fullmatch(unit) else alone).append(unit)
-        for i in range(0, len(plain), JOINED):
-            part = plain[i : i + JOINED]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.begins[ids]) * 4
-            if len(starts) != len(part):
+        for i in range(0, len(units), JOINED):
+            part = units[i : i + JOINED]
+            ids = np.array(self.library.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            # Places of the first ids of units, and of what follows the last of each.
+            cuts = np.flatnonzero(ids == self.line if between else self.begins[ids])
+            starts = np.r_[0, cuts + 1] if between else cuts
+            ends = np.r_[cuts, len(ids)] if between else np.r_[cuts[1:], len(ids)]
+            if len(starts) != len(part) or starts[0] or (ends <= starts).any():
                 alone += part
                 continue
             raw = ids.tobytes()
-            for unit, start, end in zip(part, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True):
-                self.keep(unit, raw[start:end])
-        for unit, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.keep(unit, np.array(found.ids, "<u4").tobytes())
+            self.keep(part, [raw[s:e] for s, e in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)])
+        return alone
+
+    def learn(self, units: list[str]) -> None:
+        plain = [u for u in units if not any(t in u for t in self.added)]
+        spaced = [u for u in plain if SPACED.fullmatch(u)]
+        bare = [u for u in plain if BARE.fullmatch(u)] if self.standard and self.line is not None else []
+        alone = list(set(units).difference(spaced, bare)) + self.joined(spaced, "") + self.joined(bare, "\n")
+        self.keep(alone, [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch_fast(alone, add_special_tokens=False)])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
-            split = [units_of(t) for t in texts[i : i + 64]]
+            split = [self.units(t) for t in texts[i : i + 64]]
             if self.held > CACHE_BYTES // 2:
                 self.known, self.older, self.held = {}, self.known, 0
             new = set().union(*split).difference(self.known)
-            for unit in new.intersection(self.older):
-                self.keep(unit, self.older[unit])
+            if again := list(new.intersection(self.older)):
+                self.keep(again, [self.older[u] for u in again])
             if new := list(new.difference(self.known)):
                 self.learn(new)
             for units in split:

@@ -8,10 +8,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from prismspark.llm import fill_in_middle, importance, language_id, registry
+from prismspark.llm import fill_in_middle, importance, language_id, packing, registry
 from prismspark.llm.common import cut, prepare
 
 SF = "/root/testdata/sf0.01"
@@ -161,3 +162,13 @@ def test_runs_of_a_stream():
     stream = np.array([5, 3, 5, 9999, 0, 3, 5], "<u2").tobytes()
     buckets, n = importance.runs(stream)
     assert dict(zip(buckets.tolist(), n.tolist())) == {0: 1, 3: 2, 5: 3, 9999: 1} and len(importance.runs(b"")[0]) == 0
+
+
+@pytest.mark.parametrize("cache_bytes", [400_000_000, 3000])
+def test_ids_of_packing_are_the_library_s(monkeypatch, cache_bytes):
+    monkeypatch.setattr(packing, "CACHE_BYTES", cache_bytes)
+    bpe, rng = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(8)
+    parts = ["'s", "'ll", "'S", "'", "it", "\n", "\n\n", " ", "  ", "\t", "word", "Été", "ß", "12", "½", "²", "_", "__", "a_b", "...", "!?", "<|endoftext|>", "日本", "\x1c", "\x85", "\xa0", "é\u0301", "Σ", "’", "€", "\r\n", "x", "\x00", "ª", "\u200b"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)] + ["word " * 3000, ""]
+    for t, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(t, add_special_tokens=False).ids, t
