@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.operators import images, matching, provenance, training
+from prismspark.operators import images, matching, provenance, regions, training
 from prismspark.session import read_table, work_folder
 from prismspark.streaming import temporal
 
@@ -38,6 +38,60 @@ def ghost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.ghosts(vector_images(spark, sf_dir), "vec_id")
 
 
+def tiled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 32 x 32 from 16 vectors each, and a reference that is brighter by 0 to 2 levels, by 90 where the label is 3
+    or 4 and by 100 at one pixel of every fifth vector; every 17th reference is lower. Absent or short vectors are black."""
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.5) * 255).cast("int")))
+    grey = F.when(F.size("embedding") == 64, F.transform("embedding", lambda v: F.coalesce(level(v), F.lit(0))))
+    moved = F.when(F.col("label").isin(3, 4), 90).otherwise(0)
+    turned = F.transform("grey", lambda v, i: (v + i % 3 + moved + F.when((F.col("vec_id") % 5 == 0) & (i == 27), 100).otherwise(0)) % 256)
+    tiles = read_table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").withColumn("grey", grey).select(F.floor(F.col("vec_id") / 16).alias("img"), F.struct((F.col("vec_id") % 16).cast("int").alias("tile"), "grey", turned.alias("turned")).alias("tile"))
+    images = tiles.groupBy("img").agg(F.array_sort(F.collect_list("tile")).alias("tiles"))
+
+    def laid(side: str) -> F.Column:
+        grid = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.get(F.filter("tiles", lambda s: s["tile"] == t), F.lit(0))[side])
+        return grid
+
+    images = images.select("img", laid("grey").alias("grey"), laid("turned").alias("turned"))
+    place = lambda p: (F.floor(p / 256) * 4 + F.floor(p % 32 / 8)).cast("int")
+    inside = lambda p: (F.floor(p / 32) % 8 * 8 + p % 8).cast("int")
+    pixels = lambda grid: F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda p: F.coalesce(F.get(F.get(F.col(grid), place(p)), inside(p)), F.lit(0)).cast("double"))
+    lower = F.col("img") % 17 == 3
+    rows = images.select("img", pixels("grey").alias("pixels"), pixels("turned").alias("other"))
+    sides = [F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("channels"), F.when(lower, 24).otherwise(32).alias("reference_height"), F.lit(32).alias("reference_width"), F.lit(1).alias("reference_channels")]
+    return rows.select("img", "pixels", *sides, F.when(lower, F.slice("other", 1, 24 * 32)).otherwise(F.col("other")).alias("reference_pixels"))
+
+
+def reference_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every region of difference, one with nulls for images without any."""
+    found = regions.differences(tiled_pairs(spark, sf_dir), "img").select("img", "status", "threshold", "changed_fraction", "component_count", F.explode_outer("components").alias("c"))
+    return found.select("img", "status", F.round("threshold", 6).alias("threshold"), F.round("changed_fraction", 6).alias("changed_fraction"), *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("component_count", "c.place", "c.x", "c.y", "c.w", "c.h", "c.area")), F.round("c.mean_abs_difference", 6).alias("mean_abs_difference"))
+
+
+#: The same with masks as relations and regions by recursion.
+REFERENCE_REGIONS = """WITH RECURSIVE v AS (SELECT vec_id // 16 AS img, vec_id % 16 AS tile, vec_id, label, unnest(range(64)) AS pos, unnest(embedding) AS raw FROM embeddings WHERE len(embedding) = 64),
+q AS (SELECT *, coalesce(least(255, greatest(0, floor((raw::DOUBLE + 0.5::DOUBLE) * 255)::INT)), 0) AS q FROM v),
+given AS (SELECT img, (tile // 4) * 8 + pos // 8 AS y, (tile % 4) * 8 + pos % 8 AS x, abs(q - (q + pos % 3 + CASE WHEN label IN (3, 4) THEN 90 ELSE 0 END + CASE WHEN vec_id % 5 = 0 AND pos = 27 THEN 100 ELSE 0 END) % 256) AS d FROM q),
+imgs AS (SELECT DISTINCT vec_id // 16 AS img FROM embeddings),
+px AS (SELECT g.img, g.y, g.x, coalesce(d, 0) AS d FROM (SELECT img, y, x FROM imgs, range(32) a(y), range(32) b(x) WHERE img % 17 <> 3) g LEFT JOIN given USING (img, y, x)),
+m AS (SELECT img, median(d)::DOUBLE AS med FROM px GROUP BY img),
+t AS (SELECT px.img, greatest(12.0::DOUBLE, any_value(med) + 8.0::DOUBLE * 1.4826::DOUBLE * median(abs(d - med))) AS threshold FROM px JOIN m USING (img) GROUP BY px.img),
+m0 AS (SELECT img, y, x, d >= threshold AS s FROM px JOIN t USING (img)),
+e1 AS (SELECT a.img, a.y, a.x, bool_and(b.s) AS s FROM m0 a JOIN m0 b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+o1 AS (SELECT a.img, a.y, a.x, bool_or(b.s) AS s FROM e1 a JOIN e1 b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+d2 AS (SELECT a.img, a.y, a.x, bool_or(b.s) AS s FROM o1 a JOIN o1 b ON a.img = b.img AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY ALL),
+c2 AS (SELECT a.img, a.y, a.x, bool_and(b.s) AS s FROM d2 a JOIN d2 b ON a.img = b.img AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY ALL),
+on_ AS (SELECT img, y, x, y * 32 + x AS p FROM c2 WHERE s),
+seeds AS (SELECT a.img, a.y, a.x, a.p AS root FROM on_ a WHERE NOT EXISTS (SELECT 1 FROM on_ b WHERE b.img = a.img AND ((b.y = a.y - 1 AND abs(b.x - a.x) <= 1) OR (b.y = a.y AND b.x = a.x - 1)))),
+reach AS (SELECT * FROM seeds UNION SELECT n.img, n.y, n.x, r.root FROM reach r JOIN on_ n ON n.img = r.img AND abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1),
+labels AS (SELECT img, y, x, min(root) AS label FROM reach GROUP BY img, y, x),
+parts AS (SELECT l.img, label, count(*) AS area, min(l.x) AS x, min(l.y) AS y, max(l.x) - min(l.x) + 1 AS w, max(l.y) - min(l.y) + 1 AS h, avg(d) AS mean_ FROM labels l JOIN px USING (img, y, x) GROUP BY l.img, label HAVING count(*) >= 50),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY area DESC, label) AS place, count(*) OVER (PARTITION BY img) AS n FROM parts),
+changed AS (SELECT img, avg(s::INT) AS changed_fraction FROM c2 GROUP BY img)
+SELECT imgs.img, CASE WHEN threshold IS NULL THEN 'not_comparable' ELSE 'success' END AS status, round(threshold, 6) AS threshold, round(changed_fraction, 6) AS changed_fraction, CASE WHEN threshold IS NOT NULL THEN coalesce(n, 0) END::BIGINT AS component_count, place::BIGINT AS place, x::BIGINT AS x, y::BIGINT AS y, w::BIGINT AS w, h::BIGINT AS h, area::BIGINT AS area, round(mean_, 6) AS mean_abs_difference
+FROM imgs LEFT JOIN t USING (img) LEFT JOIN changed USING (img) LEFT JOIN ranked ON ranked.img = imgs.img AND place <= 20"""
+
+
 def sequence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events without clicks against all of theirs."""
     events = read_table(spark, sf_dir, "events")
@@ -121,6 +175,7 @@ APPLIED = {
     "image_measures": ("C1 C2 C3 C4 C5 C8 G1 G2 G3 G5", image_measures),
     "image_hashes": ("C9", image_hashes),
     "ghost_sweep": ("C6", ghost_sweep),
+    "reference_regions": ("H2 I3 E4", reference_regions),
     "sequence_alignment": ("H3 H4", sequence_alignment),
     "copy_move": ("H5 H6 I1 I2", copy_move),
     "validation_flatten": ("B5", validation_flatten),
@@ -130,3 +185,6 @@ APPLIED = {
     "streaming_windows": ("F1", streaming_windows),
     "streaming_screen": ("F1 F2 F3", streaming_screen),
 }
+
+#: The checking engine's SQL of queries whose own form is no SQL text.
+ORACLES = {"reference_regions": REFERENCE_REGIONS}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from prismspark.functions.dialect import render
 from prismspark.session import read_table
 
-from .applied import APPLIED
+from .applied import APPLIED, ORACLES
 from .catalog import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: render(sql, "duckdb") for name, (_, sql) in QUERIES.items()}
+    return {name: render(sql, "duckdb") for name, (_, sql) in QUERIES.items()} | ORACLES

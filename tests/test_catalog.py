@@ -23,7 +23,7 @@ def plain(v):
     return (round(v, 6) + 0.0 if math.isfinite(v) else str(v)) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows(spark, other, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -36,4 +36,4 @@ def test_same_rows(spark, other, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(registry.oracle_sql()) <= set(registry.queries())
+    assert set(QUERIES) <= set(registry.oracle_sql()) <= set(registry.queries())
