@@ -30,7 +30,7 @@ from .common import cut, map_rows, texts_of
 #: Pieces packed together: bounds a task's memory, and is large enough that a group's open bins cost little.
 GROUP_PIECES = 20_000
 #: Bytes of cached units per worker before the older half goes; what a unit's place takes beside its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 400_000_000, 200
+CACHE_BYTES, ENTRY_BYTES = 600_000_000, 200
 #: A single space between two other characters: no token of a byte-level BPE reaches over it from the left.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
