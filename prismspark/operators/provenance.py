@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismspark.session import ship
+from prismspark.session import work_folder
 
 # Keys that give the statuses below them a kind.
 KINDS = {
@@ -19,41 +15,70 @@ KINDS = {
 }
 
 
-def statuses(tree) -> list[dict]:
-    """Rows scope, kind, code, explanation, url, success of a tree: every object with a code is one, in document order."""
-    rows, waiting = [], [(tree, (), None)]
-    while waiting:
-        node, path, kind = waiting.pop()
-        if isinstance(node, list):
-            waiting.extend((item, path, kind) for item in reversed(node))
-        elif isinstance(node, dict) and "code" in node:
-            flag = node.get("success") if isinstance(node.get("success"), bool) else None
-            by_flag = None if flag is None else ("success" if flag else "failure")
-            texts = {name: None if node.get(name) is None else str(node[name]) for name in ("explanation", "url")}
-            rows.append({"scope": ".".join(path) or "root", "kind": kind or by_flag or "status", "code": str(node["code"]), "success": flag} | texts)
-        elif isinstance(node, dict):
-            waiting.extend((value, (*path, str(name)), KINDS.get(str(name).lower(), kind)) for name, value in reversed(node.items()))
-    return rows
+#: Steps into a tree that one plan takes; deeper trees take the plan again.
+STEPS = 6
+#: A part of a tree: its JSON text where it is still to be walked, else the status that it is.
+PART = "struct<node:string,scope:string,kind:string,code:string,success:boolean,explanation:string,url:string>"
+
+
+def kind_of(name: Column, inherited: Column) -> Column:
+    found = inherited
+    for kind in sorted(set(KINDS.values())):
+        found = F.when(F.lower(name).isin(*(k for k, v in KINDS.items() if v == kind)), kind).otherwise(found)
+    return found
+
+
+def python_text(text: Column, type_: Column) -> Column:
+    """A value as text: strings as they are, true, false and null as words with a capital, all else in JSON."""
+    return F.when(type_ == "VOID", "None").when(type_ == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def parts_of(part: Column) -> Column:
+    """A part as the array of parts that takes its place: itself if it is a status; the one status that an object with a code
+    is; else what the values of an object or the items of a list become, those that are no objects or lists left out."""
+    node, scope, kind = part["node"], part["scope"], part["kind"]
+    texts = F.map_entries(F.from_json(node, "map<string,string>"))
+    types = F.transform(F.map_values(F.from_json(node, "map<string,variant>")), F.schema_of_variant)
+    members = F.transform(texts, lambda e, i: F.struct(e["key"].alias("name"), e["value"].alias("text"), F.get(types, i).alias("type")))
+    # Of a name that repeats the last value counts.
+    last = lambda name: F.try_element_at(F.filter(members, lambda m: m["name"] == name), F.lit(-1))
+    text_of = lambda name: python_text(last(name)["text"], last(name)["type"])
+    flag = F.when(last("success")["type"] == "BOOLEAN", last("success")["text"] == "true")
+    leaf = F.struct(
+        F.lit(None).cast("string").alias("node"), scope.alias("scope"), F.coalesce(kind, F.when(flag, "success").when(~flag, "failure"), F.lit("status")).alias("kind"), text_of("code").alias("code"), flag.alias("success"),
+        *(F.when(last(name)["type"] != "VOID", text_of(name)).alias(name) for name in ("explanation", "url")),
+    )
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "string"), ("success", "boolean"), ("explanation", "string"), ("url", "string"))]
+    is_tree = lambda t: t.startswith("OBJECT") | t.startswith("ARRAY")
+    below = lambda name: F.when(scope == "root", name).otherwise(F.concat(scope, F.lit("."), name))
+    members_below = F.transform(F.filter(members, lambda m: is_tree(m["type"])), lambda m: F.struct(m["text"].alias("node"), below(m["name"]).alias("scope"), kind_of(m["name"], kind).alias("kind"), *none))
+    item_types = F.transform(F.from_json(node, "array<variant>"), F.schema_of_variant)
+    items = F.filter(F.from_json(node, "array<string>"), lambda t, i: is_tree(F.get(item_types, i)))
+    items_below = F.transform(items, lambda t: F.struct(t.alias("node"), scope.alias("scope"), kind.alias("kind"), *none))
+    nothing = F.array().cast(f"array<{PART}>")
+    walked = F.when(F.substring(node, 1, 1) == "[", F.coalesce(items_below, nothing)).when(F.exists(members, lambda m: m["name"] == "code"), F.array(leaf)).otherwise(F.coalesce(members_below, nothing))
+    return F.when(node.isNull(), F.array(part)).otherwise(walked)
 
 
 def validation_rows(documents: DataFrame, column: str, key: str) -> DataFrame:
-    """Flattened validation results of JSON texts. Null and unreadable texts give no row."""
-    ship(documents.sparkSession)
-    kind = documents.select(key).schema[key].simpleString().replace(":", " ", 1)
-    columns = [key, "place", "scope", "kind", "code", "success", "explanation", "url"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, text in batch.itertuples(index=False):
-                try:
-                    tree = json.loads(text)
-                except (TypeError, ValueError):
-                    continue
-                rows += [{key: k, "place": i} | row for i, row in enumerate(statuses(tree))]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return documents.select(key, column).mapInPandas(run, f"{kind}, place INT, scope STRING, kind STRING, code STRING, success BOOLEAN, explanation STRING, url STRING")
+    """key, place, scope, kind, code, success, explanation, url: the flattened validation results of JSON texts.
+
+    Every object with a code is a status; its scope is the names above it, its kind that of the nearest name above that has
+    one, or else told by its own success flag. A document's tree is walked inside its row, level by level, each part being
+    replaced by its own parts, so that document order stays; rows with deeper trees than one plan walks are written and
+    walked on. Null and unreadable texts, and those nested over 1,000 deep, give no row.
+    """
+    text = F.trim(F.regexp_replace(F.col(column), r"^\s+", ""))
+    root = F.struct(text.alias("node"), F.lit("root").alias("scope"), *(F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("code", "string"), ("success", "boolean"), ("explanation", "string"), ("url", "string"))))
+    found = documents.select(key, F.when(F.substring(text, 1, 1).isin("{", "["), F.array(root)).alias("parts")).filter("parts IS NOT NULL")
+    while True:
+        for _ in range(STEPS):
+            found = found.withColumn("parts", F.when(F.exists("parts", lambda p: p["node"].isNotNull()), F.flatten(F.transform("parts", parts_of))).otherwise(F.col("parts")))
+        folder = work_folder(documents.sparkSession, "statuses")
+        found.write.parquet(folder)
+        found = documents.sparkSession.read.schema(found.schema).parquet(folder)
+        if found.filter(F.exists("parts", lambda p: p["node"].isNotNull())).isEmpty():
+            return found.select(key, F.posexplode("parts").alias("place", "part")).select(key, "place", *(f"part.{c}" for c in ("scope", "kind", "code", "success", "explanation", "url")))
 
 
 #: Entries that a summary lists at most: successes and failures, and all statuses. Counts are of all.

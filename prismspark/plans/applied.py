@@ -113,6 +113,27 @@ def validation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.validation_rows(read_table(spark, sf_dir, "events").select("event_id", tree.alias("tree")), "tree", "event_id")
 
 
+#: A tree per event in text that both engines put together: nested lists, inherited kinds, a status inside a status, text that
+#: looks like one, nulls, a key named root; every seventh is cut off.
+TREE = """concat('{"activeManifest":{"failures":[{"code":"f.', event_type, '","success":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"url":"u', CAST(event_id AS {text}), '"},{"no":1}],"info":{"deep":[[{"code":', CAST(event_id AS {text}), '}],"text",null,{"Warnings":{"code":null,"success":false}}]}},"a":{"code":"', event_type, '","explanation":"by ', CAST(user_id AS {text}), '","success":true,"inner":{"code":1}},"text":"{\\"code\\":1}","other":[{"code":"o","success":', CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '"no"' END, '}],"root":{"x":{"code":true}}', CASE WHEN event_id % 7 = 0 THEN '' ELSE '}' END)"""
+
+
+def validation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of every event's tree, in document order."""
+    trees = read_table(spark, sf_dir, "events").select("event_id", F.expr(TREE.replace("{text}", "STRING").replace("\\", "\\\\")).alias("tree"))
+    return provenance.validation_rows(trees, "tree", "event_id").withColumn("place", F.col("place").cast("long"))
+
+
+VALIDATION_TREE = f"""WITH RECURSIVE trees AS (SELECT event_id, {TREE.replace("{text}", "VARCHAR")} AS t FROM events),
+walk AS (SELECT event_id, t::JSON AS node, 'root' AS scope, NULL::VARCHAR AS kind, []::BIGINT[] AS place FROM trees WHERE json_valid(t)
+  UNION ALL SELECT w.event_id, e.value, CASE WHEN json_type(w.node) = 'ARRAY' THEN w.scope WHEN w.scope = 'root' THEN e.key ELSE w.scope || '.' || e.key END,
+    CASE WHEN json_type(w.node) = 'ARRAY' THEN w.kind WHEN lower(e.key) IN ('success', 'successes') THEN 'success' WHEN lower(e.key) IN ('failure', 'failures', 'error', 'errors') THEN 'failure' WHEN lower(e.key) IN ('informational', 'info', 'warning', 'warnings') THEN 'informational' ELSE w.kind END, w.place || [e.id::BIGINT]
+  FROM walk w, json_each(w.node) e WHERE json_type(w.node) IN ('OBJECT', 'ARRAY') AND NOT (json_type(w.node) = 'OBJECT' AND list_contains(json_keys(w.node), 'code'))),
+leaves AS (SELECT *, CASE json_type(node, '$.success') WHEN 'BOOLEAN' THEN (node->>'$.success')::BOOLEAN END AS flag FROM walk WHERE json_type(node) = 'OBJECT' AND list_contains(json_keys(node), 'code'))
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY place) - 1 AS place, scope, coalesce(kind, CASE WHEN flag THEN 'success' WHEN NOT flag THEN 'failure' ELSE 'status' END) AS kind,
+  CASE json_type(node, '$.code') WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(left(node->>'$.code', 1)) || substr(node->>'$.code', 2) ELSE node->>'$.code' END AS code, flag AS success, node->>'$.explanation' AS explanation, node->>'$.url' AS url FROM leaves"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
     written once, so that fits and scores do not read the texts again."""
@@ -179,6 +200,7 @@ APPLIED = {
     "sequence_alignment": ("H3 H4", sequence_alignment),
     "copy_move": ("H5 H6 I1 I2", copy_move),
     "validation_flatten": ("B5", validation_flatten),
+    "validation_tree": ("B5", validation_tree),
     "candidate_benchmark": ("K4 K5 K7 K12", candidate_benchmark),
     "held_out_generators": ("I7 K12", held_out_generators),
     "calibrated_scores": ("K1 K6", calibrated_scores),
@@ -187,4 +209,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE}
