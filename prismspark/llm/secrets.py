@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import cut, map_rows, small_or_not, texts_of
 
 RUN = re.compile(r"[A-Za-z0-9_+/=~.:\-]{8,}")
 #: The first line of a private key, what parts its lines (also when escaped or quoted), a line of it, and its last line. A
@@ -50,8 +50,10 @@ URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s/:@\"'<>]{0,200}:([^\s/\"
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+|glpat-[\w-]{20}")
 GOOD_WORDS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential credentials private access login".split())
 BAD_WORDS = frozenset("example sample dummy placeholder changeme your test commit sha sha1 sha256 md5 hash checksum digest uuid guid id version isbn phone tel order invoice card serial".split())
-#: Words of the dictionary, the most frequent ones of the documents; what stands for them where there are no documents.
-DICTIONARY_WORDS = 2000
+#: The dictionary: words that one document in 500 holds, 2,000 at most; what stands for them where there are no documents.
+DICTIONARY_SHARE, DICTIONARY_WORDS = 1 / 500, 2000
+#: Words up to which those to be counted are broadcast (some 20 bytes each).
+BROADCAST_WORDS = 200_000
 NO_DOCUMENTS = GOOD_WORDS | BAD_WORDS
 WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,20}(?![^\W\d_])")
 THRESHOLD = 0.5
@@ -59,9 +61,13 @@ THRESHOLD = 0.5
 SAMPLE_ROWS = 6000
 
 
-def common_words(df: DataFrame, *, text: str = "text", most: int = DICTIONARY_WORDS) -> frozenset[str]:
-    """The words of 3 to 20 letters that most documents hold, counted over all whole texts; ties go to the smaller word. At
-    most `most` words come to the driver."""
+def common_words(df: DataFrame, *, text: str = "text", share: float = DICTIONARY_SHARE, most: int = DICTIONARY_WORDS) -> frozenset[str]:
+    """The words of 3 to 20 letters that at least `share` of all documents hold, counted over all whole texts; of more than
+    `most` the most frequent, ties going to the smaller word.
+
+    A word of that share has it in one batch of documents at least: only words that have are counted over all, so that the
+    many rare words are neither shuffled nor kept. The texts are read twice.
+    """
 
     def make():
         def each(batch: pa.RecordBatch):
@@ -69,12 +75,15 @@ def common_words(df: DataFrame, *, text: str = "text", most: int = DICTIONARY_WO
             for t in texts_of(batch.column(0)):
                 n.update(set(WORD.findall(t.lower())))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([batch.num_rows] * len(n), pa.int64())], ["word", "n", "docs"])
 
         return each
 
-    counted = map_rows(df.select(text), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+    words = map_rows(df.select(text), make, "word string, n long, docs long")
+    frequent = cut(words.filter(F.col("n") >= share * F.col("docs")).select("word").distinct(), "frequent")
+    counted = words.join(small_or_not(frequent, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = counted.filter(F.col("n") >= share * df.count())
+    return frozenset(r[0] for r in whole.orderBy(F.desc("n"), "word").limit(most).collect())
 
 
 def key_blocks(text: str) -> list[tuple[int, int]]:

@@ -160,6 +160,9 @@ def test_dictionary_is_counted_from_documents(spark):
     d = docs(spark, [None, "", "Alpha alpha BETA ab", "alpha gamma x1y2z3", "beta beta alpha " * 50, "a" * 30])
     assert secrets.common_words(d, most=2) == {"alpha", "beta"} and secrets.common_words(d) == {"alpha", "beta", "gamma"}
     assert secrets.common_words(d.limit(0)) == frozenset()
+    assert secrets.common_words(d, share=0.5) == {"alpha"} and secrets.common_words(d, share=2 / 6) == {"alpha", "beta"}
+    many = docs(spark, [f"word{chr(97 + i % 26)} {'rare' if i == 7 else 'often'} often" for i in range(3000)])
+    assert secrets.common_words(many) == {"often", *(f"word{chr(97 + i)}" for i in range(26))}
     assert secrets.default_forest(d).dictionary == {"alpha", "beta", "gamma"}
 
 
