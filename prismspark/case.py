@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismspark.operators import images, protocol
-from prismspark.sources import media
+from prismspark.sources import incremental, media
 
 
 def one_scheme(column: str):
@@ -14,19 +14,33 @@ def one_scheme(column: str):
     return F.regexp_replace(column, "^file:/+", "file:/")
 
 
-def analyze_case(spark: SparkSession, folder: str, scores: DataFrame | None = None) -> DataFrame:
+def incremental_measures(spark: SparkSession, folder: str, store: str) -> DataFrame:
+    """Measures of a folder's images, read from a store for files that have not changed and measured for the others."""
+    def analyse(files: DataFrame) -> DataFrame:
+        listed = [incremental.escaped(r[0]) for r in files.select("path").collect()]
+        scanned = spark.read.format("image").option("dropInvalid", True).load(listed).select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+        found = images.measure(scanned.withColumn("path", one_scheme("path")), protocol.GROUPS)
+        return files.select("path", one_scheme("path").alias("bare")).join(found.withColumnRenamed("path", "bare"), "bare", "left").drop("bare").withColumn("status", F.coalesce("status", F.lit("unavailable")))
+
+    return incremental.refresh_files(spark, folder, store, analyse).drop("run")
+
+
+def analyze_case(spark: SparkSession, folder: str, scores: DataFrame | None = None, store: str | None = None) -> DataFrame:
     """One row per file of a folder: name, digest, marker, measures, flags, triage. Files that no decoder reads keep null measures.
 
     scores: rows file, model, score, label, validated of other models, by file name. Contents stay with the scans; only
-    digests and measures are joined.
+    digests and measures are joined. store: a folder in which measures are kept, so that a later run decodes new files only.
     """
     files = media.case_files(spark, folder)
     text = F.lower(F.decode("content", "iso-8859-1"))
     marker = F.contains(text, F.lit("c2pa")) & (F.contains(text, F.lit("jumb")) | F.contains(text, F.lit("jumd")))
     producer = F.when(F.contains(text, F.lit("openai media service")), "openai media service").when(F.contains(text, F.lit("openai")), "openai")
     known = files.select(one_scheme("path").alias("path"), "name", "medium", "length", "digest", marker.alias("marker_only"), F.when(marker, producer).alias("producer_hint"))
-    scanned = media.image_pixels(spark, folder).withColumn("path", one_scheme("path"))
-    rows = known.join(images.measure(scanned, protocol.GROUPS), "path", "left").withColumn("status", F.coalesce("status", F.lit("unavailable")))
+    if store is None:
+        measured = images.measure(media.image_pixels(spark, folder).withColumn("path", one_scheme("path")), protocol.GROUPS)
+    else:
+        measured = incremental_measures(spark, folder, store).drop("modified", "length").withColumn("path", one_scheme("path"))
+    rows = known.join(measured, "path", "left").withColumn("status", F.coalesce("status", F.lit("unavailable")))
     if scores is not None:
         listed = scores.groupBy(F.col("file").alias("name")).agg(F.collect_list(F.struct(F.col("model").alias("name"), "score", "label", "validated")).alias("models"))
         rows = rows.join(listed, "name", "left")

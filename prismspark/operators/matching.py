@@ -1,6 +1,6 @@
 """Joins that depend on order: greedy alignment of frame sequences and pairs of like keypoints inside an image.
 
-Both keep one sequence or one image in a task: a video's thumbnails and an image's keypoints are bounded by their
+Both keep one sequence in a row or one image in a task: a video's thumbnails and an image's keypoints are bounded by their
 makers (frames sampled per video, keypoints per image), not by the size of the collection.
 """
 
@@ -19,40 +19,44 @@ from prismspark.session import ship
 STEP = 512
 
 
-def align_frames(questioned: np.ndarray, reference: np.ndarray) -> list[tuple[int, int, float]]:
-    """For each questioned frame in order the nearest later reference frame (first of equals), until none is left."""
-    found, last = [], -1
-    for i, frame in enumerate(questioned):
-        if last + 1 >= len(reference):
-            break
-        distance = np.abs(reference[last + 1 :] - frame).mean(axis=1)
-        last += 1 + int(np.argmin(distance))
-        found.append((i, last, float(np.abs(reference[last] - frame).mean())))
-    return found
+MATCH = "struct<idx:bigint,matched:bigint,distance:double,skipped:bigint>"
 
 
 def align(questioned: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Alignment of sequences (key, idx, frame ARRAY<DOUBLE>): key, status, idx, matched, distance, skipped before the match.
+    """Alignment of sequences (key, idx, frame ARRAY<DOUBLE>): key, status, reason, idx, matched, distance, skipped before the
+    match.
 
-    A sequence without partner or longer than its reference gives one row of status not_comparable. Frames that are
-    null are left out; positions count the rest in the order of idx.
+    For each questioned frame in order the nearest later reference frame is taken, the first of equals, until none is left:
+    a fold over the sequence that holds the last matched place. A key without questioned or without reference frames gives
+    one row of status error, one with more questioned than reference frames one of status not_comparable. Frames that are
+    null are left out; positions count the rest in the order of idx, equal ones in that of their levels.
     """
-    ship(questioned.sparkSession)
-    kind = questioned.select(key).schema[key].simpleString().replace(":", " ", 1)
-    columns = [key, "status", "idx", "matched", "distance", "skipped"]
-
-    def run(group: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r) or len(q) > len(r):
-            return pd.DataFrame([[group[0], "not_comparable", None, None, None, None]], columns=columns)
-        sides = [np.stack(side.sort_values("idx")["frame"].to_numpy()) for side in (q, r)]
-        rows, before = [], -1
-        for i, j, d in align_frames(*sides):
-            rows.append([group[0], "success", i, j, d, j - before - 1 if i else 0])
-            before = j
-        return pd.DataFrame(rows, columns=columns)
-
-    sides = [side.filter(F.col("frame").isNotNull()).select(key, "idx", "frame").groupBy(key) for side in (questioned, reference)]
-    return sides[0].cogroup(sides[1]).applyInPandas(run, f"{kind}, status STRING, idx BIGINT, matched BIGINT, distance DOUBLE, skipped BIGINT")
+    def ordered(side: DataFrame, name: str) -> DataFrame:
+        rows = side.filter(F.col("frame").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "frame"))).alias("rows"))
+        return rows.select(key, F.transform("rows", lambda r: r["frame"]).alias(name))
+
+    pairs = ordered(questioned, "q").join(ordered(reference, "r"), key, "full_outer")
+    n_q, n_r = (F.coalesce(F.size(side), F.lit(0)) for side in "qr")
+    n_q, n_r = F.when(F.col("q").isNull(), 0).otherwise(n_q), F.when(F.col("r").isNull(), 0).otherwise(n_r)
+
+    def step(state, frame):
+        last = state["last"]
+        apart = lambda other: F.aggregate(F.zip_with(other, frame, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / F.size(frame)
+        later = F.transform(F.slice(F.col("r"), last + 2, F.size("r")), lambda other, j: F.struct(apart(other).alias("distance"), (last + 1 + j).alias("place")))
+
+        def taken(best):
+            i = F.size(state["found"])
+            match = F.struct(i.cast("bigint").alias("idx"), best["place"].cast("bigint").alias("matched"), best["distance"].alias("distance"), F.when(i == 0, 0).otherwise(best["place"] - last - 1).cast("bigint").alias("skipped"))
+            return F.when(best.isNull(), state).otherwise(F.struct(best["place"].alias("last"), F.concat(state["found"], F.array(match)).alias("found")))
+
+        # A list of one binds the best, so that it is looked for once.
+        return F.get(F.transform(F.array(F.array_min(later)), taken), F.lit(0))
+
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{MATCH}>").alias("found"))
+    status = F.when((n_q == 0) | (n_r == 0), "error").when(n_q > n_r, "not_comparable").otherwise("success")
+    reason = F.when(status == "error", "could_not_decode_video").when(status == "not_comparable", "questioned_longer_than_reference")
+    found = pairs.select(key, status.alias("status"), reason.alias("reason"), F.when(status == "success", F.aggregate("q", start, step, lambda s: s["found"])).alias("found"))
+    return found.select(key, "status", "reason", F.explode_outer("found").alias("m")).select(key, "status", "reason", "m.idx", "m.matched", "m.distance", "m.skipped")
 
 
 def hamming(words: np.ndarray, start: int, stop: int) -> np.ndarray:

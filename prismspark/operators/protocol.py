@@ -10,12 +10,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismspark.functions import thresholds as T
+from prismspark.operators import images
 
 GROUPS = ["histogram", "ela", "noise_map", "sensor", "lsb", "dct", "frequency", "resampling"]
 # Names of the flags.
 SPECTRAL_FLAGS = ("many_spectral_peaks", "unusual_high_low_ratio", "unusual_quadrant_uniformity")
 
 
+def filled(pictures: DataFrame, measured: DataFrame, groups: list[str] | None = None, key: str = "path") -> DataFrame:
+    """Measures of every picture: those of measured, and where a group is missing or all null, what measuring gives. Only
+    pictures that lack something are decoded; measured rows without a picture are left out."""
+    groups = groups or GROUPS
+    columns = {g: [f"{g}_{n}" for n in images.fields(g)] for g in groups}
+    given = measured.withColumns({c: F.lit(None).cast("double") for own in columns.values() for c in own if c not in measured.columns})
+    for name in ("status", "error"):
+        if name not in given.columns:
+            given = given.withColumn(name, F.lit(None).cast("string"))
+    complete = F.lit(True)
+    for own in columns.values():
+        complete = complete & F.coalesce(*own).isNotNull()
+    wanted = pictures.select(key).distinct()
+    have = given.join(wanted, key, "left_semi")
+    fresh = images.measure(pictures.join(have.filter(complete).select(key), key, "left_anti"), groups, key)
+    added = fresh.select(key, *(F.col(c).alias(f"new_{c}") for c in fresh.columns if c != key))
+    rows = have.join(added, key, "full_outer")
+    merged = []
+    for own in columns.values():
+        kept = F.coalesce(*own).isNotNull()
+        merged += [F.when(kept, F.col(c)).otherwise(F.col(f"new_{c}")).alias(c) for c in own]
+    return rows.select(key, F.coalesce("new_status", "status").alias("status"), F.coalesce("new_error", "error").alias("error"), *merged)
+
+
 def flags(measured: DataFrame) -> DataFrame:
     """measured with spectral_flags and observations, arrays of names."""
     ratio, sigma = F.col("frequency_high_low_ratio"), F.col("sensor_global_sigma")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismspark.operators import images, matching, provenance, regions, training
 from prismspark.session import read_table, work_folder
+from prismspark.sources import incremental
 from prismspark.streaming import temporal
 
 CANDIDATE_FEATURES = ["size", "words", "lines", "digits", "symbols", "distinct_words"]
@@ -99,6 +100,16 @@ def sequence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.align(frames.filter("event_type <> 'click'"), frames, "user_id")
 
 
+#: The same by recursion over places.
+SEQUENCE_ALIGNMENT = """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS j FROM events WHERE user_id IS NOT NULL),
+q AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE event_type <> 'click' AND user_id IS NOT NULL),
+sizes AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> 'click') AS n_q FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+walk AS (SELECT user_id, -1::BIGINT AS i, -1::BIGINT AS j, -1::BIGINT AS before FROM sizes WHERE n_q BETWEEN 1 AND n
+  UNION ALL SELECT w.user_id, q.i, (min({'d': abs(r.value - q.value), 'j': r.j})).j, any_value(w.j) FROM walk w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1 JOIN r ON r.user_id = w.user_id AND r.j > w.j GROUP BY w.user_id, q.i)
+SELECT s.user_id, CASE WHEN n_q = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN n_q = 0 THEN 'could_not_decode_video' END AS reason, w.i AS idx, w.j AS matched, abs(q.value - r.value) AS distance, CASE WHEN w.i = 0 THEN 0 ELSE w.j - w.before - 1 END AS skipped
+FROM sizes s LEFT JOIN walk w ON w.user_id = s.user_id AND w.i >= 0 LEFT JOIN q ON q.user_id = w.user_id AND q.i = w.i LEFT JOIN r ON r.user_id = w.user_id AND r.j = w.j"""
+
+
 def copy_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as images, their lines as keypoints with 64-bit descriptors."""
     lines = read_table(spark, sf_dir, "lineitem")
@@ -134,6 +145,28 @@ SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY place) - 1 AS
   CASE json_type(node, '$.code') WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(left(node->>'$.code', 1)) || substr(node->>'$.code', 2) ELSE node->>'$.code' END AS code, flag AS success, node->>'$.explanation' AS explanation, node->>'$.url' AS url FROM leaves"""
 
 
+def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages measured twice, of which every tenth was shorter the first time: rows of the others come from the store."""
+    pages = read_table(spark, sf_dir, "pages").filter("page_id IS NOT NULL").select("page_id", F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+
+    def state(html: F.Column) -> tuple[DataFrame, DataFrame]:
+        rows = pages.withColumn("html", html)
+        return rows, rows.select("path", F.lit("2024-01-01").cast("timestamp").alias("modified"), F.octet_length("html").cast("long").alias("length"))
+
+    def analyse(rows: DataFrame, when: str):
+        return lambda new: rows.join(new.select("path"), "path", "left_semi").select("path", F.sha2("html", 256).alias("digest"), F.regexp_count("html", F.lit("<")).cast("long").alias("tags"), F.lit(when).alias("measured"))
+
+    store = work_folder(spark, "pages-store")
+    for when, html in (("before", F.when(F.col("page_id") % 10 == 0, F.substring("html", 2, 1 << 30)).otherwise(F.col("html"))), ("now", F.col("html"))):
+        rows, listed = state(html)
+        found = incremental.refresh(listed, store, analyse(rows, when))
+    return found.select("path", "length", "digest", "tags", "measured")
+
+
+INCREMENTAL_PAGES = """SELECT 'page/' || page_id AS path, strlen(coalesce(html, ''))::BIGINT AS length, sha256(coalesce(html, '')) AS digest, (length(coalesce(html, '')) - length(replace(coalesce(html, ''), '<', '')))::BIGINT AS tags,
+  CASE WHEN page_id % 10 = 0 AND coalesce(html, '') <> '' THEN 'now' ELSE 'before' END AS measured FROM pages WHERE page_id IS NOT NULL"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
     written once, so that fits and scores do not read the texts again."""
@@ -201,6 +234,7 @@ APPLIED = {
     "copy_move": ("H5 H6 I1 I2", copy_move),
     "validation_flatten": ("B5", validation_flatten),
     "validation_tree": ("B5", validation_tree),
+    "incremental_pages": ("G16", incremental_pages),
     "candidate_benchmark": ("K4 K5 K7 K12", candidate_benchmark),
     "held_out_generators": ("I7 K12", held_out_generators),
     "calibrated_scores": ("K1 K6", calibrated_scores),
@@ -209,4 +243,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT}

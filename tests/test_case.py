@@ -1,5 +1,7 @@
 """A case from files to report, and the frame screens."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -35,6 +37,23 @@ def test_case(spark, tmp_path):
     assert outcome["protocol"].tp == 1 and outcome["protocol"].n == 2 and outcome["protocol"].sensitivity == 1.0
 
 
+def test_case_with_kept_measures(spark, tmp_path):
+    """A second run takes the measures of files that have not changed from the store, whatever is in the files now."""
+    (tmp_path / "case").mkdir()
+    folder, store = planted(tmp_path / "case"), str(tmp_path / "store")
+    plain = {r.name: r for r in case.analyze_case(spark, folder).collect()}
+    kept = {r.name: r for r in case.analyze_case(spark, folder, store=store).collect()}
+    assert {n: r.asDict() for n, r in kept.items()} == {n: r.asDict() for n, r in plain.items()}
+    file = tmp_path / "case" / "noise.png"
+    state = file.stat()
+    file.write_bytes(b"x" * state.st_size)
+    os.utime(file, ns=(state.st_atime_ns, state.st_mtime_ns))
+    again = {r.name: r for r in case.analyze_case(spark, folder, store=store).collect()}
+    assert again["noise.png"].status == "success" and again["noise.png"].spectral_flags == plain["noise.png"].spectral_flags
+    os.utime(file)
+    assert {r.name: r.status for r in case.analyze_case(spark, folder, store=store).collect()} == {"noise.png": "unavailable", "flat.png": "success", "marked.bin": "unavailable"}
+
+
 def test_rules_take_nulls(spark):
     names = ["frequency_peak_count", "frequency_high_low_ratio", "frequency_quadrant_cv", "sensor_global_sigma", "sensor_block_sigma_cv", "noise_map_block_sigma_cv", "resampling_persistence"]
     rows = [(0, *[None] * 7), (1, 4.0, 0.2, 0.001, 0.01, 0.8, 0.8, 0.95), (2, 0.0, 1.0, 0.5, 0.5, 0.1, 0.1, 0.95)]

@@ -63,7 +63,30 @@ def test_alignment_is_greedy_and_monotone(spark):
     found = matching.align(q, r, "video").collect()
     a = sorted((x.idx, x.matched, x.skipped) for x in found if x.video == "a")
     assert [m for _, m, _ in a] == [0, 1, 2, 3, 6, 7, 8, 9, 10, 11] and [i for i, _, s in a if s] == [4] and a[4][2] == 2
-    assert {x.video: x.status for x in found if x.video != "a"} == {"long": "not_comparable", "alone": "not_comparable"}
+    assert {x.video: x.status for x in found if x.video != "a"} == {"long": "not_comparable", "alone": "error"}
+    assert {x.video: x.reason for x in found} == {"a": None, "long": "questioned_longer_than_reference", "alone": "could_not_decode_video"}
+
+
+def test_alignment_like_a_plain_loop(spark):
+    """Ties go to the first; the fold stops when no reference frame is left."""
+    rng, rows_q, rows_r, want = np.random.default_rng(3), [], [], set()
+    for k in range(30):
+        n = int(rng.integers(1, 9))
+        r = rng.integers(0, 3, (n, 2)).astype(float)
+        q = rng.integers(0, 3, (int(rng.integers(1, n + 1)), 2)).astype(float)
+        rows_q += [(k, i, f.tolist()) for i, f in enumerate(q)]
+        rows_r += [(k, i * 2, f.tolist()) for i, f in enumerate(r)] + [(k, 99, None)]
+        last = -1
+        for i, f in enumerate(q):
+            if last + 1 >= n:
+                break
+            d = np.abs(r[last + 1 :] - f).mean(axis=1)
+            j = last + 1 + int(d.argmin())
+            want.add((k, i, j, float(d.min()), j - last - 1 if i else 0))
+            last = j
+    schema = "video BIGINT, idx BIGINT, frame ARRAY<DOUBLE>"
+    found = matching.align(spark.createDataFrame(rows_q, schema), spark.createDataFrame(rows_r, schema), "video")
+    assert {(r.video, r.idx, r.matched, r.distance, r.skipped) for r in found.collect()} == want and "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_copy_move_finds_the_planted_translation(spark):
