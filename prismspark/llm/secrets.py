@@ -52,8 +52,8 @@ GOOD_WORDS = frozenset("password passwd pwd secret token key apikey api_key auth
 BAD_WORDS = frozenset("example sample dummy placeholder changeme your test commit sha sha1 sha256 md5 hash checksum digest uuid guid id version isbn phone tel order invoice card serial".split())
 #: The dictionary: words that one document in 500 holds, 2,000 at most; what stands for them where there are no documents.
 DICTIONARY_SHARE, DICTIONARY_WORDS = 1 / 500, 2000
-#: Words up to which those to be counted are broadcast (some 20 bytes each).
-BROADCAST_WORDS = 200_000
+#: Rows of a task whose words are counted together, and words up to which those to be counted are broadcast (20 bytes each).
+PART_ROWS, BROADCAST_WORDS = 2000, 200_000
 NO_DOCUMENTS = GOOD_WORDS | BAD_WORDS
 WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,20}(?![^\W\d_])")
 THRESHOLD = 0.5
@@ -65,21 +65,32 @@ def common_words(df: DataFrame, *, text: str = "text", share: float = DICTIONARY
     """The words of 3 to 20 letters that at least `share` of all documents hold, counted over all whole texts; of more than
     `most` the most frequent, ties going to the smaller word.
 
-    A word of that share has it in one batch of documents at least: only words that have are counted over all, so that the
-    many rare words are neither shuffled nor kept. The texts are read twice.
+    A word of that share has it in one part of a task's rows at least: only words that have are counted over all, so that
+    the many rare words are neither shuffled nor kept. The texts are read twice.
     """
 
-    def make():
-        def each(batch: pa.RecordBatch):
-            n = Counter()
-            for t in texts_of(batch.column(0)):
-                n.update(set(WORD.findall(t.lower())))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([batch.num_rows] * len(n), pa.int64())], ["word", "n", "docs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(part: tuple[Counter, int]) -> pa.RecordBatch:
+            n, docs = part
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs] * len(n), pa.int64())], ["word", "n", "docs"])
 
-        return each
-
-    words = map_rows(df.select(text), make, "word string, n long, docs long")
+        held, part = None, (Counter(), 0)
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                part[0].update(set(WORD.findall(t.lower())))
+            part = (part[0], part[1] + batch.num_rows)
+            if part[1] >= PART_ROWS:
+                if held:
+                    yield row(held)
+                held, part = part, (Counter(), 0)
+        # The last rows go with the part before them: of a few rows every word would be frequent.
+        if held:
+            held[0].update(part[0])
+            part = (held[0], held[1] + part[1])
+        if part[0]:
+            yield row(part)
+
+    words = df.select(text).mapInArrow(run, "word string, n long, docs long")
     frequent = cut(words.filter(F.col("n") >= share * F.col("docs")).select("word").distinct(), "frequent")
     counted = words.join(small_or_not(frequent, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
     whole = counted.filter(F.col("n") >= share * df.count())
