@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from prismspark.functions.dialect import render
 from prismspark.session import read_table
 
-from .applied import APPLIED, ORACLES
+from . import applied, page_planes
 from .catalog import QUERIES
 
+#: Queries whose form is no SQL text, and the checking engine's SQL of those that it can state.
+APPLIED = applied.APPLIED | page_planes.PLANES
+ORACLES = applied.ORACLES | page_planes.ORACLES
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
