@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.operators import images, matching, provenance, regions, training
+from prismspark.operators import checks, images, matching, provenance, regions, reporting, training
 from prismspark.session import read_table, work_folder
 from prismspark.sources import incremental
 from prismspark.streaming import temporal
@@ -167,6 +167,41 @@ INCREMENTAL_PAGES = """SELECT 'page/' || page_id AS path, strlen(coalesce(html,
   CASE WHEN page_id % 10 = 0 AND coalesce(html, '') <> '' THEN 'now' ELSE 'before' END AS measured FROM pages WHERE page_id IS NOT NULL"""
 
 
+#: Results in JSON that both engines put together; names of nested objects are in their order.
+RESULT = """concat('{"anomalies":["', event_type, '",{"a":', CAST(event_id AS {text}), ',"b":null}],"anomaly_count":', CAST(user_id AS {text}), ',"calibrated":false,"frame_count":', CAST(event_id % 9 AS {text}), ',"reason":"', repeat('why ', CAST(event_id % 400 AS INT)), '","status":"success","warning":null', CASE WHEN event_id % 13 = 0 THEN '' ELSE '}' END)"""
+METHODS = "CASE event_id % 5 WHEN 0 THEN 'synthetic_ml' WHEN 1 THEN 'video_motion_discontinuities' WHEN 2 THEN 'synthetic_evidence_fusion' WHEN 3 THEN 'noise_map' ELSE 'other' END"
+
+
+def short_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short form of a result of every event; every 13th result is cut off and has none."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.expr(METHODS).alias("method"), F.expr(RESULT.replace("{text}", "STRING")).alias("result"))
+    return reporting.short_results(rows).drop("result")
+
+
+def _picked(keys: str, present: bool) -> str:
+    parts = [f"""CASE WHEN {present} AND NOT list_contains(json_keys(j), '{k}') THEN NULL ELSE '"{k}": ' || coalesce(json_extract(j, '$.{k}')::VARCHAR, 'null') END""" for k in keys.split()]
+    return "'{' || array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL), ', ') || '}'"
+
+
+SHORT_RESULTS = f"""WITH r AS (SELECT event_id, {METHODS} AS method, {RESULT.replace("{text}", "VARCHAR")} AS t FROM events), v AS (SELECT event_id, method, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM r)
+SELECT event_id, method, CASE WHEN j IS NULL THEN NULL ELSE CASE method {' '.join(f"WHEN '{m}' THEN {f'left({_picked(keys, present)}, {most})' if most else _picked(keys, present)}" for m, (keys, present, most) in reporting.SHORT.items() if m in METHODS)} ELSE left(j::VARCHAR, {reporting.OTHER_CHARS}) END END AS short FROM v"""
+
+
+def cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector through the built-in checks, one that is not known and one that cannot be loaded."""
+    checks.register(spark)
+    read_table(spark, sf_dir, "embeddings").createOrReplaceTempView("checked_vectors")
+    names = "array('mean', 'largest', 'zero_share', 'sharpest', 'no.such.module:check')"
+    rows = spark.sql(f"SELECT v.vec_id, c.* FROM checked_vectors v, LATERAL cross_check({names}, CAST(v.embedding AS ARRAY<DOUBLE>)) c")
+    return rows.select("vec_id", "feature", "status", F.round("value", 9).alias("value"), F.when(F.col("reason").isNotNull(), F.element_at(F.split("reason", r"\("), 1)).alias("failure"))
+
+
+CROSS_CHECKS = """WITH f(feature) AS (VALUES ('mean'), ('largest'), ('zero_share'), ('sharpest'), ('no.such.module:check'))
+SELECT vec_id, feature, CASE WHEN feature = 'sharpest' THEN 'unsupported' WHEN contains(feature, ':') THEN 'unavailable' WHEN len(embedding) = 0 THEN 'error' ELSE 'success' END AS status,
+  round(CASE feature WHEN 'mean' THEN list_avg(embedding::DOUBLE[]) WHEN 'largest' THEN list_max(embedding)::DOUBLE WHEN 'zero_share' THEN len(list_filter(embedding, lambda v: v = 0)) / len(embedding)::DOUBLE END, 9) AS value,
+  CASE WHEN contains(feature, ':') THEN 'ModuleNotFoundError' END AS failure FROM embeddings, f"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
     written once, so that fits and scores do not read the texts again."""
@@ -235,6 +270,8 @@ APPLIED = {
     "validation_flatten": ("B5", validation_flatten),
     "validation_tree": ("B5", validation_tree),
     "incremental_pages": ("G16", incremental_pages),
+    "short_results": ("L5", short_results),
+    "cross_checks": ("2.12", cross_checks),
     "candidate_benchmark": ("K4 K5 K7 K12", candidate_benchmark),
     "held_out_generators": ("I7 K12", held_out_generators),
     "calibrated_scores": ("K1 K6", calibrated_scores),
@@ -243,4 +280,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS}

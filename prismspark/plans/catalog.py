@@ -88,13 +88,13 @@ SELECT user_id, ok, failed, told, integrity_validated, CASE WHEN state = 'truste
     "noise_mad": ("C3", f"WITH {PIXV}, m AS (SELECT vec_id, v, median(v) OVER (PARTITION BY vec_id) AS med FROM pix) SELECT vec_id, round(median(abs(v - med)), 6) AS mad FROM m GROUP BY vec_id"),
     "quality_sweep_argmin": ("C6", f"WITH {PIXV}, qs(quality) AS (VALUES (55), (60), (65), (70), (75), (80), (85), (90), (95), (100)), e AS (SELECT vec_id, quality, avg(abs(q - @rint(q / CAST(106 - quality AS DOUBLE), 0) * (106 - quality))) AS err FROM pix CROSS JOIN qs GROUP BY vec_id, quality), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(err, 9), quality) AS place FROM e) SELECT vec_id, quality AS minimum_error_quality, round(err, 6) AS minimum_mean_abs_error FROM k WHERE place = 1"),
     "quant_table_stats": ("C7", "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, avg(l_quantity) AS mean, min(l_quantity) AS low, max(l_quantity) AS high, @join(@sorted(@list(l_linenumber)), ',') AS lines FROM lineitem GROUP BY l_orderkey"),
-    "lsb_screen": ("C8", f"WITH {PIXV}, n AS (SELECT vec_id, CAST(sum(CASE WHEN q % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0, CAST(sum(q % 2) AS BIGINT) AS n1 FROM pix GROUP BY vec_id) SELECT vec_id, n0, n1, n1 / 64.0D AS p1, round(CASE WHEN n0 = 0 OR n1 = 0 THEN 0.0D ELSE -(n0 / 64.0D * log2(n0 / 64.0D) + n1 / 64.0D * log2(n1 / 64.0D)) END, 6) AS entropy_bits, ((n0 - 32) * (n0 - 32) + (n1 - 32) * (n1 - 32)) / 32.0D AS chi2 FROM n"),
+    "lsb_screen": ("C8", f"WITH {PIX}, n AS (SELECT vec_id, CAST(sum(CASE WHEN q % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0, CAST(sum(q % 2) AS BIGINT) AS n1 FROM pix GROUP BY vec_id) SELECT vec_id, n0, n1, n1 / 64.0D AS p1, round(CASE WHEN n0 = 0 OR n1 = 0 THEN 0.0D ELSE -(n0 / 64.0D * log2(n0 / 64.0D) + n1 / 64.0D * log2(n1 / 64.0D)) END, 6) AS entropy_bits, ((n0 - 32) * (n0 - 32) + (n1 - 32) * (n1 - 32)) / 32.0D AS chi2 FROM n"),
     "average_hash": ("C9", f"WITH {PIXV}, m AS (SELECT vec_id, pos, v, avg(v) OVER (PARTITION BY vec_id) AS mean FROM pix) SELECT vec_id, CAST(sum(CASE WHEN v >= mean AND pos < 32 THEN CAST(pow(2, 31 - pos) AS BIGINT) ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN v >= mean AND pos >= 32 THEN CAST(pow(2, 63 - pos) AS BIGINT) ELSE 0 END) AS BIGINT) AS low FROM m GROUP BY vec_id"),
     "difference_hash": ("C9", f"WITH {PIXV}, m AS (SELECT vec_id, y, x, v, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS after FROM pix) SELECT vec_id, CAST(sum(CASE WHEN after >= v THEN CAST(pow(2, 55 - (y * 7 + x)) AS BIGINT) ELSE 0 END) AS BIGINT) AS dhash FROM m WHERE after IS NOT NULL GROUP BY vec_id"),
     "channel_correlation": ("C10", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS rg, round(coalesce(corr(l_quantity, l_discount), 0.0D), 6) AS rb, round(coalesce(corr(l_extendedprice, l_tax), 0.0D), 6) AS gb FROM lineitem GROUP BY l_returnflag"),
     "colour_moments": ("C11", f"WITH {PIX}, m AS (SELECT label, avg(v) AS mean, stddev_pop(v) AS std FROM pix GROUP BY label) SELECT pix.label, round(max(mean), 6) AS mean, round(max(std), 6) AS std, round(avg(pow((v - mean) / (std + 1.0E-12D), 3)), 5) AS skew FROM pix JOIN m ON pix.label = m.label GROUP BY pix.label"),
     "robust_normalise": ("C12 G11", "WITH p AS (SELECT user_id, @percentile(value, 0.01) AS lo, @percentile(value, 0.99) AS hi FROM events GROUP BY user_id) SELECT event_id, round(CASE WHEN hi > lo THEN least(255.0D, greatest(0.0D, (value - lo) / (hi - lo) * 255.0D)) ELSE 0.0D END, 4) AS level FROM events JOIN p ON events.user_id = p.user_id"),
-    "dct_coefficient": ("G1", f"WITH {PIXV} SELECT vec_id, round(sum(v * cos((2 * y + 1) * pi() / 16) * cos((2 * x + 1) * 2 * pi() / 16)) / 4.0D, 6) AS c12 FROM pix GROUP BY vec_id"),
+    "dct_coefficient": ("G1", f"WITH {PIX} SELECT vec_id, round(sum(v * cos((2 * y + 1) * pi() / 16) * cos((2 * x + 1) * 2 * pi() / 16)) / 4.0D, 6) AS c12 FROM pix GROUP BY vec_id"),
     "dct_periodicity": ("G1", f"""WITH {PIX}, c AS (SELECT label, CAST(@rint(round(sum(q * cos((2 * y + 1) * pi() / 16) * cos((2 * x + 1) * 2 * pi() / 16)) / 4.0D, 6), 0) AS BIGINT) AS k, vec_id FROM pix GROUP BY label, vec_id),
 p AS (SELECT label, round(@percentile(k, 0.02), 6) AS lo, round(@percentile(k, 0.98), 6) AS hi, count(*) AS n_blocks FROM c GROUP BY label),
 r AS (SELECT label, n_blocks, CAST(CASE WHEN lo < 0 THEN ceil(lo) ELSE floor(lo) END AS BIGINT) AS lo, CAST(CASE WHEN hi < 0 THEN ceil(hi) ELSE floor(hi) END AS BIGINT) AS hi FROM p),
@@ -104,7 +104,7 @@ SELECT r.label, r.n_blocks, round(1.0D - count(h.k) / CAST(max(hi) - max(lo) + 1
     "autocorrelation": ("G3 G13", f"WITH {PIXV}, c AS (SELECT vec_id, pos, v - avg(v) OVER (PARTITION BY vec_id) AS z FROM pix), e AS (SELECT vec_id, sum(z * z) AS energy FROM c GROUP BY vec_id), k AS (SELECT a.vec_id, b.pos - a.pos AS lag_, sum(a.z * b.z) AS s FROM c a JOIN c b ON a.vec_id = b.vec_id WHERE b.pos - a.pos BETWEEN 1 AND 8 GROUP BY a.vec_id, b.pos - a.pos) SELECT k.vec_id, lag_, round(s / (energy + 1.0E-12D), 6) AS ac FROM k JOIN e ON k.vec_id = e.vec_id"),
     "resampling_screen": ("G3", f"WITH {PIXV}, c AS (SELECT vec_id, pos, v - avg(v) OVER (PARTITION BY vec_id) AS z FROM pix), k AS (SELECT a.vec_id, sum(CASE WHEN b.pos = a.pos + 1 THEN a.z * b.z ELSE 0 END) AS ac1, sum(CASE WHEN b.pos = a.pos + 2 THEN a.z * b.z ELSE 0 END) AS ac2 FROM c a JOIN c b ON a.vec_id = b.vec_id AND b.pos - a.pos BETWEEN 1 AND 2 GROUP BY a.vec_id) SELECT vec_id, CASE WHEN abs(ac1) < 1.0E-12D THEN NULL ELSE round(ac2 / ac1, 4) END AS persistence, coalesce(round(ac2 / ac1, 6) >= {T.RESAMPLING_PERSISTENCE}D, false) AS flag FROM k"),
     "glcm_contrast": ("G6", f"WITH {PIXV}, l AS (SELECT vec_id, y, x, CAST(floor(q / 16) AS BIGINT) AS g FROM pix), o(dy, dx) AS (VALUES (0, 1), (0, 2), (1, 0), (2, 0), (1, 1), (2, 2)), p AS (SELECT a.vec_id, dy, dx, a.g AS i, b.g AS j FROM l a CROSS JOIN o JOIN l b ON a.vec_id = b.vec_id AND b.y = a.y + dy AND b.x = a.x + dx), t AS (SELECT vec_id, dy, dx, avg(CAST((i - j) * (i - j) AS DOUBLE)) AS contrast, avg(CAST(abs(i - j) AS DOUBLE)) AS dissimilarity, avg(1.0D / (1 + (i - j) * (i - j))) AS homogeneity FROM p GROUP BY vec_id, dy, dx) SELECT vec_id, round(avg(contrast), 6) AS contrast, round(avg(dissimilarity), 6) AS dissimilarity, round(avg(homogeneity), 6) AS homogeneity FROM t GROUP BY vec_id"),
-    "band_energy": ("G12", f"WITH {PIXV}, b AS (SELECT vec_id, v, CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 THEN 'low' WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN 'mid' ELSE 'high' END AS band FROM pix) SELECT vec_id, band, round(avg(abs(v)), 6) AS mean_abs, round(stddev_pop(v), 6) AS std FROM b GROUP BY vec_id, band"),
+    "band_energy": ("G12", f"WITH {PIX}, b AS (SELECT vec_id, v, CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 THEN 'low' WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN 'mid' ELSE 'high' END AS band FROM pix) SELECT vec_id, band, round(avg(abs(v)), 6) AS mean_abs, round(stddev_pop(v), 6) AS std FROM b GROUP BY vec_id, band"),
     "quadrant_replication": ("G14", f"WITH {PIXV}, k AS (SELECT vec_id, floor(y / 4) * 2 + floor(x / 4) AS quad, y % 4 AS ly, x % 4 AS lx, v FROM pix), c AS (SELECT a.vec_id, a.quad AS qa, b.quad AS qb, corr(a.v, b.v) AS r FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.ly = b.ly AND a.lx = b.lx AND a.quad < b.quad GROUP BY a.vec_id, a.quad, b.quad) SELECT vec_id, round(avg(abs(r)), 6) AS replication FROM c GROUP BY vec_id"),
     "spectral_flags": ("J1", f"WITH {FLAGS} SELECT vec_id, f_peaks, f_ratio, f_quadrant FROM flags"),
     "native_observations": ("J2", f"WITH {FLAGS} SELECT vec_id, CAST(f_peaks AS INT) + CAST(f_ratio AS INT) + CAST(f_quadrant AS INT) + CAST(face_flag AS INT) + CAST(marker_only AS INT) + CAST(f_noise AS INT) + CAST(f_resampling AS INT) + CAST(f_texture AS INT) + CAST(f_sensor AS INT) AS observations, f_resampling, f_texture FROM flags"),
@@ -121,14 +121,16 @@ s AS (SELECT user_id, dt, count(*) OVER (PARTITION BY user_id) AS n, row_number(
 g AS (SELECT s.user_id, count_if(s.n > 1 AND usual > 0 AND dt > {T.GAP_FACTOR}D * usual) AS gaps FROM s JOIN u ON s.user_id = u.user_id GROUP BY s.user_id)
 SELECT a.user_id, concat_ws('; ', CASE WHEN gaps > 0 THEN concat('timing gaps: ', CAST(gaps AS STRING)) END, CASE WHEN duplicates > 0 THEN concat('near-duplicate transitions: ', CAST(duplicates AS STRING)) END, CASE WHEN abrupt > 0 THEN concat('abrupt transitions: ', CAST(abrupt AS STRING)) END, CASE WHEN motion > 0 THEN concat('motion discontinuities: ', CAST(motion AS STRING)) END, CASE WHEN duplicates + abrupt + motion > 0 THEN 'protocol: needs expert review' END) AS findings, gaps + duplicates + abrupt + motion = 0 AS nothing_found FROM a JOIN g ON a.user_id = g.user_id"""),
     "question_routing": ("J11", f"WITH q AS (SELECT conv_id, turn, lower(text) AS t FROM conversations) SELECT conv_id, turn, CASE {ROUTES} ELSE 'general' END AS route FROM q"),
-    "profile_plan": ("J12 H9", f"WITH {METHOD_PLAN}, media(name, kind, jpeg) AS (VALUES ('a.jpg', 'image', 1), ('b.png', 'image', 0), ('c.mp4', 'video', 0)) SELECT name, method, quick = 1 AS in_quick, deepfake = 1 AS in_deepfake, full_ = 1 AS in_full FROM media JOIN plan_ ON (plan_.media = 'any' OR plan_.media = kind) AND jpeg_only <= jpeg"),
+    "profile_plan": ("J12 H9", f"""WITH {METHOD_PLAN}, kinds AS (SELECT method, kind, quick, deepfake, full_, jpeg_only FROM plan_ JOIN (VALUES ('image'), ('video')) AS k(kind) ON plan_.media = 'any' OR plan_.media = kind),
+files AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'video' ELSE 'image' END AS kind, CASE WHEN n_chars % 3 = 1 THEN 1 ELSE 0 END AS jpeg FROM documents)
+SELECT doc_id, CAST(sum(quick) AS BIGINT) AS quick_methods, CAST(sum(deepfake) AS BIGINT) AS deepfake_methods, CAST(sum(full_) AS BIGINT) AS full_methods, @join(@sorted(@list(method)), ',') AS methods FROM files JOIN kinds ON files.kind = kinds.kind WHERE jpeg_only <= jpeg GROUP BY doc_id"""),
     "timing_gaps": ("F1 A4", f"WITH {FRAMES}, s AS (SELECT user_id, idx, dt, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY dt, idx) AS place FROM diffs), u AS (SELECT user_id, max(CASE WHEN place = floor(n / 2) + 1 THEN dt END) AS med, max(n) AS n FROM s GROUP BY user_id) SELECT diffs.user_id, idx - 1 AS idx, diffs.dt AS delta FROM diffs JOIN u ON diffs.user_id = u.user_id WHERE n > 1 AND med > 0 AND diffs.dt > {T.GAP_FACTOR}D * med"),
     "near_duplicate_frames": ("F2", f"WITH {FRAMES} SELECT user_id, idx, event_id, round(mad, 6) AS mad FROM diffs WHERE mad <= {T.DUPLICATE_MAD}D"),
     "transition_anomalies": ("F3", f"WITH {ROBUST} SELECT user_id, idx, round(mad, 6) AS mad, round(greatest({T.TRANSITION_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread), 6) AS threshold FROM robust WHERE mad >= greatest({T.TRANSITION_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread)"),
     "motion_discontinuity": ("F4", f"WITH {ROBUST} SELECT user_id, idx, round(mad, 4) AS flow, round((mad - med) / ({T.MAD_SCALE}D * spread + 1.0E-12D), 4) AS robust_z FROM robust WHERE (mad - med) / ({T.MAD_SCALE}D * spread + 1.0E-12D) >= {T.MOTION_Z}D"),
     "uniform_sampling": ("F5", f"WITH {FRAMES}, n AS (SELECT user_id, count(*) AS n, least(24, count(*)) AS k FROM frames GROUP BY user_id), i AS (SELECT DISTINCT n.user_id, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(s.idx * CAST(n.n - 1 AS DOUBLE) / (k - 1)) AS BIGINT) END AS idx FROM n JOIN frames s ON n.user_id = s.user_id AND s.idx < k) SELECT frames.user_id, frames.idx, event_id FROM frames JOIN i ON frames.user_id = i.user_id AND frames.idx = i.idx"),
     "video_screen_cv": ("F6 J7", f"WITH {FRAMES}, c AS (SELECT user_id, stddev_pop(value) / (avg(value) + 1.0E-12D) AS cv FROM frames GROUP BY user_id) SELECT user_id, round(cv, 6) AS cv, cv > {T.SHARPNESS_CV}D AS sharpness_flag, cv > {T.DCT_RATIO_CV}D AS ratio_flag, CASE WHEN cv > {T.DCT_RATIO_CV}D THEN 'needs_expert_review' ELSE 'no_strong_screening_signals' END AS triage FROM c"),
-    "keyframe_union": ("F7", f"WITH {ROBUST}, k AS (SELECT user_id, idx FROM robust WHERE mad <= {T.DUPLICATE_MAD}D UNION SELECT user_id, idx FROM robust WHERE mad >= greatest({T.TRANSITION_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread) UNION SELECT user_id, idx FROM robust WHERE (mad - med) / ({T.MAD_SCALE}D * spread + 1.0E-12D) >= {T.MOTION_Z}D), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY idx) AS place FROM k) SELECT user_id, idx FROM r WHERE place <= 12"),
+    "keyframe_union": ("F7", f"WITH {ROBUST}, k AS (SELECT user_id, idx FROM robust WHERE mad <= {T.DUPLICATE_MAD}D OR mad >= greatest({T.TRANSITION_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread) OR (mad - med) / ({T.MAD_SCALE}D * spread + 1.0E-12D) >= {T.MOTION_Z}D), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY idx) AS place FROM k) SELECT user_id, idx FROM r WHERE place <= 12"),
     "temporal_triage": ("F1 F3 F4 J7", f"WITH {ROBUST}, a AS (SELECT user_id, count(*) AS transitions, CAST(sum(CASE WHEN mad >= greatest({T.TRANSITION_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread) THEN 1 ELSE 0 END) AS BIGINT) AS abrupt, CAST(sum(CASE WHEN (mad - med) / ({T.MAD_SCALE}D * spread + 1.0E-12D) >= {T.MOTION_Z}D THEN 1 ELSE 0 END) AS BIGINT) AS discontinuities, CAST(sum(CASE WHEN mad <= {T.DUPLICATE_MAD}D THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM robust GROUP BY user_id) SELECT user_id, transitions, abrupt, discontinuities, duplicates, CASE WHEN abrupt + discontinuities + duplicates > 0 THEN 'needs_expert_review' ELSE 'no_strong_screening_signals' END AS triage, 'inconclusive' AS evidentiary_conclusion FROM a"),
     "reference_lookup": ("H1", "SELECT o_orderkey, c_name AS reference FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0"),
     "reference_difference": ("H2", f"WITH {PIX}, r AS (SELECT label, pos, avg(q) AS ref FROM pix GROUP BY label, pos), d AS (SELECT vec_id, pix.pos, abs(q - ref) AS diff FROM pix JOIN r ON pix.label = r.label AND pix.pos = r.pos), m AS (SELECT *, median(diff) OVER (PARTITION BY vec_id) AS med FROM d), s AS (SELECT *, median(abs(diff - med)) OVER (PARTITION BY vec_id) AS spread FROM m) SELECT vec_id, round(max(med), 5) AS median_abs_difference, round(max(greatest({T.REFERENCE_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread)), 5) AS threshold, avg(CASE WHEN round(diff, 9) >= round(greatest({T.REFERENCE_FLOOR}D, med + {T.ROBUST_SIGMA}D * {T.MAD_SCALE}D * spread), 9) THEN 1.0D ELSE 0.0D END) AS changed_fraction FROM s GROUP BY vec_id"),
@@ -137,7 +139,9 @@ SELECT a.user_id, concat_ws('; ', CASE WHEN gaps > 0 THEN concat('timing gaps: '
     "translation_clusters": ("I1 I2", f"WITH p AS (SELECT l_suppkey, CAST(@rint((l_quantity - 25.0D) / {T.BIN_PX}D, 0) AS BIGINT) AS bx, CAST(@rint(round((l_discount * 1000.0D - 50.0D) / {T.BIN_PX}D, 6), 0) AS BIGINT) AS by_, l_quantity AS dx, l_discount * 1000.0D AS dy, l_tax * 1000.0D AS hamming FROM lineitem), c AS (SELECT l_suppkey, bx, by_, count(*) AS n, avg(hamming) AS mean_hamming, avg(dx) AS mean_dx, avg(dy) AS mean_dy, sqrt(pow(stddev_pop(dx), 2) + pow(stddev_pop(dy), 2)) AS spread FROM p GROUP BY l_suppkey, bx, by_) SELECT l_suppkey, bx, by_, n, round(mean_hamming, 5) AS mean_hamming, round(mean_dx, 5) AS mean_dx, round(mean_dy, 5) AS mean_dy, round(spread, 5) AS spread, n >= {T.CLUSTER_N} AND round(mean_hamming, 9) <= {T.CLUSTER_HAMMING}D AND round(spread, 9) <= {T.CLUSTER_STD}D AS suspicious FROM c"),
     "contract_outer": ("H7 H8", f"WITH {GATE} SELECT fixture, check_id, undeclared, missing, repeated, wrong_fixture, failing, NOT (undeclared OR missing OR wrong_fixture OR failing) AS passed FROM states"),
     "missing_files": ("H8 A7", "SELECT doc_id FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id AND d.lang = 'en')"),
-    "citations_join": ("H10", "WITH refs(k, title) AS (VALUES ('sha2', 'Secure hash standard'), ('dct', 'Discrete cosine transform'), ('prnu', 'Sensor noise'), ('wilson', 'Probable inference')), uses(method, k) AS (VALUES ('hash_sha256', 'sha2'), ('jpeg_dct', 'dct'), ('prnu_screen', 'prnu'), ('metrics', 'wilson'), ('metrics', 'sha2')) SELECT DISTINCT refs.k AS ref, title FROM uses JOIN refs ON uses.k = refs.k"),
+    "citations_join": ("H10", """WITH refs(k, title) AS (VALUES ('sha2', 'Secure hash standard'), ('dct', 'Discrete cosine transform'), ('prnu', 'Sensor noise'), ('wilson', 'Probable inference')), uses(method, k) AS (VALUES ('hash_sha256', 'sha2'), ('jpeg_dct', 'dct'), ('prnu_screen', 'prnu'), ('metrics', 'wilson'), ('metrics', 'sha2')),
+ran AS (SELECT DISTINCT source, CASE doc_id % 5 WHEN 0 THEN 'hash_sha256' WHEN 1 THEN 'jpeg_dct' WHEN 2 THEN 'prnu_screen' WHEN 3 THEN 'metrics' ELSE 'ela' END AS method FROM documents)
+SELECT source, refs.k AS ref, title, count(*) AS methods FROM ran JOIN uses ON ran.method = uses.method JOIN refs ON uses.k = refs.k GROUP BY source, refs.k, title"""),
     "external_evidence": ("H11 A11 A12", "SELECT d.doc_id, l.quality AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 0 AND l.quality IS NOT NULL"),
     "binary_metrics": ("K7 K8", f"WITH {VOTES}, s AS (SELECT {SUMS} FROM cells) SELECT {RATES} FROM s"),
     "subgroup_metrics": ("I4 I5 K13", f"WITH {VOTES}, s AS (SELECT source, lang, {SUMS} FROM cells GROUP BY GROUPING SETS ((source), (lang), ())) SELECT source, lang, {RATES} FROM s"),
