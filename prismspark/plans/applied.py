@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.operators import checks, images, matching, provenance, regions, reporting, training
+from prismspark.operators import checks, headers, images, matching, provenance, regions, reporting, training
 from prismspark.session import read_table, work_folder
 from prismspark.sources import incremental
 from prismspark.streaming import temporal
@@ -202,6 +202,29 @@ SELECT vec_id, feature, CASE WHEN feature = 'sharpest' THEN 'unsupported' WHEN c
   CASE WHEN contains(feature, ':') THEN 'ModuleNotFoundError' END AS failure FROM embeddings, f"""
 
 
+def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TIFF block for every page, in the byte order of its number: its id as width, a maker of its url's length, an
+    orientation; every tenth is cut off inside the maker."""
+    big = F.col("page_id") % 2 == 0
+
+    def word(value: F.Column, n: int) -> F.Column:
+        h = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
+        return F.when(big, h).otherwise(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(n))]))
+
+    maker = F.concat(F.lit("page "), F.col("page_id").cast("string"))
+    size = F.length(maker) + 1
+    entry = lambda tag, kind, n, value: [word(F.lit(tag), 2), word(F.lit(kind), 2), word(n, 4), value]
+    short = F.rpad(word(F.col("page_id") % 8 + 1, 2), 8, "0")
+    parts = [F.when(big, "4D4D").otherwise("4949"), word(F.lit(42), 2), word(F.lit(8), 4), word(F.lit(3), 2), *entry(256, 4, F.lit(1), word(F.col("page_id"), 4)), *entry(271, 2, size, word(F.lit(50), 4)), *entry(274, 3, F.lit(1), short), F.lit("00000000"), F.hex(maker), F.lit("00")]
+    whole = F.concat(*parts)
+    files = read_table(spark, sf_dir, "pages").select("page_id", F.unhex(F.when(F.col("page_id") % 10 == 0, F.substring(whole, 1, 106)).otherwise(whole)).alias("content"))
+    found = headers.image_headers(files)
+    return found.select("page_id", "format", "width", "exif", *(F.col("tags")[t].alias(a) for t, a in (("Make", "maker"), ("Orientation", "orientation"))))
+
+
+IMAGE_HEADERS = """SELECT page_id, 'TIFF' AS format, page_id AS width, CASE WHEN page_id % 10 = 0 THEN 'damaged' ELSE 'success' END AS exif, CASE WHEN page_id % 10 > 0 THEN 'page ' || page_id END AS maker, (page_id % 8 + 1)::VARCHAR AS orientation FROM pages"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
     written once, so that fits and scores do not read the texts again."""
@@ -272,6 +295,7 @@ APPLIED = {
     "incremental_pages": ("G16", incremental_pages),
     "short_results": ("L5", short_results),
     "cross_checks": ("2.12", cross_checks),
+    "image_headers": ("A6", image_headers),
     "candidate_benchmark": ("K4 K5 K7 K12", candidate_benchmark),
     "held_out_generators": ("I7 K12", held_out_generators),
     "calibrated_scores": ("K1 K6", calibrated_scores),
@@ -280,4 +304,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "image_headers": IMAGE_HEADERS}
