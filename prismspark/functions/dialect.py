@@ -16,6 +16,9 @@ SPELLINGS = {
     "@explode64": ("LATERAL VIEW posexplode(embedding) e AS pos, raw", ", LATERAL (SELECT unnest(range(64)) AS pos, unnest(embedding) AS raw) e"),
     "@dealt_embeddings": ("(SELECT /*+ REPARTITION(vec_id) */ * FROM embeddings)", "embeddings"),
     "@length(": ("size(", "len("),
+    "@split(": ("split(", "regexp_split_to_array("),
+    "@btrim(": ("btrim(", "trim("),
+    "@stamp(ts)": ("date_format(ts, 'yyyyMMdd_HHmmss')", "strftime(ts, '%Y%m%d_%H%M%S')"),
     "@bytes(": ("octet_length(", "strlen("),
 }
 

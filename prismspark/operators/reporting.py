@@ -1,9 +1,11 @@
-"""Short forms of nested results: some keys of a result by its method, as JSON of limited length. No Python workers."""
+"""Short forms of nested results, some keys of a result by its method as JSON of limited length; and any row as JSON that a
+report can hold. No Python workers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys that a method's short form lists, whether absent ones are left out (else null), and its longest form.
 SHORT = {
@@ -56,3 +58,30 @@ def short_form(method: Column, result: Column) -> Column:
 
 def short_results(results: DataFrame, *, method: str = "method", result: str = "result") -> DataFrame:
     return results.withColumn("short", short_form(F.col(method), F.col(result)))
+
+
+def safe_value(value: Column, kind: T.DataType) -> Column:
+    """A value of any type as one that JSON has: numbers, booleans and text stay, numbers that are not finite, times, intervals
+    and all else become text, bytes their hex, keys of maps text; nested values in the same way."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[safe_value(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: safe_value(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), safe_value(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(entries)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # JSON has no such numbers: as variants both kinds can stand in one array.
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.parse_json(F.concat(F.lit('"'), value.cast("string"), F.lit('"')))).otherwise(F.parse_json(value.cast("string")))
+    if isinstance(kind, T.BinaryType):
+        return F.lower(F.hex(value))
+    if isinstance(kind, (T.IntegralType, T.BooleanType, T.StringType, T.VariantType, T.DecimalType, T.NullType)):
+        return value
+    return value.cast("string")
+
+
+def json_safe(df: DataFrame, columns: list[str] | None = None, name: str = "json") -> DataFrame:
+    """df with one column of JSON of its columns (all, unless named), null fields kept."""
+    own = [f for f in df.schema if columns is None or f.name in columns]
+    whole = F.struct(*[safe_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in own])
+    return df.withColumn(name, F.to_json(whole, {"ignoreNullFields": "false"}))

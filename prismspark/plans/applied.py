@@ -225,6 +225,15 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMAGE_HEADERS = """SELECT page_id, 'TIFF' AS format, page_id AS width, CASE WHEN page_id % 10 = 0 THEN 'damaged' ELSE 'success' END AS exif, CASE WHEN page_id % 10 > 0 THEN 'page ' || page_id END AS maker, (page_id % 8 + 1)::VARCHAR AS orientation FROM pages"""
 
 
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as JSON, with a number that is not finite, a time, bytes and nested values."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, float("nan")).otherwise(F.col("event_id") / 4).alias("ratio"), F.encode("event_type", "UTF-8").alias("raw"), F.create_map(F.col("user_id"), F.array(F.col("event_id") % 2 == 0, F.lit(None).cast("boolean"))).alias("flags"), F.to_date("ts").alias("day"))
+    return reporting.json_safe(rows).select("event_id", "json")
+
+
+JSON_ROWS = """SELECT event_id, concat('{"event_id":', event_id, ',"user_id":', user_id, ',"ratio":', CASE WHEN event_id % 4 = 0 THEN '"NaN"' ELSE (event_id / 4.0::DOUBLE)::VARCHAR END, ',"raw":"', lower(hex(encode(event_type))), '","flags":{"', user_id, '":[', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',null]},"day":"', ts::DATE::VARCHAR, '"}') AS json FROM events"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
     written once, so that fits and scores do not read the texts again."""
@@ -295,6 +304,7 @@ APPLIED = {
     "incremental_pages": ("G16", incremental_pages),
     "short_results": ("L5", short_results),
     "cross_checks": ("2.12", cross_checks),
+    "json_rows": ("B9", json_rows),
     "image_headers": ("A6", image_headers),
     "candidate_benchmark": ("K4 K5 K7 K12", candidate_benchmark),
     "held_out_generators": ("I7 K12", held_out_generators),
@@ -304,4 +314,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "image_headers": IMAGE_HEADERS}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "json_rows": JSON_ROWS, "image_headers": IMAGE_HEADERS}

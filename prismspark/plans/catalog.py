@@ -50,6 +50,10 @@ ROUTE_WORDS = {"assessment": ["alteração", "manipulação"], "provenance": ["m
 ROUTES = " ".join(f"WHEN {' OR '.join(f"contains(t, '{w}')" for w in words)} THEN '{route}'" for route, words in ROUTE_WORDS.items())
 
 
+# Fixed value: a version of three numbers without leading zeros, with a pre-release and a build.
+SEMVER = "^(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)(?:-([0-9A-Za-z][0-9A-Za-z.-]*))?(?:[+]([0-9A-Za-z.-]+))?$"
+
+
 def wilson(k: str, n: str) -> str:
     """Two columns: the bounds of the Wilson interval of k of n."""
     z2, p, m = T.WILSON_Z * T.WILSON_Z, f"({k} / CAST({n} AS DOUBLE))", f"CAST({n} AS DOUBLE)"
@@ -169,6 +173,12 @@ SELECT fixtures, covered, validated, required, present, passed, required - passe
     "skip_segments": ("H4", f"WITH {FRAMES}, matched AS (SELECT user_id, idx, lag(idx) OVER (PARTITION BY user_id ORDER BY idx) AS before FROM frames WHERE event_type <> 'click') SELECT user_id, before AS from_index, idx AS to_index, idx - before - 1 AS skipped FROM matched WHERE idx - before > 1"),
     "histogram_chart": ("L1", f"WITH {PIX}, h AS (SELECT label, CAST(floor(q / 8) AS BIGINT) AS bin, count(*) AS n FROM pix GROUP BY label, CAST(floor(q / 8) AS BIGINT)) SELECT label, bin, n, round(n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE), 6) AS share FROM h"),
     "transition_timeline": ("L2", f"WITH {FRAMES}, t AS (SELECT user_id, idx, us - min(us) OVER (PARTITION BY user_id) AS at_us, abs(value - before) AS mad FROM steps) SELECT user_id, idx, at_us, round(mad, 6) AS mad, round(mad / nullif(max(mad) OVER (PARTITION BY user_id), 0), 6) AS height FROM t WHERE mad IS NOT NULL"),
+    "slug_names": ("2.13 string", "SELECT page_id, @btrim(@join(@split(url, '[^0-9A-Za-z._-]+'), '_'), '._') AS slug FROM pages"),
+    "run_ids": ("2.13 date", "SELECT event_id, concat(@stamp(ts), '_', @btrim(@join(@split(event_type, '[^0-9A-Za-z._-]+'), '_'), '._')) AS run_id FROM events"),
+    "version_parts": ("2.13 regex", f"""WITH v AS (SELECT event_id, concat(CAST(user_id % 4 AS STRING), '.', CASE WHEN event_id % 7 = 0 THEN '01' ELSE CAST(event_id % 12 AS STRING) END, '.', CAST(event_id % 5 AS STRING), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('-rc.', event_type) ELSE '-' END, CASE WHEN event_id % 2 = 0 THEN '+build.5' ELSE '' END) AS version FROM events),
+p AS (SELECT event_id, version, regexp_extract(version, '{SEMVER}', 1) AS major FROM v)
+SELECT event_id, version, major <> '' AS valid, CAST(nullif(major, '') AS BIGINT) AS major, CAST(nullif(regexp_extract(version, '{SEMVER}', 2), '') AS BIGINT) AS minor, CAST(nullif(regexp_extract(version, '{SEMVER}', 3), '') AS BIGINT) AS patch, nullif(regexp_extract(version, '{SEMVER}', 4), '') AS prerelease, nullif(regexp_extract(version, '{SEMVER}', 5), '') AS build FROM p"""),
+    "hash_distance": ("2.13 bit", f"WITH {PIXV}, m AS (SELECT vec_id, pos, v, avg(v) OVER (PARTITION BY vec_id) AS mean FROM pix), h AS (SELECT vec_id, CAST(sum(CASE WHEN v >= mean AND pos < 32 THEN CAST(pow(2, 31 - pos) AS BIGINT) ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN v >= mean AND pos >= 32 THEN CAST(pow(2, 63 - pos) AS BIGINT) ELSE 0 END) AS BIGINT) AS low FROM m GROUP BY vec_id) SELECT a.vec_id, CAST(bit_count((a.high | b.high) - (a.high & b.high)) + bit_count((a.low | b.low) - (a.low & b.low)) AS BIGINT) AS hamming FROM h a JOIN h b ON b.vec_id = a.vec_id + 1"),
     "run_summary": ("L7", f"WITH {FUSION} SELECT count(*) AS files, CAST(sum(family_count) AS BIGINT) AS signals, CAST(count_if(level IN ('moderate', 'high')) AS BIGINT) AS needs_review, count(*) AS inconclusive FROM fusion"),
     "short_result": ("", "SELECT doc_id, substring(text, 1, 650) AS excerpt, length(text) > 650 AS truncated FROM documents"),
     "manifest_split": ("A7 A8 A10", "SELECT doc_id, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS synthetic, CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM labels"),

@@ -19,3 +19,10 @@ def test_short_forms(spark):
     assert found[9:] == [None, None, '{"a":1}']
     assert "Python" not in reporting.short_results(df)._jdf.queryExecution().executedPlan().toString() and reporting.short_results(df.limit(0)).collect() == []
     assert reporting.short_results(df.withColumn("short", F.lit(1))).columns == ["method", "result", "short"]
+
+
+def test_rows_as_json(spark):
+    df = spark.sql("""SELECT 1 AS i, CAST('NaN' AS DOUBLE) AS d, array(1.5D, CAST('Infinity' AS DOUBLE), NULL) AS a, map(2, X'00ff') AS m, TIMESTAMP_NTZ'2024-01-02 03:04:05' AS t, DATE'2024-01-02' AS y, named_struct('x', 0.25F, 'n', CAST(NULL AS STRING)) AS s, 'q"t' AS q, true AS b, INTERVAL '1' DAY AS v, CAST(NULL AS ARRAY<INT>) AS z""")
+    found = json.loads(reporting.json_safe(df).first().json)
+    assert found == {"i": 1, "d": "NaN", "a": [1.5, "Infinity", None], "m": {"2": "00ff"}, "t": "2024-01-02 03:04:05", "y": "2024-01-02", "s": {"x": 0.25, "n": None}, "q": 'q"t', "b": True, "v": "INTERVAL '1' DAY", "z": None}
+    assert json.loads(reporting.json_safe(df, ["i", "b"], "short").first().short) == {"i": 1, "b": True} and reporting.json_safe(df.limit(0)).collect() == []
