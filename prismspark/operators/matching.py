@@ -1,24 +1,19 @@
 """Joins that depend on order: greedy alignment of frame sequences and pairs of like keypoints inside an image.
 
-Both keep one sequence in a row or one image in a task: a video's thumbnails and an image's keypoints are bounded by their
-makers (frames sampled per video, keypoints per image), not by the size of the collection.
+One sequence is in a row, and of an image the keypoints with the few neighbours of each: a video's thumbnails and an image's
+keypoints are bounded by their makers (frames sampled per video, keypoints per image), not by the size of the collection.
+The distances between an image's descriptors, of which there is one a pair, are split over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismspark.functions import thresholds as T
-from prismspark.session import ship
-
-STEP = 512
-
 
+#: Descriptors of one block of an image.
+BLOCK = 512
 MATCH = "struct<idx:bigint,matched:bigint,distance:double,skipped:bigint>"
 
 
@@ -59,37 +54,56 @@ def align(questioned: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     return found.select(key, "status", "reason", F.explode_outer("found").alias("m")).select(key, "status", "reason", "m.idx", "m.matched", "m.distance", "m.skipped")
 
 
-def hamming(words: np.ndarray, start: int, stop: int) -> np.ndarray:
-    """Distances of the descriptors start .. stop to all, over n x w words of 64 bits."""
-    total = np.zeros((stop - start, len(words)), np.int64)
-    for w in range(words.shape[1]):
-        total += np.bitwise_count(words[start:stop, None, w] ^ words[None, :, w])
-    return total
-
-
-def like_pairs(words: np.ndarray, x: np.ndarray, y: np.ndarray, neighbours: int = 5) -> list[tuple[int, int, int, float, float]]:
-    """Per keypoint in order the first of its nearest that is like enough, far enough and not yet paired with it."""
-    taken, found = set(), []
-    n = len(words)
-    for start in range(0, n, STEP):
-        distance = hamming(words, start, min(n, start + STEP))
-        order = np.argsort(distance, axis=1, kind="stable")[:, : min(neighbours, n)]
-        for row, candidates in enumerate(order):
-            a = start + row
-            for b in map(int, candidates):
-                d = int(distance[row, b])
-                pair = (min(a, b), max(a, b))
-                if a == b or pair in taken or d > T.HAMMING:
-                    continue
-                dx, dy = float(x[b] - x[a]), float(y[b] - y[a])
-                if np.hypot(dx, dy) < T.DISTANCE_PX:
-                    continue
-                if dx < 0 or (dx == 0 and dy < 0):
-                    dx, dy = -dx, -dy
-                taken.add(pair)
-                found.append((a, b, d, dx, dy))
-                break
-    return found
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two descriptors (arrays of 64-bit words) differ."""
+    return F.aggregate(F.zip_with(a, b, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, n: s + n)
+
+
+def neighbours(keypoints: DataFrame, key: str, *, nearest: int = 5, most: int = T.HAMMING, block: int = BLOCK) -> DataFrame:
+    """key, place (from 0, in the order of kp), kp, x, y, near: of every keypoint (key, kp, x, y, words ARRAY<BIGINT>) its
+    `nearest` ones of the same image, itself among them, that differ in at most `most` bits: structs d, place, x, y, the
+    nearest first and equals by place.
+
+    Distances are of all pairs of an image, as the rule asks; an image of more than `block` keypoints is split into blocks
+    of about that size, and each pair of blocks is one part of the join, so that a large image is many tasks' work. A task
+    holds one block. Only the nearest of a block are passed on.
+    """
+    whole = keypoints.select(key, "kp", "x", "y", "words").dropna()
+    placed = whole.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("kp", "x", "y", "words")) - 1)
+    blocks = F.ceil(F.count("*").over(Window.partitionBy(key)) / block).cast("int")
+    dealt = placed.withColumn("blocks", blocks).withColumn("mine", (F.col("place") % F.col("blocks")).cast("int"))
+    point = F.struct("place", "x", "y", "words")
+    others = dealt.groupBy(key, "blocks", F.col("mine").alias("theirs")).agg(F.collect_list(point).alias("points"))
+    # A copy of each block for each block of those that look for neighbours.
+    others = others.select(key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), "points")
+
+    def close(points: Column) -> Column:
+        listed = F.transform(points, lambda p: F.struct(apart(p["words"], F.col("words")).alias("d"), p["place"].alias("place"), p["x"].alias("x"), p["y"].alias("y")))
+        return F.slice(F.sort_array(F.filter(listed, lambda c: c["d"] <= most)), 1, nearest)
+
+    found = dealt.join(others, [key, "mine"]).select(key, "place", "kp", "x", "y", close(F.col("points")).alias("near"))
+    return found.groupBy(key, "place", "kp", "x", "y").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, nearest).alias("near"))
+
+
+def pairs_of(found: DataFrame, key: str, *, distance: float = T.DISTANCE_PX) -> DataFrame:
+    """key, first, second (places), hamming, dx, dy: per keypoint in order the first of its neighbours that is far enough and
+    not yet paired with it; the shift points right, or down if it is upright.
+
+    Whether a pair is taken depends on what keypoints before took: a fold over an image's keypoints, with at most `nearest`
+    neighbours of each, that holds what each took.
+    """
+    points = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "x", "y", "near"))).alias("points"))
+
+    def step(taken: Column, p: Column) -> Column:
+        # A neighbour before this keypoint that took it is paired with it already.
+        free = lambda c: (c["place"] != p["place"]) & (F.hypot(c["x"] - p["x"], c["y"] - p["y"]) >= distance) & ~((c["place"] < p["place"]) & F.coalesce(F.get(taken, c["place"])["place"] == p["place"], F.lit(False)))
+        return F.concat(taken, F.array(F.get(F.filter(p["near"], free), F.lit(0))))
+
+    nothing = F.array().cast("array<struct<d:int,place:int,x:double,y:double>>")
+    rows = points.select(key, F.explode(F.arrays_zip("points", F.aggregate("points", nothing, step).alias("taken"))).alias("r")).filter("r.taken IS NOT NULL")
+    dx, dy = (F.col(f"r.taken.{c}") - F.col(f"r.points.{c}") for c in "xy")
+    sign = F.when((dx < 0) | ((dx == 0) & (dy < 0)), -1.0).otherwise(1.0)
+    return rows.select(key, F.col("r.points.place").alias("first"), F.col("r.taken.place").alias("second"), F.col("r.taken.d").alias("hamming"), (dx * sign).alias("dx"), (dy * sign).alias("dy"))
 
 
 def copy_move(keypoints: DataFrame, key: str) -> DataFrame:
@@ -97,24 +111,16 @@ def copy_move(keypoints: DataFrame, key: str) -> DataFrame:
 
     Images with no pair give no row. Keypoints with a null part are left out.
     """
-    ship(keypoints.sparkSession)
-    kind = keypoints.select(key).schema[key].simpleString().replace(":", " ", 1)
+    typed = keypoints.select(key, "kp", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "words")
+    return translations(pairs_of(neighbours(typed, key), key), key)
 
-    columns = [key, "first", "second", "hamming", "dx", "dy"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, points in batch.itertuples(index=False):
-                words = np.array([p["words"] for p in points], np.int64).view(np.uint64)
-                x, y = (np.array([p[axis] for p in points], float) for axis in "xy")
-                rows += [[k, points[a]["kp"], points[b]["kp"], d, dx, dy] for a, b, d, dx, dy in like_pairs(words, x, y)]
-            yield pd.DataFrame(rows, columns=columns)
-
-    whole = keypoints.select(key, "kp", "x", "y", "words").dropna()
-    images = whole.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kp", "x", "y", "words"))).alias("points"))
-    pairs = images.mapInPandas(run, f"{kind}, first BIGINT, second BIGINT, hamming INT, dx DOUBLE, dy DOUBLE")
-    return translations(pairs, key)
+def copy_move_scores(clusters: DataFrame, key: str, enough: int = 20) -> DataFrame:
+    """key, suspicious_pairs, suspicious_clusters, score (the pairs' share of `enough`, at most 1) and the dominant translation,
+    that of the first suspicious cluster, of translations()."""
+    marked = F.col("suspicious")
+    found = clusters.groupBy(key).agg(F.coalesce(F.sum(F.when(marked, F.col("n"))), F.lit(0)).alias("suspicious_pairs"), F.count_if(marked).alias("suspicious_clusters"), F.min_by(F.when(marked, F.struct("dx", "dy")), F.when(marked, F.col("place"))).alias("dominant"))
+    return found.select(key, "suspicious_pairs", "suspicious_clusters", F.least(F.lit(1.0), F.col("suspicious_pairs") / enough).alias("score"), F.col("dominant.dx").alias("dominant_dx"), F.col("dominant.dy").alias("dominant_dy"))
 
 
 def translations(pairs: DataFrame, key: str) -> DataFrame:

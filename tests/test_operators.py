@@ -99,6 +99,47 @@ def test_copy_move_finds_the_planted_translation(spark):
     assert len(best) == 1 and best[0].suspicious and best[0].n == 20 and abs(best[0].dx - 230) < 8 and abs(best[0].dy - 240) < 8
 
 
+def plain_pairs(words, x, y):
+    """One keypoint after the other, all distances."""
+    taken, found = set(), []
+    for a in range(len(words)):
+        distance = np.bitwise_count(words[a] ^ words).sum(axis=1)
+        for b in map(int, np.argsort(distance, kind="stable")[:5]):
+            pair, dx, dy = (min(a, b), max(a, b)), x[b] - x[a], y[b] - y[a]
+            if a == b or pair in taken or distance[b] > 55 or np.hypot(dx, dy) < 40:
+                continue
+            taken.add(pair)
+            found.append((a, b, int(distance[b]), *((-dx, -dy) if dx < 0 or (dx == 0 and dy < 0) else (dx, dy))))
+            break
+    return found
+
+
+def test_pairs_of_keypoints_like_a_plain_loop(spark):
+    """Images of several blocks, copies, equal distances and equal places."""
+    rng, rows, want = np.random.default_rng(12), [], []
+    for image, n in enumerate((300, 40, 3, 1)):
+        words = rng.integers(0, 2**63, (n, 4), dtype=np.uint64)
+        for _ in range(2 * n):
+            a, b = rng.integers(0, n, 2)
+            flips = np.zeros(4, np.uint64)
+            for bit in rng.integers(0, 256, rng.integers(0, 60)):
+                flips[bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+            words[b] = words[a] ^ flips
+        x, y = rng.integers(0, 120, n).astype(float), rng.integers(0, 120, n).astype(float)
+        rows += [(image, 2 * k, float(x[k]), float(y[k]), [int(v) for v in words[k].view(np.int64)]) for k in range(n)] + [(image, 999, None, 1.0, [1, 2, 3, 4])]
+        want += [(image, *p) for p in plain_pairs(words, x, y)]
+    points = spark.createDataFrame(rows, "image INT, kp BIGINT, x DOUBLE, y DOUBLE, words ARRAY<BIGINT>")
+    pairs = matching.pairs_of(matching.neighbours(points, "image", block=64), "image")
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want) and len(want) > 100
+    assert "Python" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_translations(spark):
+    clusters = spark.createDataFrame([("i", 12, 5.0, 6.0, True, 1), ("i", 11, 7.0, 8.0, True, 2), ("i", 30, 1.0, 1.0, False, 3), ("j", 12, 2.0, 3.0, True, 1), ("k", 5, 0.0, 1.0, False, 1)], "image STRING, n BIGINT, dx DOUBLE, dy DOUBLE, suspicious BOOLEAN, place INT")
+    found = {r.image: tuple(r)[1:] for r in matching.copy_move_scores(clusters, "image").collect()}
+    assert found == {"i": (23, 2, 1.0, 5.0, 6.0), "j": (12, 1, 0.6, 2.0, 3.0), "k": (0, 0, 0.0, None, None)}
+
+
 def test_validation_rows(spark):
     tree = {"activeManifest": {"success": [{"code": "a", "url": "u"}], "failure": [{"code": "b"}], "other": [{"code": "c", "success": False}, {"code": "d"}]}}
     docs = spark.createDataFrame([("f", json.dumps(tree)), ("g", "{"), ("h", None)], "file STRING, tree STRING")
