@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismspark.functions.dialect import render
 from prismspark.operators import checks, headers, images, matching, provenance, regions, reporting, training
+from prismspark.operators import protocol_rows as protocol
+from prismspark.plans.catalog import FUSION
 from prismspark.session import read_table, work_folder
 from prismspark.sources import incremental
 from prismspark.streaming import temporal
@@ -234,6 +237,41 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_ROWS = """SELECT event_id, concat('{"event_id":', event_id, ',"user_id":', user_id, ',"ratio":', CASE WHEN event_id % 4 = 0 THEN '"NaN"' ELSE (event_id / 4.0::DOUBLE)::VARCHAR END, ',"raw":"', lower(hex(encode(event_type))), '","flags":{"', user_id, '":[', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',null]},"day":"', ts::DATE::VARCHAR, '"}') AS json FROM events"""
 
 
+def protocol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations and evidence of every vector; what detectors would give comes from its label, as in the catalog."""
+    read_table(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
+    found = spark.sql(render(f"WITH {FUSION} SELECT * FROM fusion", "spark"))
+    named = lambda **flags: F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in flags.items()]))
+    kind = F.element_at(F.array(*map(F.lit, protocol.DETECTOR_FAMILIES)), (F.col("vec_id") % 3 + 1).cast("int"))
+    detector = F.struct(kind.alias("kind"), F.lit("m").alias("name"), F.col("ml_score").alias("score"), F.lit(None).cast("string").alias("label"), F.col("ml_validated").alias("validated"), F.col("ml_calibrated").alias("calibrated"))
+    files = found.select(
+        "vec_id", named(peaks="f_peaks", ratio="f_ratio", quadrant="f_quadrant").alias("spectral_flags"), named(face="face_flag").alias("face_flags"), named(context="context_flag").alias("context_flags"), F.col("marker_only").alias("marker"), "provenance_valid",
+        "noise_cv", "sensor_cv", "sensor_std", "high_low_ratio", F.col("f_resampling").alias("resampling"), F.when(F.col("ml_status") == "success", F.array(detector)).alias("detectors"),
+        named(face="face_flag", context="context_flag", noise="f_noise", sensor="f_sensor", provenance="provenance_valid").alias("families"), F.col("level").alias("convergence"),
+    )
+    rows = protocol.each_row(protocol.protocol_rows(files), "vec_id")
+    return rows.select("vec_id", "list", F.col("place").cast("long").alias("place"), "family", F.array_join("signals", ",").alias("signals"), F.round("score", 6).alias("score"), "validated")
+
+
+_FAMILIES = "array_to_string(list_filter([CASE WHEN face_flag THEN 'face' END, CASE WHEN context_flag THEN 'context' END, CASE WHEN f_noise THEN 'noise' END, CASE WHEN f_sensor THEN 'sensor' END, CASE WHEN provenance_valid THEN 'provenance' END], lambda x: x IS NOT NULL), ',')"
+_STAGES = [
+    ("f_peaks OR f_ratio OR f_quadrant", "'frequency'", "array_to_string(list_filter([CASE WHEN f_peaks THEN 'peaks' END, CASE WHEN f_ratio THEN 'ratio' END, CASE WHEN f_quadrant THEN 'quadrant' END], lambda x: x IS NOT NULL), ',')", "NULL", "NULL"),
+    ("face_flag", "'face_region'", "'face'", "NULL", "NULL"),
+    ("marker_only", "'content_provenance'", "'embedded_c2pa_manifest_marker'", "NULL", "provenance_valid"),
+    ("f_noise", "'noise_consistency'", "'high_local_residual_variability'", "NULL", "NULL"),
+    ("f_resampling", "'resampling'", "'short_lag_derivative_persistence'", "NULL", "NULL"),
+    ("f_texture", "'synthetic_texture'", "'low_high_frequency_ratio_with_low_sensor_residual'", "high_low_ratio", "NULL"),
+    ("f_sensor", "'sensor_residual'", "'high_local_residual_energy_variability'", "NULL", "NULL"),
+    ("context_flag", "'face_context'", "'context'", "NULL", "NULL"),
+    ("ml_status = 'success' AND NOT ml_validated AND ml_score >= 0.5", "['handcrafted_ml_detector', 'deep_detector', 'autogan_spectral_detector'][vec_id % 3 + 1]", "NULL", "ml_score", "false"),
+    (f"{_FAMILIES} <> ''", "'cross_family_convergence'", f"level || ',' || {_FAMILIES}", "NULL", "NULL"),
+    ("ml_status = 'success' AND ml_validated", "['handcrafted_ml_detector', 'deep_detector', 'autogan_spectral_detector'][vec_id % 3 + 1]", "NULL", "ml_score", "true"),
+]
+PROTOCOL_ROWS = f"""WITH {render(FUSION, "duckdb")},
+rows_ AS ({" UNION ALL ".join(f"SELECT vec_id, '{'evidence' if k == len(_STAGES) - 1 else 'observation'}' AS list, {k} AS stage, {family} AS family, {signals} AS signals, {score}::DOUBLE AS score, {validated}::BOOLEAN AS validated FROM fusion WHERE {rule}" for k, (rule, family, signals, score, validated) in enumerate(_STAGES))})
+SELECT vec_id, list, row_number() OVER (PARTITION BY vec_id, list ORDER BY stage) - 1 AS place, family, signals, round(score, 6) AS score, validated FROM rows_"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with shape features; quality 0 is class 1, the source is the generator. The features are
     written once, so that fits and scores do not read the texts again."""
@@ -304,6 +342,7 @@ APPLIED = {
     "incremental_pages": ("G16", incremental_pages),
     "short_results": ("L5", short_results),
     "cross_checks": ("2.12", cross_checks),
+    "protocol_rows": ("J5", protocol_rows),
     "json_rows": ("B9", json_rows),
     "image_headers": ("A6", image_headers),
     "candidate_benchmark": ("K4 K5 K7 K12", candidate_benchmark),
@@ -314,4 +353,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "json_rows": JSON_ROWS, "image_headers": IMAGE_HEADERS}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "protocol_rows": PROTOCOL_ROWS, "json_rows": JSON_ROWS, "image_headers": IMAGE_HEADERS}
