@@ -130,6 +130,22 @@ def fit(rows: DataFrame, features: list[str], name: str, key: str, trees: int =
         ready.unpersist()
 
 
+def stratified(rows: DataFrame, key: str, folds: int) -> DataFrame:
+    """rows with `stratum_fold`: each class is dealt out over the folds one by one in the order of a hash of the key, so that
+    folds differ by one row of a class at most.
+
+    The numbers of a class come in two steps, in parts by hash and by the sizes of the parts before, so that no task orders
+    a whole class.
+    """
+    parts = 1024
+    hashed = rows.withColumn("order_", F.xxhash64(F.col(key), F.lit(SEED))).withColumn("part_", F.pmod("order_", F.lit(parts)))
+    sizes = hashed.groupBy("label", "part_").agg(F.count("*").alias("size_"))
+    before = sizes.withColumn("before_", F.sum("size_").over(Window.partitionBy("label").orderBy("part_")) - F.col("size_")).drop("size_")
+    numbered = hashed.withColumn("place_", F.row_number().over(Window.partitionBy("label", "part_").orderBy("order_", key)) - 1)
+    placed = numbered.join(F.broadcast(before), ["label", "part_"])
+    return placed.withColumn("stratum_fold", ((F.col("place_") + F.col("before_")) % folds).cast("int")).select(*rows.columns, "stratum_fold")
+
+
 def fold_of(key: str, folds: int):
     """Fold by a hash of the key: the same on every run, without a sort."""
     return F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(folds)).cast("int")
@@ -186,9 +202,10 @@ def select(rows: DataFrame, features: list[str], key: str, names: tuple[str, ...
             folds = min(5, *class_counts(train, "training set").values())
             if folds < 2:
                 raise ValueError("selection needs 2 rows of each class")
-            place = fold_of(key, folds)
-            parts = [fit(train.filter(place != k), features, name, key, trees).score(train.filter(place == k)) for k in range(folds)]
+            dealt = stratified(train, key, folds).persist()
+            parts = [fit(dealt.filter(F.col("stratum_fold") != k), features, name, key, trees).score(dealt.filter(F.col("stratum_fold") == k)) for k in range(folds)]
             marks[name] = balanced_accuracy(reduce(DataFrame.unionByName, [p.select("label", "score") for p in parts]))
+            dealt.unpersist()
     return max(marks, key=marks.get), marks, models
 
 

@@ -184,6 +184,17 @@ def labelled(spark):
     return spark.createDataFrame(rows, "id BIGINT, label INT, split STRING, generator STRING, a DOUBLE, b DOUBLE").coalesce(2)
 
 
+def test_folds_hold_as_many_rows_of_a_class(spark):
+    rows = spark.range(5003).selectExpr("id", "CAST(id % 10 = 0 AS INT) AS label", "'x' AS order")
+    found = training.stratified(rows, "id", 5).groupBy("label", "stratum_fold").count().collect()
+    assert {(r.label, r.stratum_fold) for r in found} == {(v, k) for v in (0, 1) for k in range(5)}
+    for v, n in ((1, 501), (0, 4502)):
+        sizes = [r["count"] for r in found if r.label == v]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+    again = training.stratified(rows.repartition(7), "id", 5)
+    assert again.exceptAll(training.stratified(rows, "id", 5)).count() == 0 and again.columns == ["id", "label", "order", "stratum_fold"]
+
+
 def test_candidates_learn(labelled):
     found = training.benchmark(labelled, ["a", "b"], "id", trees=10).collect()
     assert {r.model for r in found} == set(training.NAMES) and sum(r.chosen for r in found) == 1
