@@ -55,7 +55,7 @@ def dct_periodicity(levels: Column, height: Column, width: Column) -> Column:
 
     def histogram(q: Column) -> Column:
         n = F.size(q)
-        low, high = (percentile(q, p).cast("bigint") for p in (0.02, 0.98))
+        low, high = (F.round(percentile(q, p), 6).cast("bigint") for p in (0.02, 0.98))
 
         def scored(span: Column) -> Column:
             # The last bin holds its upper edge as well.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismspark.operators.planes import let
 from prismspark.session import work_folder
 
 # Keys that give the statuses below them a kind.
@@ -37,27 +38,33 @@ def parts_of(part: Column) -> Column:
     """A part as the array of parts that takes its place: itself if it is a status; the one status that an object with a code
     is; else what the values of an object or the items of a list become, those that are no objects or lists left out."""
     node, scope, kind = part["node"], part["scope"], part["kind"]
-    texts = F.map_entries(F.from_json(node, "map<string,string>"))
-    types = F.transform(F.map_values(F.from_json(node, "map<string,variant>")), F.schema_of_variant)
-    members = F.transform(texts, lambda e, i: F.struct(e["key"].alias("name"), e["value"].alias("text"), F.get(types, i).alias("type")))
-    # Of a name that repeats the last value counts.
-    last = lambda name: F.try_element_at(F.filter(members, lambda m: m["name"] == name), F.lit(-1))
-    text_of = lambda name: python_text(last(name)["text"], last(name)["type"])
-    flag = F.when(last("success")["type"] == "BOOLEAN", last("success")["text"] == "true")
-    leaf = F.struct(
-        F.lit(None).cast("string").alias("node"), scope.alias("scope"), F.coalesce(kind, F.when(flag, "success").when(~flag, "failure"), F.lit("status")).alias("kind"), text_of("code").alias("code"), flag.alias("success"),
-        *(F.when(last(name)["type"] != "VOID", text_of(name)).alias(name) for name in ("explanation", "url")),
-    )
     none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "string"), ("success", "boolean"), ("explanation", "string"), ("url", "string"))]
     is_tree = lambda t: t.startswith("OBJECT") | t.startswith("ARRAY")
     below = lambda name: F.when(scope == "root", name).otherwise(F.concat(scope, F.lit("."), name))
-    members_below = F.transform(F.filter(members, lambda m: is_tree(m["type"])), lambda m: F.struct(m["text"].alias("node"), below(m["name"]).alias("scope"), kind_of(m["name"], kind).alias("kind"), *none))
-    item_types = F.transform(F.from_json(node, "array<variant>"), F.schema_of_variant)
-    items = F.filter(F.from_json(node, "array<string>"), lambda t, i: is_tree(F.get(item_types, i)))
-    items_below = F.transform(items, lambda t: F.struct(t.alias("node"), scope.alias("scope"), kind.alias("kind"), *none))
     nothing = F.array().cast(f"array<{PART}>")
-    walked = F.when(F.substring(node, 1, 1) == "[", F.coalesce(items_below, nothing)).when(F.exists(members, lambda m: m["name"] == "code"), F.array(leaf)).otherwise(F.coalesce(members_below, nothing))
-    return F.when(node.isNull(), F.array(part)).otherwise(walked)
+    types = lambda values: F.transform(values, F.schema_of_variant)
+
+    def of_object(members: Column) -> Column:
+        # Of a name that repeats the last value counts.
+        last = lambda name: F.try_element_at(F.filter(members, lambda m: m["name"] == name), F.lit(-1))
+        text_of = lambda m: python_text(m["text"], m["type"])
+
+        def status(own: Column) -> Column:
+            flag = F.when(own["success"]["type"] == "BOOLEAN", own["success"]["text"] == "true")
+            told = F.coalesce(kind, F.when(flag, "success").when(~flag, "failure"), F.lit("status"))
+            others = (F.when(own[n]["type"] != "VOID", text_of(own[n])).alias(n) for n in ("explanation", "url"))
+            return F.array(F.struct(F.lit(None).cast("string").alias("node"), scope.alias("scope"), told.alias("kind"), text_of(own["code"]).alias("code"), flag.alias("success"), *others))
+
+        further = F.transform(F.filter(members, lambda m: is_tree(m["type"])), lambda m: F.struct(m["text"].alias("node"), below(m["name"]).alias("scope"), kind_of(m["name"], kind).alias("kind"), *none))
+        return F.when(F.exists(members, lambda m: m["name"] == "code"), let(F.struct(*[last(n).alias(n) for n in ("code", "success", "explanation", "url")]), status)).otherwise(further)
+
+    zipped = F.arrays_zip(F.map_entries(F.from_json(node, "map<string,string>")).alias("e"), types(F.map_values(F.from_json(node, "map<string,variant>"))).alias("type"))
+    members = F.transform(zipped, lambda z: F.struct(z["e"]["key"].alias("name"), z["e"]["value"].alias("text"), z["type"].alias("type")))
+    items = F.filter(F.arrays_zip(F.from_json(node, "array<string>").alias("text"), types(F.from_json(node, "array<variant>")).alias("type")), lambda z: is_tree(z["type"]))
+    of_list = F.transform(items, lambda z: F.struct(z["text"].alias("node"), scope.alias("scope"), kind.alias("kind"), *none))
+    # Members and items are read once: a list of one binds them.
+    walked = F.when(F.substring(node, 1, 1) == "[", of_list).otherwise(let(members, of_object))
+    return F.when(node.isNull(), F.array(part)).otherwise(F.coalesce(walked, nothing))
 
 
 def validation_rows(documents: DataFrame, column: str, key: str) -> DataFrame:

@@ -73,7 +73,7 @@ x{level} AS (SELECT page_id, y, x, h, w, (a + b + c + d) * 0.5 AS v FROM q{level
 ORACLES = {
     "page_dct_periodicity": f"""WITH {_PX},
 q AS (SELECT page_id, round_even(round(sum((v - 128) * 0.25 * cos((2 * (y % 8) + 1) * pi() / 16) * cos((2 * (x % 8) + 1) * pi() / 8)), 6), 0)::BIGINT AS q FROM px WHERE y < h - h % 8 GROUP BY page_id, y // 8, x // 8),
-r AS (SELECT page_id, count(*) AS n, trunc(quantile_cont(q, 0.02))::BIGINT AS lo, trunc(quantile_cont(q, 0.98))::BIGINT AS hi FROM q GROUP BY page_id),
+r AS (SELECT page_id, count(*) AS n, trunc(round(quantile_cont(q, 0.02), 6))::BIGINT AS lo, trunc(round(quantile_cont(q, 0.98), 6))::BIGINT AS hi FROM q GROUP BY page_id),
 bins AS (SELECT page_id, lo, hi, unnest(range(lo, hi + 1)) AS b FROM r WHERE n >= 10),
 hist AS (SELECT bins.page_id, b, count(q.q) AS n FROM bins LEFT JOIN q ON q.page_id = bins.page_id AND (q.q = b OR (b = hi AND q.q = b + 1)) GROUP BY bins.page_id, b),
 steps AS (SELECT page_id, n, abs(n - lag(n) OVER (PARTITION BY page_id ORDER BY b)) AS d FROM hist),

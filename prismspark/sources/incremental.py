@@ -58,7 +58,7 @@ def changed(listed: DataFrame, kept: DataFrame | None) -> DataFrame:
 
 def append(measured: DataFrame, store: str) -> str:
     """Add rows (path, modified, length and measures) as a run; gives its name."""
-    run = uuid.uuid4().hex
+    run = f"r{uuid.uuid4().hex}"  # no partition value that reads as a number
     measured.withColumn("stored_at", F.current_timestamp()).write.parquet(f"{store}/run={run}")
     return run
 
