@@ -95,8 +95,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def labelled(found: DataFrame, key: str) -> DataFrame:
     """runs() with label: the smallest start of the runs that are joined with it by touching ones, corners included.
 
-    Each round gives a run the smallest label of its neighbours, and then the label of the run that it names; it ends when
-    nothing changes.
+    Each round gives a run the smallest of its label, its neighbours' labels and the label of the run that it names, in one
+    job; it ends when nothing changes.
     """
     found = written(found, "runs")
     one, two = found.select(key, F.col("start").alias("a"), F.col("y").alias("y_a"), F.col("x").alias("x_a"), F.col("last_x").alias("last_a")), found.select(key, F.col("start").alias("b"), (F.col("y") - 1).alias("y_a"), F.col("x").alias("x_b"), F.col("last_x").alias("last_b"))
@@ -105,12 +105,12 @@ def labelled(found: DataFrame, key: str) -> DataFrame:
     labels = found.select(key, F.col("start").alias("b"), F.col("start").alias("label"))
     while True:
         near = links.join(labels, [key, "b"]).groupBy(key, F.col("a").alias("b")).agg(F.min("label").alias("near"))
-        least = written(labels.join(near, [key, "b"], "left").select(key, "b", F.least("label", "near").alias("next"), F.col("label").alias("before")), "labels")
-        named = least.select(key, F.col("b").alias("next"), F.col("next").alias("further"))
-        moved = written(least.join(named, [key, "next"], "left").select(key, "b", F.least("next", "further").alias("label"), "before"), "labels")
-        labels = moved.select(key, "b", "label")
-        if moved.filter("label < before").isEmpty():
-            return found.join(labels.withColumnRenamed("b", "start"), [key, "start"])
+        named = labels.select(key, F.col("b").alias("label"), F.col("label").alias("further"))
+        joined = labels.join(near, [key, "b"], "left").join(named, [key, "label"], "left")
+        labels = written(joined.select(key, "b", F.least("label", "near", "further").alias("label"), F.col("label").alias("before")), "labels")
+        if labels.filter("label < before").isEmpty():
+            return found.join(labels.select(key, F.col("b").alias("start"), "label"), [key, "start"])
+        labels = labels.drop("before")
 
 
 def regions(labelled_runs: DataFrame, key: str, *, least_area: int = T.COMPONENT_AREA) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismspark.functions.dialect import render
-from prismspark.operators import checks, headers, images, matching, provenance, regions, reporting, training
+from prismspark.operators import checks, headers, images, matching, planes, provenance, regions, reporting, training
 from prismspark.operators import protocol_rows as protocol
 from prismspark.plans.catalog import FUSION
 from prismspark.session import read_table, work_folder
@@ -52,14 +52,14 @@ def tiled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = read_table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").withColumn("grey", grey).select(F.floor(F.col("vec_id") / 16).alias("img"), F.struct((F.col("vec_id") % 16).cast("int").alias("tile"), "grey", turned.alias("turned")).alias("tile"))
     images = tiles.groupBy("img").agg(F.array_sort(F.collect_list("tile")).alias("tiles"))
 
-    def laid(side: str) -> F.Column:
-        grid = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.get(F.filter("tiles", lambda s: s["tile"] == t), F.lit(0))[side])
-        return grid
-
-    images = images.select("img", laid("grey").alias("grey"), laid("turned").alias("turned"))
     place = lambda p: (F.floor(p / 256) * 4 + F.floor(p % 32 / 8)).cast("int")
     inside = lambda p: (F.floor(p / 32) % 8 * 8 + p % 8).cast("int")
-    pixels = lambda grid: F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda p: F.coalesce(F.get(F.get(F.col(grid), place(p)), inside(p)), F.lit(0)).cast("double"))
+
+    def pixels(side: str) -> F.Column:
+        """Tiles in the order of their numbers, bound once, and each pixel from its tile."""
+        grid = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.get(F.filter("tiles", lambda s: s["tile"] == t), F.lit(0))[side])
+        return planes.let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda p: F.coalesce(F.get(F.get(g, place(p)), inside(p)), F.lit(0)).cast("double")))
+
     lower = F.col("img") % 17 == 3
     rows = images.select("img", pixels("grey").alias("pixels"), pixels("turned").alias("other"))
     sides = [F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("channels"), F.when(lower, 24).otherwise(32).alias("reference_height"), F.lit(32).alias("reference_width"), F.lit(1).alias("reference_channels")]
@@ -133,8 +133,9 @@ TREE = """concat('{"activeManifest":{"failures":[{"code":"f.', event_type, '","s
 
 
 def validation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statuses of every event's tree, in document order."""
-    trees = read_table(spark, sf_dir, "events").select("event_id", F.expr(TREE.replace("{text}", "STRING").replace("\\", "\\\\")).alias("tree"))
+    """The statuses of every event's tree, in document order. Few bytes of events are much work, so rows are dealt out first."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").repartition("event_id")
+    trees = events.select("event_id", F.expr(TREE.replace("{text}", "STRING").replace("\\", "\\\\")).alias("tree"))
     return provenance.validation_rows(trees, "tree", "event_id").withColumn("place", F.col("place").cast("long"))
 
 
