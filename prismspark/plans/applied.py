@@ -134,7 +134,7 @@ TREE = """concat('{"activeManifest":{"failures":[{"code":"f.', event_type, '","s
 
 def validation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statuses of every event's tree, in document order. Few bytes of events are much work, so rows are dealt out first."""
-    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").repartition("event_id")
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     trees = events.select("event_id", F.expr(TREE.replace("{text}", "STRING").replace("\\", "\\\\")).alias("tree"))
     return provenance.validation_rows(trees, "tree", "event_id").withColumn("place", F.col("place").cast("long"))
 
