@@ -127,6 +127,11 @@ def validation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.validation_rows(read_table(spark, sf_dir, "events").select("event_id", tree.alias("tree")), "tree", "event_id")
 
 
+VALIDATION_FLATTEN = """WITH r AS (SELECT event_id, event_type, 'code.' || (props->>'$.k') AS code, value > 0 AS ok FROM events)
+SELECT event_id, 0::INTEGER AS place, 'activeManifest.' || kind AS scope, kind, code, ok AS success, NULL::VARCHAR AS explanation, NULL::VARCHAR AS url FROM (SELECT *, CASE event_type WHEN 'click' THEN 'failure' WHEN 'purchase' THEN 'success' END AS kind FROM r) k WHERE kind IS NOT NULL
+UNION ALL SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END::INTEGER, 'activeManifest.other', CASE WHEN ok THEN 'success' WHEN NOT ok THEN 'failure' ELSE 'status' END, code, ok, NULL, NULL FROM r"""
+
+
 #: A tree per event in text that both engines put together: nested lists, inherited kinds, a status inside a status, text that
 #: looks like one, nulls, a key named root; every seventh is cut off.
 TREE = """concat('{"activeManifest":{"failures":[{"code":"f.', event_type, '","success":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"url":"u', CAST(event_id AS {text}), '"},{"no":1}],"info":{"deep":[[{"code":', CAST(event_id AS {text}), '}],"text",null,{"Warnings":{"code":null,"success":false}}]}},"a":{"code":"', event_type, '","explanation":"by ', CAST(user_id AS {text}), '","success":true,"inner":{"code":1}},"text":"{\\"code\\":1}","other":[{"code":"o","success":', CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '"no"' END, '}],"root":{"x":{"code":true}}', CASE WHEN event_id % 7 = 0 THEN '' ELSE '}' END)"""
@@ -354,4 +359,4 @@ APPLIED = {
 }
 
 #: The checking engine's SQL of queries whose own form is no SQL text.
-ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "protocol_rows": PROTOCOL_ROWS, "json_rows": JSON_ROWS, "image_headers": IMAGE_HEADERS}
+ORACLES = {"reference_regions": REFERENCE_REGIONS, "validation_flatten": VALIDATION_FLATTEN, "validation_tree": VALIDATION_TREE, "incremental_pages": INCREMENTAL_PAGES, "sequence_alignment": SEQUENCE_ALIGNMENT, "short_results": SHORT_RESULTS, "cross_checks": CROSS_CHECKS, "protocol_rows": PROTOCOL_ROWS, "json_rows": JSON_ROWS, "image_headers": IMAGE_HEADERS}
