@@ -1,6 +1,6 @@
 """Measures of decoded images: one Arrow map over (path, height, width, channels, pixels), no shuffle.
 
-Images flow through in batches; a task holds one batch. Rows with null, empty or inconsistent pixels give status
+Images flow through in batches; a task holds one batch and the measures of 256 images. Rows with null, empty or inconsistent pixels give status
 `unreadable` and null measures.
 """
 
@@ -27,7 +27,9 @@ COLOUR = {
     "lsb": pixels.lsb_screen,
     "features": pixels.feature_bank,
 }
-BATCH = 16
+#: Images whose measures are handed on together, and the bytes that a worker frees once, so that its C library keeps what kernels
+#: free for the next image; else pages go back to the system and are faulted in again with every temporary array.
+BATCH, KEPT_BYTES = 256, 28 << 20
 #: What a kernel may raise on a single odd image without ending the job.
 FAILURES = (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError)
 
@@ -62,6 +64,7 @@ def measure(images: DataFrame, groups: list[str], key: str = "path") -> DataFram
     columns = [key, "status", "error"] + [f"{g}_{n}" for g in groups for n in names[g]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        np.empty(KEPT_BYTES, np.uint8)
         for batch in batches:
             for start in range(0, len(batch), BATCH):
                 rows = []

@@ -26,8 +26,9 @@ def vector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per vector; few images fill a task, as each costs about a tenth of a second."""
-    return images.measure(vector_images(spark, sf_dir).repartition(64, "vec_id"), ["features"], "vec_id")
+    """One row per vector. Few bytes of vectors are much work, so images are dealt out first."""
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return images.measure(vector_images(spark, sf_dir).repartition(parts, "vec_id"), ["features"], "vec_id")
 
 
 def image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,26 @@ def test_quantisation_tables_are_read():
 
 def test_chi2_survival():
     assert pixels.chi2_survival(3.841458820694124) == pytest.approx(0.05)
+
+
+def test_few_lines_stand_for_an_enlarged_image():
+    """Texture counted on the lines that differ, against the whole image; equal channels have one spectrum."""
+    rng = np.random.default_rng(8)
+    for shape in ((8, 8), (1, 9), (100, 64), (300, 17)):
+        gray = rng.integers(0, 256, shape).astype(float)
+        whole = np.rint(pixels.resize(gray, 256, 256))
+        few, _, counts = pixels.shrunk(gray, 256, 256)
+        by_cell, *kept = pixels.shrunk(gray, 256, 16)
+        assert all(n.sum() == 256 for n in counts + kept[1]) and (shape != (8, 8) or (few.size, by_cell.size) == (32 * 32, 64 * 64))
+        level = lambda plane: np.clip(plane / 16, 0, 15).astype(int)
+        for mine, plain in ((pixels.cooccurrence(level(few), counts=counts), pixels.cooccurrence(level(whole))), (pixels.uniform_patterns(few, counts), pixels.uniform_patterns(whole)), (pixels.gradient_blocks(by_cell, kept=kept), pixels.gradient_blocks(whole))):
+            assert mine.keys() == plain.keys() and np.allclose(list(mine.values()), list(plain.values()), rtol=1e-12, atol=1e-12)
+    grey = rng.integers(0, 256, (8, 8, 1), np.uint8).repeat(3, axis=2)
+    tensor = pixels.upsampling_tensor(grey)
+    assert tensor.shape == (3, 224, 224) and tensor.strides[0] == 0
+    plane = np.rint(pixels.resize(grey[:, :, 0].astype(float), 256, 256, pixels.cubic_weights))[16:240, 16:240] / 255
+    log = np.log(np.abs(np.fft.fft2(plane)) + 1e-3)
+    low, high = np.percentile(log, [5, 95])
+    assert np.allclose(tensor[0], np.clip((log - low) / (high - low) * 2 - 1, -1, 1))
+    values = rng.normal(size=1001)
+    assert all(np.isclose(pixels.quantile(values, p), np.percentile(values, p)) for p in (0, 5, 33.3, 95, 100))
