@@ -1,51 +1,105 @@
-"""Image rules over pages: the code points of a page's html, modulo 256, as an image of 32 columns. Each query is one scan and
-one projection; the checking engine states the same by joins of pixels."""
+"""Image rules over pages: the code points of a page's html, modulo 256, as an image of 32 columns. Each query deals the pages
+out and measures them in one Arrow map; the checking engine states the same by joins of pixels. The rules as expressions inside
+a row are in `prismspark.operators.planes`; on whole pages those take some fifty times the time of array kernels."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.operators import planes
-from prismspark.session import read_table
+from prismspark.functions import pixels
+from prismspark.session import read_table, ship
 
 WIDTH = 32
 
 
-def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, height, width, levels; what does not fill a row is left out, and null pages are images without rows."""
-    html = F.coalesce("html", F.lit(""))
-    height = F.floor(F.length(html) / WIDTH).cast("int")
-    levels = F.transform(F.slice(F.split(html, ""), 1, height * WIDTH), lambda c: (F.ascii(c) % 256).cast("double"))
-    return read_table(spark, sf_dir, "pages").select("page_id", height.alias("height"), F.lit(WIDTH).alias("width"), levels.alias("levels"))
+def page_image(html: str | None) -> np.ndarray:
+    """Rows of 32 levels; what does not fill a row is left out, and null pages are images without rows."""
+    codes = np.frombuffer((html or "").encode("utf-32-le"), "<u4")
+    height = codes.size // WIDTH
+    return (codes[: height * WIDTH] % 256).astype(np.int64).reshape(height, WIDTH)
+
+
+def measured(spark: SparkSession, sf_dir: str, schema: str, kernel: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """page_id and what kernel gives for the image of each page. A file of pages may be one row group and so one task, and
+    measuring costs more than moving a page, so pages are dealt out first."""
+    ship(spark)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [{"LONG": pa.int64(), "DOUBLE": pa.float64(), "STRING": pa.string()}[part.split()[1]] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [kernel(page_image(html.as_py())) for html in batch.column(1)]
+            columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["page_id", *names])
+
+    return pages.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {schema}")
 
 
-def rounded(names: list[str], of: str) -> list[F.Column]:
-    return [F.round(F.col(f"{of}.{n}"), 9).alias(n) for n in names]
+def rounded(names: list[str]) -> list[F.Column]:
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+def periodicity_row(image: np.ndarray) -> tuple:
+    found = pixels.dct_periodicity(image, 6)
+    counted = found["dct_bins"] >= 5
+    return int(found["dct_blocks"]), found["dct_score"], found["dct_zero_fraction"] if counted else None
 
 
 def page_dct_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_images(spark, sf_dir).select("page_id", planes.dct_periodicity(F.col("levels"), F.col("height"), F.col("width")).alias("r"))
-    return found.select("page_id", F.col("r.n_blocks").cast("long").alias("n_blocks"), *rounded(["score", "zero_bin_fraction"], "r"))
+    found = measured(spark, sf_dir, "n_blocks LONG, score DOUBLE, zero_bin_fraction DOUBLE", periodicity_row)
+    return found.select("page_id", "n_blocks", *rounded(["score", "zero_bin_fraction"]))
+
+
+HAAR = [f"l{k}_{n}" for k in (1, 2, 3) for n in ("lh", "hl", "hh", "hf_total")]
+
+
+def haar_row(image: np.ndarray) -> tuple:
+    found = list(pixels.haar_energies(image.astype(float)).values())
+    # Levels under four pixels a side have none.
+    levels = sum(min(image.shape) >> k >= 4 for k in range(3))
+    return tuple(found[: 4 * levels] + [None] * (12 - 4 * levels))
 
 
 def page_haar_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_images(spark, sf_dir).select("page_id", planes.haar_energies(F.col("levels"), F.col("height"), F.col("width")).alias("r"))
-    return found.select("page_id", *(F.round(F.get("r", F.lit(k))[n], 9).alias(f"l{k + 1}_{n}") for k in range(3) for n in ("lh", "hl", "hh", "hf_total")))
+    found = measured(spark, sf_dir, ", ".join(f"{n} DOUBLE" for n in HAAR), haar_row)
+    return found.select("page_id", *rounded(HAAR))
+
+
+GLCM = ["contrast", "dissimilarity", "homogeneity", "energy", "correlation"]
+
+
+def glcm_row(image: np.ndarray) -> tuple:
+    """Null where a step finds no pair."""
+    return tuple(pixels.cooccurrence(image // 16).values()) if image.shape[0] >= 3 else (None,) * 5
 
 
 def page_glcm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_images(spark, sf_dir).select("page_id", planes.glcm(F.col("levels"), F.col("height"), F.col("width")).alias("r"))
-    return found.select("page_id", *rounded(["contrast", "dissimilarity", "homogeneity", "energy", "correlation"], "r"))
+    found = measured(spark, sf_dir, ", ".join(f"{n} DOUBLE" for n in GLCM), glcm_row)
+    return found.select("page_id", *rounded(GLCM))
+
+
+def hash_row(image: np.ndarray) -> tuple:
+    """Null under 32 rows, where the image would have to be made larger."""
+    return (pixels.dct_hash(image.astype(float), 6) if image.shape[0] >= 32 else None,)
 
 
 def page_dct_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_images(spark, sf_dir).select("page_id", planes.dct_hash(F.col("levels"), F.col("height"), F.col("width")).alias("dct_hash"))
+    return measured(spark, sf_dir, "dct_hash STRING", hash_row)
+
+
+def peak_row(image: np.ndarray) -> tuple:
+    return pixels.replication_peak(image.mean(axis=1), 9) if len(image) else (0.0, 0)
 
 
 def page_profile_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_images(spark, sf_dir).select("page_id", planes.profile_peak(planes.row_means(F.col("levels"), F.col("height"), F.col("width"))).alias("r"))
-    return found.select("page_id", F.round("r.peak", 6).alias("peak"), F.col("r.lag").cast("long").alias("lag"))
+    found = measured(spark, sf_dir, "peak DOUBLE, lag LONG", peak_row)
+    return found.select("page_id", F.round("peak", 6).alias("peak"), "lag")
 
 
 #: name: (operators of the survey it covers, query).

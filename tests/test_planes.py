@@ -107,3 +107,40 @@ def test_rules_like_numpy(spark):
             peak = (window.max(), start + int(window.argmax()))
         assert np.isclose(r.peak.peak, peak[0]) and r.peak.lag == peak[1]
     assert found[100].dct.n_blocks == 0 and found[100].glcm is None and found[100].hash is None and found[100].peak.lag == 0
+
+
+def odd_pages(spark, folder):
+    """One file of one row group with pages that are null, short, of one level, with code points over a byte, and long."""
+    rng = np.random.default_rng(3)
+    text = lambda n, low=32, high=127: "".join(chr(c) for c in rng.integers(low, high, n))
+    html = [None, "", "x" * 31, "x" * 32, text(64), text(95), text(96), "a" * 4000, text(1023), text(1024), text(1060), "é\U0001f600ß" * 700, text(5000, 0x4E00, 0x9FFF), ("ab" * 16 + "yz" * 16) * 40, text(40000), "\n".join(text(50) for _ in range(300))]
+    spark.createDataFrame(list(enumerate(html)), "page_id BIGINT, html STRING").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    levels = [[ord(c) % 256 for c in (h or "")[: len(h or "") // 32 * 32]] for h in html]
+    return spark.createDataFrame([(k, len(v) // 32, 32, [float(x) for x in v]) for k, v in enumerate(levels)], SCHEMA)
+
+
+def test_pages_like_the_rules_in_a_row(spark, tmp_path):
+    from prismspark.plans import page_planes
+
+    rows = odd_pages(spark, str(tmp_path))
+    args = (rows.levels, rows.height, rows.width)
+    found = rows.select("key", planes.dct_periodicity(*args).alias("dct"), planes.haar_energies(*args).alias("haar"), planes.glcm(*args).alias("glcm"), planes.dct_hash(*args).alias("hash"), planes.profile_peak(planes.row_means(*args)).alias("peak"))
+    levels = lambda r: [list(x) if x else [None] * 4 for x in r.haar] if r.haar else [[None] * 4] * 3
+    want = {
+        "page_glcm": lambda r: list(r.glcm) if r.glcm else [None] * 5,
+        "page_dct_hash": lambda r: [r.hash],
+        "page_dct_periodicity": lambda r: [r.dct.n_blocks, r.dct.score, r.dct.zero_bin_fraction],
+        "page_haar_levels": lambda r: sum(levels(r), []),
+        "page_profile_peak": lambda r: [r.peak.peak, r.peak.lag],
+    }
+    found = found.collect()
+    for name, of in want.items():
+        query = page_planes.PLANES[name][1](spark, str(tmp_path))
+        # Pages of one row group are many tasks' work, without a text split into characters.
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "hashpartitioning(page_id" in plan and "split(" not in plan
+        mine = {r.page_id: list(r)[1:] for r in query.collect()}
+        assert len(mine) == len(found)
+        for r in found:
+            for a, b in zip(mine[r.key], of(r), strict=True):
+                assert a == b or (isinstance(b, float) and abs(a - b) < 1e-6), (name, r.key, a, b)
