@@ -92,6 +92,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that goes by a shuffle: runs are few bytes on disk, for which Spark would send every table of every round
+    through the driver to all executors."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def labelled(found: DataFrame, key: str) -> DataFrame:
     """runs() with label: the smallest start of the runs that are joined with it by touching ones, corners included.
 
@@ -100,16 +106,16 @@ def labelled(found: DataFrame, key: str) -> DataFrame:
     """
     found = written(found, "runs")
     one, two = found.select(key, F.col("start").alias("a"), F.col("y").alias("y_a"), F.col("x").alias("x_a"), F.col("last_x").alias("last_a")), found.select(key, F.col("start").alias("b"), (F.col("y") - 1).alias("y_a"), F.col("x").alias("x_b"), F.col("last_x").alias("last_b"))
-    down = one.join(two, [key, "y_a"]).filter("x_b <= last_a + 1 AND x_a <= last_b + 1").select(key, "a", "b")
+    down = joined(one, two, [key, "y_a"]).filter("x_b <= last_a + 1 AND x_a <= last_b + 1").select(key, "a", "b")
     links = written(down.unionByName(down.select(key, F.col("b").alias("a"), F.col("a").alias("b"))), "touching")
     labels = found.select(key, F.col("start").alias("b"), F.col("start").alias("label"))
     while True:
-        near = links.join(labels, [key, "b"]).groupBy(key, F.col("a").alias("b")).agg(F.min("label").alias("near"))
+        near = joined(links, labels, [key, "b"]).groupBy(key, F.col("a").alias("b")).agg(F.min("label").alias("near"))
         named = labels.select(key, F.col("b").alias("label"), F.col("label").alias("further"))
-        joined = labels.join(near, [key, "b"], "left").join(named, [key, "label"], "left")
-        labels = written(joined.select(key, "b", F.least("label", "near", "further").alias("label"), F.col("label").alias("before")), "labels")
+        whole = joined(joined(labels, near, [key, "b"], "left"), named, [key, "label"], "left")
+        labels = written(whole.select(key, "b", F.least("label", "near", "further").alias("label"), F.col("label").alias("before")), "labels")
         if labels.filter("label < before").isEmpty():
-            return found.join(labels.select(key, F.col("b").alias("start"), "label"), [key, "start"])
+            return joined(found, labels.select(key, F.col("b").alias("start"), "label"), [key, "start"])
         labels = labels.drop("before")
 
 
@@ -128,5 +134,5 @@ def differences(pairs: DataFrame, key: str, **rule) -> DataFrame:
     found = regions(labelled(runs(masked, key), key), key)
     listed = found.groupBy(key).agg(F.count("*").alias("component_count"), F.array_sort(F.collect_list(F.when(F.col("place") <= LISTED, F.struct(*columns)))).alias("components"))
     changed = F.when(F.col("status") == "success", F.size(F.filter("mask", lambda v: v)) / F.size("mask"))
-    out = masked.select(key, "status", "median", "mad", "threshold", changed.alias("changed_fraction")).join(listed, key, "left")
+    out = joined(masked.select(key, "status", "median", "mad", "threshold", changed.alias("changed_fraction")), listed, [key], "left")
     return out.withColumn("component_count", F.when(F.col("status") == "success", F.coalesce("component_count", F.lit(0))))

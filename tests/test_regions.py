@@ -99,3 +99,26 @@ def test_at_most_twenty_are_listed_and_long_shapes_are_one(spark):
 def test_bytes(spark):
     df = spark.createDataFrame([(bytearray([0, 127, 128, 255]),), (bytearray(b""),), (None,)], "b binary")
     assert [r[0] for r in df.select(regions.from_bytes(df.b)).collect()] == [[0.0, 127.0, 128.0, 255.0], [], None]
+
+
+def test_no_table_of_a_round_passes_through_the_driver(spark):
+    """Small tables on disk stay shuffled as well, in every round."""
+    plans, write = [], regions.written
+
+    def spied(df, label):
+        out = write(df, label)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    mask = np.zeros((40, 40))
+    mask[5:20, 5:30] = 99
+    flat = np.zeros((40, 40)).ravel().tolist()
+    rows = [(k, 40, 40, 1, mask.ravel().tolist(), 40, 40, 1, flat) for k in range(3)]
+    regions.written = spied
+    try:
+        found = regions.differences(spark.createDataFrame(rows, SCHEMA), "key")
+        assert [r.component_count for r in found.collect()] == [1, 1, 1]
+    finally:
+        regions.written = write
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("Broadcast" in plan for plan in plans) and sum("SortMergeJoin" in plan for plan in plans) > 2
