@@ -85,6 +85,24 @@ def neighbours(keypoints: DataFrame, key: str, *, nearest: int = 5, most: int =
     return found.groupBy(key, "place", "kp", "x", "y").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, nearest).alias("near"))
 
 
+def within(keypoints: DataFrame, key: str, *, nearest: int = 5, most: int = T.HAMMING) -> DataFrame:
+    """key and points, an array of place, x, y, near in the order of place, with the keypoints and rule of neighbours(), for
+    images that are small enough for one task each: keypoints are moved once and compared inside the image's row."""
+    whole = keypoints.select(key, "kp", "x", "y", "words").dropna()
+    images = whole.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kp", "x", "y", "words"))).alias("points"))
+
+    def close(p: Column) -> Column:
+        listed = F.transform("points", lambda q, j: F.struct(apart(q["words"], p["words"]).alias("d"), j.alias("place"), q["x"].alias("x"), q["y"].alias("y")))
+        return F.slice(F.sort_array(F.filter(listed, lambda c: c["d"] <= most)), 1, nearest)
+
+    return images.select(key, F.transform("points", lambda p, i: F.struct(i.alias("place"), p["x"].alias("x"), p["y"].alias("y"), close(p).alias("near"))).alias("points"))
+
+
+def gathered(found: DataFrame, key: str) -> DataFrame:
+    """The rows of neighbours() as those of within()."""
+    return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "x", "y", "near"))).alias("points"))
+
+
 def pairs_of(found: DataFrame, key: str, *, distance: float = T.DISTANCE_PX) -> DataFrame:
     """key, first, second (places), hamming, dx, dy: per keypoint in order the first of its neighbours that is far enough and
     not yet paired with it; the shift points right, or down if it is upright.
@@ -92,7 +110,11 @@ def pairs_of(found: DataFrame, key: str, *, distance: float = T.DISTANCE_PX) ->
     Whether a pair is taken depends on what keypoints before took: a fold over an image's keypoints, with at most `nearest`
     neighbours of each, that holds what each took.
     """
-    points = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "x", "y", "near"))).alias("points"))
+    return pairs_inside(gathered(found, key), key, distance=distance)
+
+
+def pairs_inside(points: DataFrame, key: str, *, distance: float = T.DISTANCE_PX) -> DataFrame:
+    """pairs_of() for rows of within()."""
 
     def step(taken: Column, p: Column) -> Column:
         # A neighbour before this keypoint that took it is paired with it already.
@@ -106,13 +128,19 @@ def pairs_of(found: DataFrame, key: str, *, distance: float = T.DISTANCE_PX) ->
     return rows.select(key, F.col("r.points.place").alias("first"), F.col("r.taken.place").alias("second"), F.col("r.taken.d").alias("hamming"), (dx * sign).alias("dx"), (dy * sign).alias("dy"))
 
 
-def copy_move(keypoints: DataFrame, key: str) -> DataFrame:
+def copy_move(keypoints: DataFrame, key: str, *, block: int = BLOCK) -> DataFrame:
     """Translations within images of keypoints (key, kp, x, y, words ARRAY<BIGINT>), at most 25 of each image by rank.
 
-    Images with no pair give no row. Keypoints with a null part are left out.
+    Images with no pair give no row. Keypoints with a null part are left out. Images of up to `block` keypoints are compared
+    inside their row; larger ones, which a count finds, by pairs of blocks.
     """
-    typed = keypoints.select(key, "kp", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "words")
-    return translations(pairs_of(neighbours(typed, key), key), key)
+    typed = keypoints.select(key, "kp", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "words").dropna()
+    large = typed.groupBy(key).count().filter(F.col("count") > block).select(key)
+    if large.isEmpty():
+        return translations(pairs_inside(within(typed, key), key), key)
+    small = within(typed.join(large, key, "left_anti"), key)
+    split = gathered(neighbours(typed.join(large, key, "left_semi"), key, block=block), key)
+    return translations(pairs_inside(small.unionByName(split), key), key)
 
 
 def copy_move_scores(clusters: DataFrame, key: str, enough: int = 20) -> DataFrame:

@@ -134,6 +134,22 @@ def test_pairs_of_keypoints_like_a_plain_loop(spark):
     assert "Python" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_images_are_compared_inside_their_row(spark):
+    """Rows as by blocks for images on both sides of the bound; without a large one keypoints are shuffled once, not joined."""
+    rng, rows = np.random.default_rng(13), []
+    for image, n in enumerate((90, 64, 65, 7, 2, 1)):
+        words = rng.integers(-(2**62), 2**62, (6, 4))
+        rows += [(image, int(k), float(rng.integers(0, 300)), float(rng.integers(0, 300)), [int(v) for v in words[rng.integers(0, 6)]]) for k in rng.integers(0, 60, n)]
+    rows += [(None, 1, 1.0, 1.0, [1]), (9, 1, None, 1.0, [1])]
+    points = spark.createDataFrame(rows, "image INT, kp BIGINT, x DOUBLE, y DOUBLE, words ARRAY<BIGINT>")
+    want = sorted(map(tuple, matching.translations(matching.pairs_of(matching.neighbours(points, "image"), "image"), "image").collect()))
+    for block in (64, 512):
+        found = matching.copy_move(points, "image", block=block)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 20
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Python" not in plan
+
+
 def test_scores_of_translations(spark):
     clusters = spark.createDataFrame([("i", 12, 5.0, 6.0, True, 1), ("i", 11, 7.0, 8.0, True, 2), ("i", 30, 1.0, 1.0, False, 3), ("j", 12, 2.0, 3.0, True, 1), ("k", 5, 0.0, 1.0, False, 1)], "image STRING, n BIGINT, dx DOUBLE, dy DOUBLE, suspicious BOOLEAN, place INT")
     found = {r.image: tuple(r)[1:] for r in matching.copy_move_scores(clusters, "image").collect()}
