@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismspark.operators.planes import let
 from prismspark.session import work_folder
 
 # Keys that give the statuses below them a kind.
@@ -18,74 +17,98 @@ KINDS = {
 
 #: Steps into a tree that one plan takes; deeper trees take the plan again.
 STEPS = 6
-#: A part of a tree: its JSON text where it is still to be walked, else the status that it is.
-PART = "struct<node:string,scope:string,kind:string,code:string,success:boolean,explanation:string,url:string>"
+#: Columns of a status beside its scope and kind, with their types.
+FIELDS = {"code": "string", "success": "boolean", "explanation": "string", "url": "string"}
 
 
-def kind_of(name: Column, inherited: Column) -> Column:
+def kind_of(lowered: Column, inherited: Column) -> Column:
     found = inherited
     for kind in sorted(set(KINDS.values())):
-        found = F.when(F.lower(name).isin(*(k for k, v in KINDS.items() if v == kind)), kind).otherwise(found)
+        found = F.when(lowered.isin(*(k for k, v in KINDS.items() if v == kind)), kind).otherwise(found)
     return found
 
 
-def python_text(text: Column, type_: Column) -> Column:
+#: Strings that start like a list, an object or a boolean (or by an escape, which may hide one) get a mark before they are parsed to
+#: texts, so that the first character of a text tells its type. Only the quote that opens a string may precede these characters.
+MARK, MARKED = "~", r'"(?=[{\[tf~\\])(?<!\\")'
+
+
+def unmarked(text: Column) -> Column:
+    return F.when(text.startswith(MARK), F.substring(text, 2, 1 << 30)).otherwise(text)
+
+
+def is_tree(text: Column) -> Column:
+    return text.startswith("{") | text.startswith("[")
+
+
+def python_text(text: Column) -> Column:
     """A value as text: strings as they are, true, false and null as words with a capital, all else in JSON."""
-    return F.when(type_ == "VOID", "None").when(type_ == "BOOLEAN", F.initcap(text)).otherwise(text)
-
-
-def parts_of(part: Column) -> Column:
-    """A part as the array of parts that takes its place: itself if it is a status; the one status that an object with a code
-    is; else what the values of an object or the items of a list become, those that are no objects or lists left out."""
-    node, scope, kind = part["node"], part["scope"], part["kind"]
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "string"), ("success", "boolean"), ("explanation", "string"), ("url", "string"))]
-    is_tree = lambda t: t.startswith("OBJECT") | t.startswith("ARRAY")
-    below = lambda name: F.when(scope == "root", name).otherwise(F.concat(scope, F.lit("."), name))
-    nothing = F.array().cast(f"array<{PART}>")
-    types = lambda values: F.transform(values, F.schema_of_variant)
-
-    def of_object(members: Column) -> Column:
-        # Of a name that repeats the last value counts.
-        last = lambda name: F.try_element_at(F.filter(members, lambda m: m["name"] == name), F.lit(-1))
-        text_of = lambda m: python_text(m["text"], m["type"])
-
-        def status(own: Column) -> Column:
-            flag = F.when(own["success"]["type"] == "BOOLEAN", own["success"]["text"] == "true")
-            told = F.coalesce(kind, F.when(flag, "success").when(~flag, "failure"), F.lit("status"))
-            others = (F.when(own[n]["type"] != "VOID", text_of(own[n])).alias(n) for n in ("explanation", "url"))
-            return F.array(F.struct(F.lit(None).cast("string").alias("node"), scope.alias("scope"), told.alias("kind"), text_of(own["code"]).alias("code"), flag.alias("success"), *others))
-
-        further = F.transform(F.filter(members, lambda m: is_tree(m["type"])), lambda m: F.struct(m["text"].alias("node"), below(m["name"]).alias("scope"), kind_of(m["name"], kind).alias("kind"), *none))
-        return F.when(F.exists(members, lambda m: m["name"] == "code"), let(F.struct(*[last(n).alias(n) for n in ("code", "success", "explanation", "url")]), status)).otherwise(further)
-
-    zipped = F.arrays_zip(F.map_entries(F.from_json(node, "map<string,string>")).alias("e"), types(F.map_values(F.from_json(node, "map<string,variant>"))).alias("type"))
-    members = F.transform(zipped, lambda z: F.struct(z["e"]["key"].alias("name"), z["e"]["value"].alias("text"), z["type"].alias("type")))
-    items = F.filter(F.arrays_zip(F.from_json(node, "array<string>").alias("text"), types(F.from_json(node, "array<variant>")).alias("type")), lambda z: is_tree(z["type"]))
-    of_list = F.transform(items, lambda z: F.struct(z["text"].alias("node"), scope.alias("scope"), kind.alias("kind"), *none))
-    # Members and items are read once: a list of one binds them.
-    walked = F.when(F.substring(node, 1, 1) == "[", of_list).otherwise(let(members, of_object))
-    return F.when(node.isNull(), F.array(part)).otherwise(F.coalesce(walked, nothing))
+    whole = F.when(is_tree(text), F.regexp_replace(text, rf'"{MARK}(?<!\\"{MARK})', '"')).otherwise(unmarked(text))
+    return F.when(text.isNull(), "None").when(text.isin("true", "false"), F.initcap(text)).otherwise(whole)
+
+
+def may_hold_status(text: Column) -> Column:
+    """Whether an object or list has to be walked: a name without the letters of code can only be one if it is escaped."""
+    return is_tree(text) & (text.contains("code") | text.contains("\\"))
+
+
+def step(rows: DataFrame) -> DataFrame:
+    """Each row with a node by rows for what takes its place, in their order: an object with a code keeps its members as the
+    status that it is; other objects and lists give a row for each object or list in them."""
+    read = lambda start, schema: F.when(F.col("node").startswith(start), F.from_json("node", schema, {"allowSingleQuotes": "false"}))
+    rows = rows.withColumns({"members": read("{", "map<string,string>"), "items": read("[", "array<string>")})
+    names = F.map_keys("members")
+    own = F.coalesce(F.array_contains(names, "code") | F.array_contains(names, MARK + "code"), F.lit(False))
+    rows = rows.withColumn("state", F.when(F.col("node").isNull(), "done").when(own, "status").when(F.col("items").isNotNull(), "list").otherwise("object"))
+    whole, listed = F.col("state").isin("done", "status"), F.col("state") == "list"
+    inner = F.when(whole, F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))))
+    inner = inner.when(listed, F.arrays_zip(F.col("items").alias("key"), F.col("items").alias("value"))).otherwise(F.map_entries("members"))
+    rows = rows.withColumn("inner", F.explode(inner)).filter(whole | may_hold_status(F.col("inner.value")))
+    rows = rows.withColumn("name", F.when(F.col("state") == "object", unmarked(F.col("inner.key")))).withColumn("lowered", F.lower("name"))
+    below = F.when(F.col("name").isNull(), F.col("scope")).when(F.col("scope") == "root", F.col("name")).otherwise(F.concat("scope", F.lit("."), "name"))
+    kind = F.when(F.col("name").isNull(), F.col("kind")).otherwise(kind_of(F.col("lowered"), F.col("kind")))
+    status = F.when(F.col("state") == "status", F.col("members")).otherwise(F.col("status"))
+    return rows.withColumns({"node": F.col("inner.value"), "scope": below, "kind": kind, "status": status}).drop("members", "items", "state", "inner", "name", "lowered")
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows whose status is told by its members, of which the last of a name counts."""
+    rows = rows.withColumns({"names": F.reverse(F.map_keys("status")), "texts": F.reverse(F.map_values("status"))})
+    place = lambda name: F.nullif(F.array_position("names", name), F.lit(0))
+    rows = rows.withColumns({f"own_{n}": F.get("texts", (F.least(place(n), place(MARK + n)) - 1).cast("int")) for n in FIELDS})
+    text = {n: F.when(F.col(f"own_{n}").isNotNull(), python_text(F.col(f"own_{n}"))) for n in ("explanation", "url")}
+    rows = rows.withColumn("flag", F.when(F.col("own_success").isin("true", "false"), F.col("own_success") == "true"))
+    kind = F.coalesce("kind", F.when(F.col("flag"), "success").when(~F.col("flag"), "failure"), F.lit("status"))
+    own = {"kind": kind, "code": python_text(F.col("own_code")), "success": F.col("flag"), **text}
+    return rows.withColumns({n: F.when(F.col("status").isNotNull(), v).otherwise(F.col(n)) for n, v in own.items()})
 
 
 def validation_rows(documents: DataFrame, column: str, key: str) -> DataFrame:
     """key, place, scope, kind, code, success, explanation, url: the flattened validation results of JSON texts.
 
     Every object with a code is a status; its scope is the names above it, its kind that of the nearest name above that has
-    one, or else told by its own success flag. A document's tree is walked inside its row, level by level, each part being
-    replaced by its own parts, so that document order stays; rows with deeper trees than one plan walks are written and
-    walked on. Null and unreadable texts, and those nested over 1,000 deep, give no row.
+    one, or else told by its own success flag. A tree is walked level by level, each node being replaced by rows for its own
+    nodes in their order; rows are numbered as they come and then within their document.
+    Rows with deeper trees than one plan walks are written and walked on. Null and unreadable texts, and those nested over
+    1,000 deep, give no row.
     """
-    text = F.trim(F.regexp_replace(F.col(column), r"^\s+", ""))
-    root = F.struct(text.alias("node"), F.lit("root").alias("scope"), *(F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("code", "string"), ("success", "boolean"), ("explanation", "string"), ("url", "string"))))
-    found = documents.select(key, F.when(F.substring(text, 1, 1).isin("{", "["), F.array(root)).alias("parts")).filter("parts IS NOT NULL")
+    spark = documents.sparkSession
+    text = F.regexp_replace(F.ltrim(F.col(column), F.lit(" \t\n\x0b\f\r")), MARKED, f'"{MARK}')
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), *FIELDS.items())]
+    found = documents.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("document"), F.lit(0).alias("place"), F.coalesce(text, F.lit("")).alias("node"), F.lit("root").alias("scope"), *none)
+    columns = ["_key", "place", "scope", "kind", *FIELDS]
     while True:
+        found = found.withColumn("status", F.lit(None).cast("map<string,string>"))
         for _ in range(STEPS):
-            found = found.withColumn("parts", F.when(F.exists("parts", lambda p: p["node"].isNotNull()), F.flatten(F.transform("parts", parts_of))).otherwise(F.col("parts")))
-        folder = work_folder(documents.sparkSession, "statuses")
+            found = step(found)
+        order = Window.partitionBy("_key", "document").orderBy("place", "came")
+        found = told(found).withColumn("came", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(order) - 1)
+        folder = work_folder(spark, "statuses")
+        found = found.select(*columns, "document", "node", F.col("node").isNotNull().alias("open"))
         found.write.parquet(folder)
-        found = documents.sparkSession.read.schema(found.schema).parquet(folder)
-        if found.filter(F.exists("parts", lambda p: p["node"].isNotNull())).isEmpty():
-            return found.select(key, F.posexplode("parts").alias("place", "part")).select(key, "place", *(f"part.{c}" for c in ("scope", "kind", "code", "success", "explanation", "url")))
+        found = spark.read.schema(found.schema).parquet(folder)
+        if found.filter("open").isEmpty():
+            return found.select(*columns).withColumnRenamed("_key", key)
 
 
 #: Entries that a summary lists at most: successes and failures, and all statuses. Counts are of all.
